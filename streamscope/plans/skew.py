@@ -1,0 +1,125 @@
+"""Finding keys that hold too many rows for one task, before a plan is chosen.
+
+A window over ``partitionBy(stream)`` sends a whole stream to one task.  That is the best plan
+while streams are small and the worst one when a single stream holds a third of the rows.  The
+operators therefore count rows per key first (a column-pruned, map-side combined aggregation)
+and only split the keys that need it.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+# A key with more rows than this is split over several tasks.
+HOT_ROWS = 2_000_000
+# At most this many keys are split, largest first.  Any other key holds at most
+# max(HOT_ROWS, rows / MAX_HOT_KEYS) rows.
+MAX_HOT_KEYS = 4_096
+# Split points per key.  They travel in a broadcast table of at most
+# min(MAX_HOT_KEYS, rows / HOT_ROWS) rows.
+MAX_SPLITS = 4_096
+
+
+def order_value(df: DataFrame, name: str) -> Column:
+    """The ordering column as a number (micros for times), so that it can be cut into ranges."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp"))
+    return F.col(name)
+
+
+def same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    condition = F.lit(True)
+    for a, b in pairs:
+        condition = condition & left[a].eqNullSafe(right[b])
+    return condition
+
+
+@dataclass(frozen=True)
+class Splits:
+    """Hot keys with their sorted cut values; ``frame`` is a small local relation."""
+
+    frame: DataFrame
+    keys: list[str]
+    total_buckets: int
+
+
+def hot_counts(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """The (bounded) list of keys with more than ``hot_rows`` rows, as a lazy frame."""
+    return (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > hot_rows)
+        .orderBy(F.col("__n").desc())
+        .limit(MAX_HOT_KEYS)
+    )
+
+
+def find_splits(
+    df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None
+) -> Splits | None:
+    """Equal-depth cut values for every hot key, or None when no key is hot."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    spark = df.sparkSession
+    narrow = df.select(*keys, order_value(df, order).alias("__o"))
+    hot = hot_counts(narrow, keys, hot_rows).collect()
+    if not hot:
+        return None
+    key_fields = [T.StructField(f"__k_{k}", narrow.schema[k].dataType) for k in keys]
+    counts = spark.createDataFrame(
+        [tuple(row[k] for k in keys) + (row["__n"],) for row in hot],
+        T.StructType([*key_fields, T.StructField("__n", T.LongType())]),
+    )
+    depth = max(2, min(MAX_SPLITS, max(-(-row["__n"] // hot_rows) for row in hot)))
+    fractions = [i / depth for i in range(1, depth)]
+    rows = narrow.join(
+        F.broadcast(counts), same_keys(narrow, counts, [(k, f"__k_{k}") for k in keys])
+    )
+    cuts = (
+        rows.groupBy(*[f"__k_{k}" for k in keys])
+        .agg(F.percentile_approx("__o", fractions, 20 * depth).alias("__cuts"))
+        .withColumn("__cuts", F.array_sort(F.array_distinct("__cuts")))
+        .collect()
+    )
+    order_type = narrow.schema["__o"].dataType
+    step = max(1, int(depth**0.5))
+    local = [
+        tuple(row[f"__k_{k}"] for k in keys) + (row["__cuts"], row["__cuts"][::step], step)
+        for row in cuts
+    ]
+    schema = T.StructType(
+        [
+            *key_fields,
+            T.StructField("__cuts", T.ArrayType(order_type)),
+            T.StructField("__coarse", T.ArrayType(order_type)),
+            T.StructField("__step", T.IntegerType()),
+        ]
+    )
+    return Splits(
+        frame=spark.createDataFrame(local, schema),
+        keys=keys,
+        total_buckets=sum(len(row["__cuts"]) + 1 for row in cuts),
+    )
+
+
+def assign_buckets(df: DataFrame, splits: Splits, order: str) -> DataFrame:
+    """Add ``__hot`` and ``__bucket``: the range of the order column a row of a hot key is in."""
+    frame = splits.frame
+    joined = df.join(
+        F.broadcast(frame),
+        same_keys(df, frame, [(k, f"__k_{k}") for k in splits.keys]),
+        "left",
+    )
+    value = order_value(df, order)
+    # Two short searches instead of one over all cut values.
+    coarse = F.size(F.filter("__coarse", lambda c: c <= value))
+    start = F.greatest((coarse - 1) * F.col("__step"), F.lit(0))
+    fine = F.size(F.filter(F.slice("__cuts", start + 1, F.col("__step")), lambda c: c <= value))
+    hot = F.col("__cuts").isNotNull()
+    return (
+        joined.withColumn("__hot", hot)
+        .withColumn("__bucket", F.when(hot, start + fine).otherwise(F.lit(0)))
+        .drop("__cuts", "__coarse", "__step", *[f"__k_{k}" for k in splits.keys])
+    )
