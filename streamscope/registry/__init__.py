@@ -7,7 +7,7 @@ from importlib import import_module
 from .base import QUERIES, SQL
 
 for _area in (
-    "predicates", "delivery",
+    "predicates", "delivery", "health", "trend",
 ):
     import_module(f"{__name__}.{_area}")
 

@@ -193,7 +193,8 @@ def _(t: Tables):
     f"""WITH {LI}, h AS (SELECT DISTINCT piece FROM li), g AS (SELECT piece, piece - row_number() OVER (ORDER BY piece) AS g FROM h),
       r AS (SELECT MIN(piece) AS a, MAX(piece) + 1 AS b FROM g GROUP BY g),
       q AS (SELECT p_partkey, p_partkey * 7 AS f, p_partkey * 7 + p_size AS e FROM part)
-    SELECT p_partkey, COALESCE(least(b, e) - f, 0) AS cached, e - f - COALESCE(least(b, e) - f, 0) AS to_fetch
+    SELECT p_partkey, CASE WHEN b IS NULL THEN 0 ELSE least(b, e) - f END AS cached,
+      CASE WHEN b IS NULL THEN e - f ELSE e - least(b, e) END AS to_fetch
     FROM q LEFT JOIN r ON f >= a AND f < b""",
 )
 def _(t: Tables):
