@@ -7,7 +7,7 @@ from importlib import import_module
 from .base import QUERIES, SQL
 
 for _area in (
-    "predicates", "delivery", "health", "trend", "coverage", "swarm",
+    "predicates", "delivery", "health", "trend", "coverage", "swarm", "access", "media", "live",
 ):
     import_module(f"{__name__}.{_area}")
 

@@ -17,7 +17,7 @@ def _lines(*parts: tuple[Column, Column]) -> Column:
 
 
 def _seconds(duration: Column) -> Column:
-    return F.format_string("%.3f", duration)
+    return F.when(duration.isNotNull(), F.format_string("%.3f", duration))
 
 
 def _emit(df: DataFrame, stream: str, lines: Column) -> DataFrame:
