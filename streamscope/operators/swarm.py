@@ -61,7 +61,10 @@ def correlate_reply_stream(
         f"r.{reply_ts} >= q.{query_ts} AND r.{reply_ts} <= q.{query_ts} + interval {ttl_seconds} seconds"
     )
     pairs = r.join(q, inside, "inner").select(
-        *[F.col(f"q.{k}").alias(k) for k in keys], F.col(f"q.{query_ts}"), F.col(f"r.{reply_ts}")
+        *[F.col(f"q.{k}").alias(k) for k in keys],
+        F.col(f"q.{query_ts}"),
+        # As a value, not as a second event time: the deduplication below may follow only one.
+        (F.col(f"r.{reply_ts}") + F.expr("interval 0 seconds")).alias(reply_ts),
     )
     return pairs.dropDuplicates([*keys, query_ts])
 

@@ -1,0 +1,36 @@
+"""The same queries with every stream treated as hot: split scans and sliced folds."""
+
+import pytest
+from compare import same
+from conftest import SF
+
+from streamscope.registry import QUERIES, SQL
+
+SCANS = """a2_covered_bytes a10_swarm_health a12_stream_stability a15_memory_trend a21_packet_inventory
+h7_viewer_sessions h9_live_edge j1_correlate_replies j7_resolve_catalog j13_cached_prefix p1_chunk_address
+w1_pcr_segments w2_hls_segments w6_byte_budget_retention w6_retention_is_ordered w8_choose_unchoked
+w9_rank_by_coverage w10_have_ranges w11_startup_release w12_stall_intervals w13_longest_run w14_is_rising
+w16_far_behind_skips w19_ingest_cursor w19_checkpoints""".split()
+
+
+@pytest.mark.parametrize("name", SCANS)
+def test_split_equals_sql(spark, duck, split, name):
+    same(QUERIES[name](spark, SF).toPandas(), duck.execute(SQL[name]).fetchdf())
+
+
+def test_limited_segments_split(spark, split):
+    """The packet-limited fold gives the same segments in slices as in one piece."""
+    from streamscope.plans import skew
+
+    sliced = QUERIES["w2_hls_segments_limited"](spark, SF).toPandas()
+    skew.HOT_ROWS = 10**9
+    same(sliced, QUERIES["w2_hls_segments_limited"](spark, SF).toPandas())
+
+
+def test_no_key_is_split_without_need(spark):
+    from streamscope.plans.skew import find_splits
+
+    df = spark.range(1000).selectExpr("id % 3 as k", "id as o")
+    assert find_splits(df, ["k"], "o", 500) is None
+    splits = find_splits(df.union(df.filter("k = 1")), ["k"], "o", 500)
+    assert [r["__k_k"] for r in splits.frame.collect()] == [1]
