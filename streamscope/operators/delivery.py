@@ -48,7 +48,7 @@ def covered_bytes(
         F.max(F.when(good, end)).alias("__end"),
         F.count_if(~good).alias("__rejected"),
     )
-    reached = OrderedScan(blocks, keys, "__begin").add(
+    reached = OrderedScan(blocks, keys, "__begin", bound=df).add(
         __before=running_max(F.col("__end"), exclusive=True)
     )
     new = F.greatest(
@@ -101,23 +101,45 @@ def _edges(pieces: DataFrame, stream: str, piece: str) -> DataFrame:
 
 
 def contiguous_frontier(pieces: DataFrame, stream: str, piece: str, start: int = 0) -> DataFrame:
-    """The next needed piece per stream: the first one at or after ``start`` that is missing."""
-    later = pieces.filter(F.col(piece) >= start)
-    stops = _edges(later, stream, piece).groupBy(stream).agg(
-        F.min(F.when(~F.col("starts"), F.col("at"))).alias("__stop"),
-        F.min(F.when(F.col("starts"), F.col("at"))).alias("__first"),
+    """The next needed piece per stream: the first one at or after ``start`` that is missing.
+
+    No sort and no join: like the edges of runs, missing places are found by an aggregation on
+    (stream, place).  Pieces may repeat.
+    """
+    # Everything below the start counts as held: each row also marks the start as "after".
+    low = F.lit(start).cast("bigint")
+    held = F.struct(F.col(piece).cast("bigint").alias("at"), F.lit(True).alias("self"))
+    after = F.struct((F.col(piece) + 1).cast("bigint").alias("at"), F.lit(False).alias("self"))
+    origin = F.struct(low.alias("at"), F.lit(False).alias("self"))
+    later = F.col(piece) >= start
+    marks = pieces.select(
+        stream, F.explode(F.when(later, F.array(held, after, origin)).otherwise(F.array(origin))).alias("m")
+    )
+    return (
+        marks.groupBy(stream, F.col("m.at").alias("at"))
+        .agg(F.bool_or("m.self").alias("here"))
+        .filter("not here")
+        .groupBy(stream)
+        .agg(F.min("at").alias("next_piece"))
     )
-    streams = pieces.select(stream).distinct()
-    nxt = F.when(F.col("__first") == start, F.col("__stop")).otherwise(F.lit(start).cast("bigint"))
-    return streams.join(stops, stream, "left").select(stream, nxt.alias("next_piece"))
 
 
 def have_ranges(
-    pieces: DataFrame, stream: str, piece: str, hot_rows: int | None = None
+    pieces: DataFrame,
+    stream: str,
+    piece: str,
+    hot_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Contiguous runs of pieces as (first, count)."""
+    """Contiguous runs of pieces as (first, count).  Pieces may repeat.
+
+    Only the edges of runs are put in order.  ``bound`` (see ``find_splits``) needs at least as
+    many rows per stream as there are edges.
+    """
     edges = _edges(pieces, stream, piece)
-    paired = OrderedScan(edges, stream, "at", hot_rows=hot_rows).add(first_piece=previous(F.col("at")))
+    paired = OrderedScan(edges, stream, "at", hot_rows=hot_rows, bound=bound).add(
+        first_piece=previous(F.col("at"))
+    )
     return paired.df.filter("not starts").select(
         stream, "first_piece", (F.col("at") - F.col("first_piece")).alias("n_pieces")
     )
@@ -227,14 +249,17 @@ def cached_prefix(
 
     The held runs are looked up by their start, so neither ranges nor runs are expanded.
     """
-    runs = have_ranges(have, stream, piece, hot_rows).select(
+    # At most two edges per held piece, and fewer runs than pieces.
+    rows = have.select(stream)
+    runs = have_ranges(have, stream, piece, hot_rows, rows.unionByName(rows)).select(
         stream,
         F.col("first_piece").alias("__at"),
         (F.col("first_piece") + F.col("n_pieces")).alias("__stop"),
     )
     asked = ranges.select("*", F.col(first).alias("__at"), F.lit(1).alias("__kind"))
     both = asked.unionByName(runs.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-    looked = OrderedScan(both, stream, ["__at", "__kind"], hot_rows=hot_rows).add(
+    bound = ranges.select(stream).unionByName(rows)
+    looked = OrderedScan(both, stream, ["__at", "__kind"], hot_rows=hot_rows, bound=bound).add(
         __run=last_value(F.col("__stop"))
     )
     cached = F.greatest(
@@ -264,7 +289,7 @@ def byte_budget_retention(
     ``stream_retention`` is exact for any arrival order.
     """
     sizes = df.groupBy(stream, piece).agg(F.sum(nbytes).alias("nbytes"))
-    scan = OrderedScan(sizes, stream, piece, descending=True, hot_rows=hot_rows).add(
+    scan = OrderedScan(sizes, stream, piece, descending=True, hot_rows=hot_rows, bound=df).add(
         __held=running_sum(F.col("nbytes"))
     )
     return scan.df.withColumn("retained", (F.col("__held") <= budget) & (F.lit(budget) > 0)).drop("__held")
@@ -341,19 +366,17 @@ def ingest_cursor(
     # Saving depends only on the distinct cursor values.
     values = cursor.select(stream, "cursor").distinct()
 
-    def fold(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+    def step(rows: pd.DataFrame, state: dict | None) -> tuple[list[tuple], dict]:
         last = state["last"] if state else start
         saved = []
         for value in rows["cursor"]:
             if value >= last + interval:
-                saved.append(value)
+                saved.append((int(value),))
                 last = int(value)
-        name = rows[stream].iloc[0]
-        return pd.DataFrame({stream: [name] * len(saved), "saved": saved}), {"last": last}
+        return saved, {"last": last}
 
-    kind = df.schema[stream].dataType.simpleString()
     checkpoints = sliced_fold(
-        values, [stream], ["cursor"], fold, f"{stream} {kind}, saved bigint", hot_rows
+        values, [stream], ["cursor"], step, "saved bigint", hot_rows, bound=df
     ).withColumn("resume_at", F.col("saved") + interval)
     return cursor, checkpoints
 

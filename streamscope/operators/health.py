@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.scan import OrderedScan, previous, running_count, running_sum
+from ..plans.scan import OrderedScan, last_value, previous, running_count, running_sum
 
 # Fixed values.
 MIN_DL_PERCENT = 90
@@ -108,22 +108,26 @@ def stream_stability(
     stall_bytes: int = STALL_BYTES_PER_SECOND,
     max_stall: int = MAX_STALL_SECONDS,
     hot_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Throughput and longest stall over zero-filled seconds (see ``bucket_seconds``).
+    """Throughput and longest stall, from bytes per second.
 
-    ``streams`` lists streams that must appear even without a single second; those fail.
+    Seconds missing between a stream's first and last row count as empty, so the sparse sums give
+    the same verdict as the zero-filled table (``bucket_seconds``) without building it: a stall is
+    the distance between two seconds with data.  ``streams`` lists streams that must appear even
+    without a single second; those fail.
     """
-    stalled = F.col(nbytes) < stall_bytes
-    scan = OrderedScan(df, stream, second, hot_rows=hot_rows).add(
-        __breaks=running_sum((~stalled).cast("bigint"))
+    flowing = F.when(F.col(nbytes) >= stall_bytes, F.col(second))
+    scan = OrderedScan(df, stream, second, hot_rows=hot_rows, bound=bound).add(
+        __before=last_value(flowing, exclusive=True)
     )
-    parts = scan.df.groupBy(stream, "__breaks").agg(
-        F.sum(nbytes).alias("__bytes"), F.count(F.lit(1)).alias("__seconds"), F.count_if(stalled).alias("__stall")
-    )
-    totals = parts.groupBy(stream).agg(
-        F.sum("__bytes").alias("total_bytes"),
-        F.sum("__seconds").alias("seconds"),
-        F.max("__stall").alias("max_stall"),
+    low, high = F.min(second), F.max(second)
+    between = F.max(flowing - F.col("__before") - 1)
+    head, tail = F.min(flowing) - low, high - F.max(flowing)
+    totals = scan.df.groupBy(stream).agg(
+        F.sum(nbytes).alias("total_bytes"),
+        (high - low + 1).alias("seconds"),
+        F.coalesce(F.greatest(between, head, tail), high - low + 1).alias("max_stall"),
     )
     if streams is not None:
         totals = streams.select(stream).distinct().join(totals, stream, "left").fillna(0)

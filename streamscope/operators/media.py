@@ -91,18 +91,13 @@ def hls_segments(
         F.coalesce(F.col(discontinuity), F.lit(False)).alias("flag"),
     ).filter(F.col("flag") | F.col("pcr").isNotNull() | F.col("access"))
 
-    def fold(rows: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
+    def step(rows: pd.DataFrame, state: dict | None) -> tuple[list[tuple], dict]:
         cutter = Segmenter(target_seconds, max_packets, table_packets, state)
         cut = cutter.feed(rows["pkt"], rows["pid"], rows["pcr"], rows["access"], rows["flag"])
-        out = pd.DataFrame(cut, columns=["seq", "start_pkt", "end_pkt", "duration", "discontinuity"])
-        out.insert(0, stream, rows[stream].iloc[0])
-        return out, cutter.state()
+        return cut, cutter.state()
 
-    kind = df.schema[stream].dataType.simpleString()
-    schema = (
-        f"{stream} {kind}, seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean"
-    )
-    return sliced_fold(rows, [stream], ["pkt"], fold, schema, hot_rows)
+    schema = "seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean"
+    return sliced_fold(rows, [stream], ["pkt"], step, schema, hot_rows, bound=df)
 
 
 def hls_live_window(
@@ -178,6 +173,7 @@ def startup_release(
     timeout_ms: int,
     bitrate: str | None = None,
     hot_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """When and why each stream's start-up buffer is released.
 
@@ -192,7 +188,7 @@ def startup_release(
             stream, "released_at", F.lit("Disabled").alias("reason"), F.lit(0).cast("bigint").alias("queued")
         )
     scan = (
-        OrderedScan(df, stream, order, hot_rows=hot_rows)
+        OrderedScan(df, stream, order, hot_rows=hot_rows, bound=bound)
         .add(__prior=running_sum(F.col(nbytes), exclusive=True), __seen=previous(F.col(ts)))
         .select(__opens=F.col("__seen").isNull() | F.coalesce(F.col(reset), F.lit(False)))
         .add(__from=last_value(F.when(F.col("__opens"), F.struct(F.col(ts).alias("t"), F.col("__prior").alias("b")))))

@@ -1,72 +1,95 @@
 """Greedy folds whose next step depends on the last, in bounded tasks.
 
-A key with few rows is folded in one group.  A hot key is folded range by range: each pass handles
-one range of every hot key in parallel and hands a small state to the next pass, so no task ever
-holds more than one range.  State and output of a pass are written before the next one starts.
+Rows are shuffled by key and sorted by Spark; each task walks its keys batch by batch, so a fold
+holds one Arrow batch and one small state, never a whole group.  A hot key is folded range by
+range: each pass handles one range of every hot key and hands the states to the next pass, so no
+task sorts more than one range.  What a pass produced is written before the next one starts.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .durable import cut
 from .skew import assign_buckets, find_splits
 
-# (rows in order, state of the range before or None, is last range) -> (output rows, state)
-Fold = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
+# (some rows of one key in order, state so far or None) -> (output rows as tuples, state)
+Step = Callable[[pd.DataFrame, dict | None], tuple[list[tuple], dict]]
+
+
+def _walk(batches: Iterator[pd.DataFrame], keys: list[str], step: Step, columns: list[str], hand_on: bool):
+    """Apply ``step`` along the sorted rows of one task."""
+    current, state = None, None
+    for batch in batches:
+        if batch.empty:
+            continue
+        runs = batch.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        starts = [0, *(np.flatnonzero(np.diff(runs)) + 1), len(batch)]
+        out = []
+        for a, b in zip(starts, starts[1:]):
+            rows = batch.iloc[a:b]
+            key = tuple(None if pd.isna(v) else v for v in rows[keys].iloc[0])
+            if key != current:
+                if hand_on and state is not None:
+                    out.append((*current, *[None] * (len(columns) - len(keys) - 1), json.dumps(state)))
+                current, state = key, None
+            if hand_on and isinstance(rows["__state"].iloc[0], str):
+                state, rows = json.loads(rows["__state"].iloc[0]), rows.iloc[1:]
+                if rows.empty:
+                    continue
+            done, state = step(rows, state)
+            tail = (None,) if hand_on else ()
+            out.extend((*key, *row, *tail) for row in done)
+        yield pd.DataFrame(out, columns=columns)
+    if hand_on and state is not None:
+        last = (*current, *[None] * (len(columns) - len(keys) - 1), json.dumps(state))
+        yield pd.DataFrame([last], columns=columns)
 
 
 def sliced_fold(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    fold: Fold,
+    step: Step,
     schema: str,
     hot_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """``fold`` over the rows of each key in order; ``schema`` describes its output columns."""
-    splits = find_splits(df, keys, order[0], hot_rows)
-    if splits is None:
+    """``step`` over the rows of each key in order; ``schema`` lists the columns after the keys."""
+    spark = df.sparkSession
+    # Python work: as many tasks as the session plans for, not as few as the bytes suggest.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    columns = [*keys, *[c.strip().split(" ")[0] for c in schema.split(",")]]
 
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            return fold(rows.sort_values(order, kind="stable"), None)[0]
+    def fold(rows: DataFrame, hand_on: bool) -> DataFrame:
+        first = ["__state"] if hand_on else []
+        placed = rows.repartition(tasks, *keys).sortWithinPartitions(
+            *keys, *[F.col(c).desc_nulls_last() for c in first], *order
+        )
+        names = [*columns, *first]
+        full = f"{key_schema}, {schema}" + (", __state string" if hand_on else "")
+        return placed.mapInPandas(lambda it: _walk(it, keys, step, names, hand_on), full)
 
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+    splits = find_splits(df, keys, order[0], hot_rows, bound)
+    if splits is None:
+        return fold(df, False)
 
     df = cut(assign_buckets(df, splits, order[0]))
     last = df.agg(F.max("__bucket")).first()[0]
-    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    tagged = f"{schema}, __state string, " + ", ".join(
-        f"__k_{part.strip()}" for part in key_schema.split(", ")
-    )
-    state = df.sparkSession.createDataFrame([], f"{key_schema}, __state string")
-    outputs = []
-
-    def one_range(key, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            result, after = pd.DataFrame(), before["__state"].iloc[0]
-        else:
-            known = None if before.empty else json.loads(before["__state"].iloc[0])
-            result, after = fold(rows.sort_values(order, kind="stable"), known)
-            after = json.dumps(after)
-        marker = pd.DataFrame({"__state": [after], **{f"__k_{k}": [v] for k, v in zip(keys, key)}})
-        return pd.concat([result, marker], ignore_index=True).reindex(columns=columns)
-
-    columns = [f.name for f in df.sparkSession.createDataFrame([], tagged).schema]
+    states, outputs = None, []
     for bucket in range(last + 1):
         rows = df.filter(F.col("__bucket") == bucket).drop("__bucket", "__hot")
-        done = cut(
-            rows.groupBy(*keys)
-            .cogroup(state.groupBy(*keys))
-            .applyInPandas(one_range, tagged)
-        )
-        outputs.append(done.filter("__state is null").drop("__state", *[f"__k_{k}" for k in keys]))
-        state = done.filter("__state is not null").select(
-            *[F.col(f"__k_{k}").alias(k) for k in keys], "__state"
-        )
+        rows = rows.withColumn("__state", F.lit(None).cast("string"))
+        if states is not None:
+            rows = rows.unionByName(states, allowMissingColumns=True)
+        done = cut(fold(rows, True))
+        outputs.append(done.filter("__state is null").drop("__state"))
+        states = done.filter("__state is not null").select(*keys, "__state")
     return reduce(DataFrame.unionByName, outputs)

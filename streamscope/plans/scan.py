@@ -65,7 +65,10 @@ _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
 class OrderedScan:
-    """Rows of ``df`` per ``keys`` in the order of ``order`` (all columns, one direction)."""
+    """Rows of ``df`` per ``keys`` in the order of ``order`` (all columns, one direction).
+
+    ``bound`` is a cheaper frame with at least as many rows per key, for the size check.
+    """
 
     def __init__(
         self,
@@ -74,11 +77,14 @@ class OrderedScan:
         order: list[str] | str,
         descending: bool = False,
         hot_rows: int | None = None,
+        bound: DataFrame | None = None,
     ):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = [order] if isinstance(order, str) else list(order)
         self.descending = descending
-        self.splits: Splits | None = find_splits(df, self.keys, self.order[0], hot_rows)
+        self.splits: Splits | None = find_splits(
+            df, self.keys, self.order[0], hot_rows, bound
+        )
         self._df = df if self.splits is None else assign_buckets(df, self.splits, self.order[0])
         self._steps = 0
 

@@ -58,11 +58,25 @@ def hot_counts(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 
 def find_splits(
-    df: DataFrame, keys: list[str], order: str, hot_rows: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    hot_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> Splits | None:
-    """Equal-depth cut values for every hot key, or None when no key is hot."""
+    """Equal-depth cut values for every hot key, or None when no key is hot.
+
+    ``bound`` is a frame that is cheaper to count and has at least as many rows per key, such as
+    the table that ``df`` was aggregated from; ``df`` itself is only counted if ``bound`` is hot.
+    """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     spark = df.sparkSession
+    cheap = df if bound is None else bound
+    # No key can be hot in a small table, and counting a plain scan only reads file footers.
+    if cheap.count() <= hot_rows:
+        return None
+    if bound is not None and not hot_counts(bound.select(*keys), keys, hot_rows).head(1):
+        return None
     narrow = df.select(*keys, order_value(df, order).alias("__o"))
     hot = hot_counts(narrow, keys, hot_rows).collect()
     if not hot:

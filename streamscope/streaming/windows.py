@@ -7,6 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..plans.scan import OrderedScan, previous, running_sum
 
 
+def second_sums(df: DataFrame, stream: str, ts: str, nbytes: str, width: int = 1) -> DataFrame:
+    """Bytes per ``width`` seconds, only where there were any."""
+    bucket = F.expr(f"unix_seconds({ts}) div {width}")
+    return df.groupBy(stream, bucket.alias("second")).agg(F.sum(nbytes).alias("nbytes"))
+
+
 def bucket_seconds(
     df: DataFrame,
     stream: str,
@@ -21,8 +27,7 @@ def bucket_seconds(
     Bounds default to the first and last bucket of each stream.  Buckets are numbered since the
     epoch.  Batch only: for a stream use ``bucket_stream`` and fill the landed result.
     """
-    bucket = F.expr(f"unix_seconds({ts}) div {width}")
-    sums = df.groupBy(stream, bucket.alias("second")).agg(F.sum(nbytes).alias("nbytes"))
+    sums = second_sums(df, stream, ts, nbytes, width)
     spans = sums.groupBy(stream).agg(F.min("second").alias("__a"), F.max("second").alias("__b"))
     low = F.col("__a") if start is None else start
     high = F.col("__b") if end is None else end
