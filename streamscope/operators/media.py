@@ -112,20 +112,25 @@ def hls_live_window(
     Ranking stops at ``window`` rows per map task; the counts are plain aggregates.
     """
     newest = W.partitionBy(stream).orderBy(F.col(seq).desc())
+    flagged = F.count_if(F.col(discontinuity))
+    inside = W.partitionBy(stream)  # over at most ``window`` rows
     kept = (
         segments.withColumn("__rank", F.row_number().over(newest))
         .filter(F.col("__rank") <= max(window, 1))
         .drop("__rank")
+        .withColumns({"__kn": F.count(F.lit(1)).over(inside), "__kd": flagged.over(inside)})
     )
-    flagged = F.count_if(F.col(discontinuity))
     all_counts = segments.groupBy(stream).agg(F.count(F.lit(1)).alias("__n"), flagged.alias("__d"))
-    kept_counts = kept.groupBy(stream).agg(F.count(F.lit(1)).alias("__kn"), flagged.alias("__kd"))
-    gone = all_counts.join(kept_counts, stream).select(
-        stream,
-        (F.col("__n") - F.col("__kn")).alias("media_seq"),
-        (F.col("__d") - F.col("__kd")).alias("discontinuity_seq"),
+    return (
+        kept.join(all_counts, stream)
+        .withColumns(
+            {
+                "media_seq": F.col("__n") - F.col("__kn"),
+                "discontinuity_seq": F.col("__d") - F.col("__kd"),
+            }
+        )
+        .drop("__kn", "__kd", "__n", "__d")
     )
-    return kept.join(gone, stream)
 
 
 def advisory_start(

@@ -77,11 +77,11 @@ def sliced_fold(
         full = f"{key_schema}, {schema}" + (", __state string" if hand_on else "")
         return placed.mapInPandas(lambda it: _walk(it, keys, step, names, hand_on), full)
 
-    splits = find_splits(df, keys, order[0], hot_rows, bound)
+    splits = find_splits(df, keys, order, hot_rows, bound)
     if splits is None:
         return fold(df, False)
 
-    df = cut(assign_buckets(df, splits, order[0]))
+    df = cut(assign_buckets(df, splits, order))
     last = df.agg(F.max("__bucket")).first()[0]
     states, outputs = None, []
     for bucket in range(last + 1):

@@ -33,13 +33,11 @@ def range_join(
     used = sorted(r[0] for r in usable.select("__level").distinct().collect())
     if not used:
         used = [0]
-    width = F.lit(bucket) * F.pow(F.lit(SPAN), F.col("__level")).cast("bigint")
+    width = F.expr(f"shiftleft({bucket}L, 3 * __level)")  # bucket * 8**level
     filed = usable.withColumn("__width", width).withColumn(
         "__bucket",
         F.explode(
-            F.sequence(
-                F.floor(F.expr(f"{low} div __width")), F.floor(F.expr(f"{high} div __width"))
-            )
+            F.sequence(F.expr(f"{low} div __width"), F.expr(f"{high} div __width"))
         ),
     )
     placed = (

@@ -1,7 +1,7 @@
 """Running values along an order, per key, that survive one key holding most of the rows.
 
 Without hot keys a scan is a plain window: one shuffle on the keys, one sort, and every running
-value of the scan shares them.  A hot key is cut into equal-depth ranges of its order column; each
+value of the scan shares them.  A hot key is cut into ranges of about equal depth along its order; each
 range is scanned on its own task, the per-range summaries (one row per range) are scanned in turn,
 and each row is completed with the value carried into its range.
 """
@@ -83,10 +83,9 @@ class OrderedScan:
         self.order = [order] if isinstance(order, str) else list(order)
         self.descending = descending
         self.splits: Splits | None = find_splits(
-            df, self.keys, self.order[0], hot_rows, bound
+            df, self.keys, self.order, hot_rows, bound
         )
-        self._df = df if self.splits is None else assign_buckets(df, self.splits, self.order[0])
-        self._steps = 0
+        self._df = df if self.splits is None else assign_buckets(df, self.splits, self.order)
 
     def _sorted(self) -> list[Column]:
         return [F.col(c).desc() if self.descending else F.col(c).asc() for c in self.order]
@@ -173,7 +172,6 @@ class OrderedScan:
     def _split(self, running: dict[str, Running]) -> DataFrame:
         # The rows are read twice (summaries, completion): settle them first.
         df = cut(self._df)
-        self._steps += 1
         summaries = (
             df.filter("__hot")
             .groupBy(*[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col("__bucket").alias("__b"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 2_000_000
@@ -20,14 +20,8 @@ MAX_HOT_KEYS = 4_096
 # Split points per key.  They travel in a broadcast table of at most
 # min(MAX_HOT_KEYS, rows / HOT_ROWS) rows.
 MAX_SPLITS = 4_096
-
-
-def order_value(df: DataFrame, name: str) -> Column:
-    """The ordering column as a number (micros for times), so that it can be cut into ranges."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    return F.col(name)
+# Sampled order values per split point.
+SAMPLES_PER_SPLIT = 10
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -60,14 +54,18 @@ def hot_counts(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 def find_splits(
     df: DataFrame,
     keys: list[str],
-    order: str,
+    order: list[str],
     hot_rows: int | None = None,
     bound: DataFrame | None = None,
 ) -> Splits | None:
-    """Equal-depth cut values for every hot key, or None when no key is hot.
+    """About equally deep cuts of every hot key's order, or None when no key is hot.
 
     ``bound`` is a frame that is cheaper to count and has at least as many rows per key, such as
     the table that ``df`` was aggregated from; ``df`` itself is only counted if ``bound`` is hot.
+
+    Cuts are taken from a sample of order values.  They only decide which task scans a row, never
+    a result: any cuts would do.  They are whole order values, not just the leading column, so
+    many rows at one time are split as well.
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     spark = df.sparkSession
@@ -77,56 +75,72 @@ def find_splits(
         return None
     if bound is not None and not hot_counts(bound.select(*keys), keys, hot_rows).head(1):
         return None
-    narrow = df.select(*keys, order_value(df, order).alias("__o"))
-    hot = hot_counts(narrow, keys, hot_rows).collect()
+    hot = hot_counts(df.select(*keys), keys, hot_rows).collect()
     if not hot:
         return None
-    key_fields = [T.StructField(f"__k_{k}", narrow.schema[k].dataType) for k in keys]
+    schema = df.schema
+    key_fields = [T.StructField(f"__k_{k}", schema[k].dataType) for k in keys]
+    depths = [max(2, min(MAX_SPLITS, -(-row["__n"] // hot_rows))) for row in hot]
     counts = spark.createDataFrame(
-        [tuple(row[k] for k in keys) + (row["__n"],) for row in hot],
-        T.StructType([*key_fields, T.StructField("__n", T.LongType())]),
+        [
+            tuple(row[k] for k in keys) + (depth, SAMPLES_PER_SPLIT * depth / row["__n"])
+            for row, depth in zip(hot, depths)
+        ],
+        T.StructType(
+            [
+                *key_fields,
+                T.StructField("__depth", T.LongType()),
+                T.StructField("__rate", T.DoubleType()),
+            ]
+        ),
     )
-    depth = max(2, min(MAX_SPLITS, max(-(-row["__n"] // hot_rows) for row in hot)))
-    fractions = [i / depth for i in range(1, depth)]
-    rows = narrow.join(
-        F.broadcast(counts), same_keys(narrow, counts, [(k, f"__k_{k}") for k in keys])
+    names = [f"__k_{k}" for k in keys]
+    position = F.struct(*order)
+    sampled = (
+        df.join(F.broadcast(counts), same_keys(df, counts, list(zip(keys, names))))
+        .filter(F.rand(11) < F.col("__rate"))
+        .select(*names, "__depth", position.alias("__at"))
     )
+    # At most SAMPLES_PER_SPLIT * MAX_SPLITS sampled rows per key are ranked.
+    per_key = W.partitionBy(*names)
+    rank, total = F.row_number().over(per_key.orderBy("__at")), F.count(F.lit(1)).over(per_key)
+    share = F.floor(F.col("__rank") * F.col("__depth") / F.col("__total"))
+    share_before = F.floor((F.col("__rank") - 1) * F.col("__depth") / F.col("__total"))
     cuts = (
-        rows.groupBy(*[f"__k_{k}" for k in keys])
-        .agg(F.percentile_approx("__o", fractions, 20 * depth).alias("__cuts"))
-        .withColumn("__cuts", F.array_sort(F.array_distinct("__cuts")))
+        sampled.withColumns({"__rank": rank, "__total": total})
+        .filter((share > share_before) & (F.col("__rank") < F.col("__total")))
+        .groupBy(*names)
+        .agg(F.array_sort(F.collect_set("__at")).alias("__cuts"))
         .collect()
     )
-    order_type = narrow.schema["__o"].dataType
-    step = max(1, int(depth**0.5))
+    step = max(1, int(max(depths) ** 0.5))
     local = [
-        tuple(row[f"__k_{k}"] for k in keys) + (row["__cuts"], row["__cuts"][::step], step)
-        for row in cuts
+        tuple(row[n] for n in names) + (row["__cuts"], row["__cuts"][::step], step) for row in cuts
     ]
-    schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("__cuts", T.ArrayType(order_type)),
-            T.StructField("__coarse", T.ArrayType(order_type)),
-            T.StructField("__step", T.IntegerType()),
-        ]
-    )
-    return Splits(
-        frame=spark.createDataFrame(local, schema),
-        keys=keys,
-        total_buckets=sum(len(row["__cuts"]) + 1 for row in cuts),
+    at = T.ArrayType(T.StructType([T.StructField(o, schema[o].dataType) for o in order]))
+    frame = spark.createDataFrame(
+        local,
+        T.StructType(
+            [
+                *key_fields,
+                T.StructField("__cuts", at),
+                T.StructField("__coarse", at),
+                T.StructField("__step", T.IntegerType()),
+            ]
+        ),
     )
+    return Splits(frame, keys, sum(len(row["__cuts"]) + 1 for row in cuts))
 
 
-def assign_buckets(df: DataFrame, splits: Splits, order: str) -> DataFrame:
-    """Add ``__hot`` and ``__bucket``: the range of the order column a row of a hot key is in."""
+def assign_buckets(df: DataFrame, splits: Splits, order: list[str]) -> DataFrame:
+    """Add ``__hot`` and ``__bucket``: the range of the order that a row of a hot key is in."""
     frame = splits.frame
     joined = df.join(
         F.broadcast(frame),
         same_keys(df, frame, [(k, f"__k_{k}") for k in splits.keys]),
         "left",
     )
-    value = order_value(df, order)
+    value = F.struct(*order)
     # Two short searches instead of one over all cut values.
     coarse = F.size(F.filter("__coarse", lambda c: c <= value))
     start = F.greatest((coarse - 1) * F.col("__step"), F.lit(0))

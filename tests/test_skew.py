@@ -3,7 +3,12 @@
 import pytest
 from compare import same
 from conftest import SF
+from pyspark.sql import functions as F
 
+from streamscope.plans.scan import (
+    OrderedScan, first_value, last_value, previous, running_count, running_max, running_min, running_sum, total_of,
+)
+from streamscope.plans.skew import assign_buckets, find_splits
 from streamscope.registry import QUERIES, SQL
 
 SCANS = """a2_covered_bytes a10_swarm_health a12_stream_stability a15_memory_trend a21_packet_inventory
@@ -28,9 +33,44 @@ def test_limited_segments_split(spark, split):
 
 
 def test_no_key_is_split_without_need(spark):
-    from streamscope.plans.skew import find_splits
-
     df = spark.range(1000).selectExpr("id % 3 as k", "id as o")
-    assert find_splits(df, ["k"], "o", 500) is None
-    splits = find_splits(df.union(df.filter("k = 1")), ["k"], "o", 500)
+    assert find_splits(df, ["k"], ["o"], 500) is None
+    assert find_splits(df, ["k"], ["o"], 100, bound=df.limit(90)) is None
+    splits = find_splits(df.union(df.filter("k = 1")), ["k"], ["o"], 500)
     assert [r["__k_k"] for r in splits.frame.collect()] == [1]
+
+
+def test_ties_in_the_leading_column_are_split(spark):
+    df = spark.range(2000).selectExpr("'a' as k", "7 as o", "id as tie")
+    splits = find_splits(df, ["k"], ["o", "tie"], 200)
+    depth = assign_buckets(df, splits, ["o", "tie"]).groupBy("__bucket").count().collect()
+    assert len(depth) == 10 and max(r["count"] for r in depth) < 600
+    scan = OrderedScan(df, "k", ["o", "tie"], hot_rows=200).add(n=running_count(), s=running_sum(F.col("tie")))
+    wrong = scan.df.filter("n <> tie + 1 or s <> tie * (tie + 1) div 2")
+    assert wrong.count() == 0 and scan.df.count() == 2000
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_every_running_value(spark, descending):
+    """Split scans against plain windows, nulls included."""
+    df = spark.range(300).selectExpr("id % 2 as k", "id as o", "if(id % 7 < 3, null, id * 37 % 101) as v")
+
+    def values(hot_rows):
+        v = F.col("v")
+        scan = OrderedScan(df, "k", "o", descending, hot_rows).add(
+            a=running_sum(v), b=running_sum(v, exclusive=True), c=running_max(v), d=running_min(v, exclusive=True),
+            e=last_value(v), f=last_value(v, exclusive=True), g=first_value(v), h=previous(v), i=total_of("sum", v),
+            j=total_of("count", v), m=running_count(),
+        )
+        return scan.df.toPandas()
+
+    same(values(20), values(10**6))
+
+
+def test_one_stream_among_many(spark):
+    """A third of the rows in one stream: it is split, the others are not."""
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id % 50 + 1) as k", "id as o")
+    scan = OrderedScan(df, "k", "o", hot_rows=200).add(n=running_count(), before=previous(F.col("o")))
+    assert scan.splits.frame.count() == 1 and scan.splits.total_buckets == 5
+    plain = OrderedScan(df, "k", "o").add(n=running_count(), before=previous(F.col("o")))
+    same(scan.df.toPandas(), plain.df.toPandas())
