@@ -341,3 +341,130 @@ def reap_idle_entries(
         F.col(producers).alias("producers"),
     )
     return fold_stream(rows, [key], ["at"], "last_active_us bigint", step, due, on_due)
+
+
+def stream_catalog(
+    requests: DataFrame,
+    catalog: DataFrame,
+    key: str,
+    ts: str,
+    ident: str,
+    value: str,
+    ttl_seconds: int = 300,
+) -> DataFrame:
+    """``resolve_catalog`` with both sides live: each request with the entry known at its time."""
+
+    def step(rows: pd.DataFrame, state: dict | None):
+        s = state or {"value": None, "at": None}
+        out = []
+        for at, is_request, i, v in zip(rows["at"], rows["is_request"], rows["ident"], rows["value"]):
+            at = int(at)
+            if not is_request:
+                s = {"value": v, "at": at}
+                continue
+            fresh = s["at"] is not None and at - s["at"] < ttl_seconds * 1_000_000
+            out.append((i, s["value"] if fresh else None, fresh))
+        return out, s
+
+    none = F.lit(None).cast("string")
+    asked = requests.select(
+        key,
+        F.unix_micros(ts).alias("at"),
+        F.lit(True).alias("is_request"),
+        F.col(ident).cast("string").alias("ident"),
+        none.alias("value"),
+    )
+    known = catalog.select(
+        key,
+        F.unix_micros(ts).alias("at"),
+        F.lit(False).alias("is_request"),
+        none.alias("ident"),
+        F.col(value).cast("string").alias("value"),
+    )
+    schema = "ident string, value string, resolved boolean"
+    return fold_stream(asked.unionByName(known), [key], ["at", "is_request"], schema, step)
+
+
+def stream_checkpoints(
+    sdf: DataFrame, stream: str, order: list[str], piece: str, interval: int = 128, start: int = 0
+) -> DataFrame:
+    """Positions ``ingest_cursor`` would save, as they are reached."""
+
+    def step(rows: pd.DataFrame, state: dict | None):
+        last = state["last"] if state else start
+        out = []
+        for value in rows["piece"]:
+            if value >= last + interval:
+                last = int(value)
+                out.append((last, last + interval))
+        return out, {"last": last}
+
+    rows = sdf.select(
+        stream, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(piece).alias("piece")
+    )
+    return fold_stream(
+        rows, [stream], [f"o{i}" for i in range(len(order))], "saved bigint, resume_at bigint", step
+    )
+
+
+def stream_release(
+    sdf: DataFrame,
+    stream: str,
+    order: list[str],
+    ts: str,
+    nbytes: str,
+    elapsed: str,
+    reset: str,
+    target_ms: int,
+    max_bytes: int,
+    timeout_ms: int,
+    watermark: str,
+) -> DataFrame:
+    """``startup_release`` live, with the deadline as a timer; a stream that ends early stays open."""
+
+    def step(rows: pd.DataFrame, state: dict | None):
+        s = state or {"from": None, "queued": 0, "done": False}
+        out = []
+        for at, n, ticks, is_reset in zip(rows["at"], rows["nbytes"], rows["elapsed"], rows["reset"]):
+            at, n = int(at), int(n)
+            if s["done"]:
+                break
+            if s["from"] is not None and s["from"] + timeout_ms * 1000 <= at:
+                out.append((s["from"] + timeout_ms * 1000, "Deadline", s["queued"]))
+                s["done"] = True
+                break
+            if s["from"] is None or is_reset:
+                s["from"], s["queued"] = at, 0
+            s["queued"] += n
+            media_us = 0 if ticks is None or pd.isna(ticks) else int(ticks) * 1_000_000 / 90_000
+            if s["queued"] > max_bytes:
+                out.append((at, "ByteLimit", s["queued"]))
+            elif media_us >= target_ms * 1000:
+                out.append((at, "TargetDuration", s["queued"]))
+            s["done"] = bool(out)
+        return out, s
+
+    def due(s: dict) -> int | None:
+        return None if s["done"] or s["from"] is None else -(-s["from"] // 1000) + timeout_ms
+
+    def on_due(s: dict, now_ms: int):
+        return [(s["from"] + timeout_ms * 1000, "Deadline", s["queued"])], {**s, "done": True}
+
+    rows = sdf.withWatermark(ts, watermark).select(
+        stream,
+        F.col(ts),
+        *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
+        F.unix_micros(ts).alias("at"),
+        F.col(nbytes).alias("nbytes"),
+        F.col(elapsed).alias("elapsed"),
+        F.coalesce(F.col(reset), F.lit(False)).alias("reset"),
+    )
+    return fold_stream(
+        rows,
+        [stream],
+        [f"o{i}" for i in range(len(order))],
+        "released_at_us bigint, reason string, queued bigint",
+        step,
+        due,
+        on_due,
+    )

@@ -292,3 +292,64 @@ def test_manifest(spark):
     pay = spark.createDataFrame([("v", 0, ""), ("v", 1, "x"), ("v", 2, "y")], "k string, piece int, data string")
     got = access.verify_pieces(pay, access.expand_manifest(m, "k", "h"), ["k", "piece"], "data", "expected")
     assert [r.ok for r in got.orderBy("piece").collect()] == [True, False, False]
+
+
+def test_catalog_live(spark, tmp_path):
+    rng = random.Random(13)
+    at, data = 1_700_000_000, []
+    for i in range(200):
+        at += rng.randrange(1, 60)
+        data.append((rng.choice("ab"), at, i, rng.random() < 0.2))
+    frame = pd.DataFrame(data, columns=["k", "at", "i", "entry"])
+    schema = "k string, at bigint, i bigint, entry boolean"
+
+    def sides(df):
+        df = df.withColumn("ts", F.timestamp_seconds("at"))
+        return df.filter("not entry").select("k", "ts", "i"), df.filter("entry").select("k", "ts", F.col("i").alias("v"))
+
+    batch = access.resolve_catalog(*sides(spark.createDataFrame(frame, schema)), "k", "ts", "v", 100)
+    sdf = landed(spark, tmp_path, frame, schema)
+    live = drain(st.stream_catalog(*sides(sdf), "k", "ts", "i", "v", 100), "t")
+    got = live.select("k", F.col("ident").cast("bigint").alias("i"), F.col("value").cast("bigint").alias("v"), "resolved")
+    assert rows(got) == rows(batch.select("k", "i", "v", "resolved"))
+
+
+def test_checkpoints_live(spark, tmp_path, split):
+    rng = random.Random(17)
+    frame = pd.DataFrame([("s", i, i * 9 + rng.randrange(60)) for i in range(400)], columns=["s", "o", "piece"])
+    schema = "s string, o bigint, piece bigint"
+    _, batch = delivery.ingest_cursor(spark.createDataFrame(frame, schema), "s", ["o"], "piece")
+    live = drain(st.stream_checkpoints(landed(spark, tmp_path, frame, schema), "s", ["o"], "piece"), "t")
+    assert rows(live) == rows(batch)
+    last, want = 0, []
+    for piece in frame["piece"]:
+        if piece >= last + 128:
+            last = piece
+            want.append(("s", last, last + 128))
+    assert rows(batch) == sorted(want, key=repr)
+
+
+def test_release_live(spark, tmp_path):
+    rng = random.Random(19)
+    data = []
+    for s in range(12):
+        at, ticks = 1_700_000_000_000, 0
+        for i in range(40):
+            at += rng.choice([100, 200, 3000])
+            reset = rng.random() < 0.08
+            ticks = 0 if reset else ticks + rng.randrange(9000 * (s % 3))if s % 3 else 0
+            data.append((f"s{s}", i, at, rng.randrange(1, 400), ticks, reset))
+    data.sort(key=lambda r: r[1])
+    frame = pd.DataFrame(data, columns=["s", "o", "at", "n", "e", "r"])
+    schema = "s string, o bigint, at bigint, n bigint, e bigint, r boolean"
+
+    def timed(df):
+        return df.withColumn("ts", F.timestamp_millis("at")).drop("at")
+
+    args = ("s", ["o"], "ts", "n", "e", "r", 1500, 4000, 20_000)
+    batch = media.startup_release(timed(spark.createDataFrame(frame, schema)), *args)
+    want = {r.s: (r.released, r.reason, r.queued) for r in batch.select("s", F.unix_micros("released_at").alias("released"), "reason", "queued").collect()}
+    live = drain(st.stream_release(timed(landed(spark, tmp_path, frame, schema)), *args, "60 seconds"), "t").collect()
+    got = {r.s: (r.released_at_us, r.reason, r.queued) for r in live}
+    assert len(live) == len(got) and {v[1] for v in got.values()} >= {"ByteLimit", "TargetDuration"}
+    assert got == {k: v for k, v in want.items() if v[1] != "EndOfStream" or k in got}
