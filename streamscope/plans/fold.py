@@ -81,11 +81,13 @@ def sliced_fold(
     if splits is None:
         return fold(df, False)
 
-    df = cut(assign_buckets(df, splits, order))
-    last = df.agg(F.max("__bucket")).first()[0]
-    states, outputs = None, []
+    placed = assign_buckets(df, splits, order)
+    outputs = [fold(placed.filter(~F.col("__hot")).drop("__bucket", "__hot"), False)]
+    hot = cut(placed.filter("__hot").drop("__hot"))
+    last = hot.agg(F.max("__bucket")).first()[0]
+    states = None
     for bucket in range(last + 1):
-        rows = df.filter(F.col("__bucket") == bucket).drop("__bucket", "__hot")
+        rows = hot.filter(F.col("__bucket") == bucket).drop("__bucket")
         rows = rows.withColumn("__state", F.lit(None).cast("string"))
         if states is not None:
             rows = rows.unionByName(states, allowMissingColumns=True)

@@ -1,7 +1,7 @@
 """Running values along an order, per key, that survive one key holding most of the rows.
 
 Without hot keys a scan is a plain window: one shuffle on the keys, one sort, and every running
-value of the scan shares them.  A hot key is cut into ranges of about equal depth along its order; each
+value of the scan shares them.  Other keys stay with that plan when there are hot ones.  A hot key is cut into ranges of about equal depth along its order; each
 range is scanned on its own task, the per-range summaries (one row per range) are scanned in turn,
 and each row is completed with the value carried into its range.
 """
@@ -85,26 +85,34 @@ class OrderedScan:
         self.splits: Splits | None = find_splits(
             df, self.keys, self.order, hot_rows, bound
         )
-        self._df = df if self.splits is None else assign_buckets(df, self.splits, self.order)
+        # Rows of ordinary keys, and rows of hot keys with the range each is in.
+        self._rows, self._hot = df, None
+        if self.splits is not None:
+            placed = assign_buckets(df, self.splits, self.order)
+            self._rows = placed.filter(~F.col("__hot")).drop("__hot", "__bucket")
+            self._hot = placed.filter("__hot").drop("__hot")
 
     def _sorted(self) -> list[Column]:
         return [F.col(c).desc() if self.descending else F.col(c).asc() for c in self.order]
 
     def select(self, **columns: Column) -> OrderedScan:
         """Row-wise columns from earlier running values."""
-        self._df = self._df.withColumns(columns)
+        self._rows = self._rows.withColumns(columns)
+        if self._hot is not None:
+            self._hot = self._hot.withColumns(columns)
         return self
 
     def add(self, **running: Running) -> OrderedScan:
-        if self.splits is None:
-            self._df = self._df.withColumns({n: self._plain(r) for n, r in running.items()})
-        else:
-            self._df = self._split(running)
+        self._rows = self._rows.withColumns({n: self._plain(r) for n, r in running.items()})
+        if self._hot is not None:
+            self._hot = self._split(running)
         return self
 
     @property
     def df(self) -> DataFrame:
-        return self._df.drop("__bucket", "__hot")
+        if self._hot is None:
+            return self._rows
+        return self._rows.unionByName(self._hot.drop("__bucket"))
 
     def _frame_end(self, r: Running) -> int:
         return -1 if r.exclusive else 0
@@ -155,7 +163,7 @@ class OrderedScan:
 
     def _merge(self, r: Running, local: Column, carry: Column) -> Column:
         if r.kind.startswith("total:"):
-            return F.when(F.col("__hot"), carry).otherwise(local)
+            return carry
         if r.kind == "prev":
             return F.coalesce(local, carry)["v"]
         if r.kind == "last":
@@ -171,11 +179,11 @@ class OrderedScan:
 
     def _split(self, running: dict[str, Running]) -> DataFrame:
         # The rows are read twice (summaries, completion): settle them first.
-        df = cut(self._df)
+        df = cut(self._hot)
         summaries = (
-            df.filter("__hot")
-            .groupBy(*[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col("__bucket").alias("__b"))
-            .agg(*[self._summary(r).alias(f"__s_{n}") for n, r in running.items()])
+            df.groupBy(
+                *[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col("__bucket").alias("__b")
+            ).agg(*[self._summary(r).alias(f"__s_{n}") for n, r in running.items()])
         )
         carried = summaries.select(
             *[f"__k_{k}" for k in self.keys],

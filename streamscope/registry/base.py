@@ -6,11 +6,13 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 class Tables:
@@ -18,8 +20,15 @@ class Tables:
         self.spark = prepare(spark)
         self.folder = folder
 
+    def schema(self, name: str) -> StructType:
+        """A table's schema, read from its footer once."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return _SCHEMAS[path]
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(self.schema(name)).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def events(self) -> DataFrame:

@@ -14,9 +14,8 @@ class Live(Tables):
     """The same tables and roles, read as streams."""
 
     def read(self, name: str) -> DataFrame:
-        schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
         return (
-            self.spark.readStream.schema(schema)
+            self.spark.readStream.schema(self.schema(name))
             .option("pathGlobFilter", f"{name}.parquet")
             .option("maxFilesPerTrigger", 1)
             .parquet(self.folder)
