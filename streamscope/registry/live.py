@@ -47,14 +47,26 @@ def _(t: Tables):
     return drain(st.stream_segments(df, "user_id", "pkt", "pid", "pcr", "access", "flag", 6.0), "segments")
 
 
-@query("h3_stream_reassembly")
+@query(
+    "h3_stream_reassembly",
+    f"""WITH {LI}, d AS (SELECT piece % 4 AS stream, piece // 4 AS piece, CASE WHEN nbytes = 50 THEN 2 ELSE chunk % 2 END AS chunk,
+        row_number() OVER (ORDER BY piece, ts, part, peer, cents, chunk, nbytes) AS o FROM li),
+      n AS (SELECT *, chunk < 2 AND row_number() OVER (PARTITION BY stream, piece, chunk ORDER BY o) = 1 AS fresh FROM d),
+      h AS (SELECT *, COALESCE(SUM(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY stream, piece ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM n),
+      w AS (SELECT stream, piece FROM d WHERE chunk < 2 GROUP BY ALL HAVING COUNT(DISTINCT chunk) = 2),
+      c AS (SELECT stream, 0 AS place FROM (SELECT DISTINCT stream FROM d) UNION SELECT stream, piece + 1 FROM w),
+      f AS (SELECT c.stream, MIN(place) AS nxt FROM c LEFT JOIN w ON c.stream = w.stream AND c.place = w.piece WHERE w.piece IS NULL GROUP BY c.stream)
+    SELECT h.stream, piece, chunk, CASE WHEN piece >= nxt + 512 THEN 'rejected' WHEN had = 2 THEN 'late' WHEN chunk = 2 THEN 'invalid'
+      WHEN fresh THEN 'stored' ELSE 'duplicate' END AS outcome FROM h JOIN f ON h.stream = f.stream
+    UNION ALL SELECT w.stream, piece, NULL, 'emitted' FROM w JOIN f ON w.stream = f.stream WHERE piece < nxt""",
+)
 def _(t: Tables):
-    """Deliveries of four streams in time order; checked against a sequential model in the tests."""
+    """Piece-ordered arrival, which SQL can follow; any order is checked by a model in the tests."""
     df = live(t).lineitem.select(
-        (F.col("piece") % 4).alias("stream"), "ts", "part", "peer", "cents",
-        F.expr("piece div 4 - 100").alias("piece"), (F.col("chunk") - 1).alias("chunk"),
-    ).filter("piece >= 0")
-    out = st.stream_reassembly(df, "stream", ["piece", "ts", "part", "peer", "cents", "chunk"], "piece", "chunk", 2)
+        (F.col("piece") % 4).alias("stream"), "ts", "part", "peer", "cents", "nbytes", F.col("chunk").alias("line"),
+        F.expr("piece div 4").alias("piece"), F.expr("if(nbytes = 50, 2, chunk % 2)").alias("chunk"),
+    )
+    out = st.stream_reassembly(df, "stream", ["piece", "ts", "part", "peer", "cents", "line", "nbytes"], "piece", "chunk", 2)
     return drain(out, "reassembly")
 
 
@@ -85,9 +97,16 @@ def _(t: Tables):
     return drain(out, "edge")
 
 
-@query("h10_stall_alerts")
+@query(
+    "h10_stall_alerts",
+    f"""WITH {EV}, o AS (SELECT user_id, event_id, ts, k >= 10 AND event_type IN ('view', 'click', 'purchase') AS gave, event_type <> 'error' AS active FROM ev),
+      s AS (SELECT *, SUM(CASE WHEN gave THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n, MAX(ts) OVER (PARTITION BY user_id) AS last,
+        MAX(ts) OVER () - INTERVAL 1 HOUR AS mark FROM o),
+      p AS (SELECT *, COALESCE(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id), greatest(last, mark)) AS until FROM s WHERE gave OR (n = 0 AND active))
+    SELECT user_id, epoch_us(ts) + 86400000000 AS stale_at_us, n = 0 AS excluded FROM p WHERE ts + INTERVAL 24 HOUR <= until
+    UNION ALL SELECT user_id, epoch_us(ts) + 172800000000, TRUE FROM p WHERE n > 0 AND ts + INTERVAL 48 HOUR <= until""",
+)
 def _(t: Tables):
-    """Alerts by rows and by timers; compared with ``stall_intervals`` in the tests."""
     df = live(t).events.withColumns(
         {"out": (F.col("k") >= 10) & F.col("event_type").isin("view", "click", "purchase"), "act": F.col("event_type") != "error"}
     )
@@ -95,7 +114,12 @@ def _(t: Tables):
     return drain(out, "stalls")
 
 
-@query("h8_reap_idle_entries")
+@query(
+    "h8_reap_idle_entries",
+    f"""WITH {EV}, e AS (SELECT user_id, ts, event_type <> 'signup' AND k % 3 = 0 AS idle, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt,
+        MAX(ts) OVER () - INTERVAL 1 HOUR AS mark FROM ev)
+    SELECT user_id, epoch_us(ts) AS last_active_us FROM e WHERE idle AND ts + INTERVAL 10 HOUR <= COALESCE(nxt, mark)""",
+)
 def _(t: Tables):
     df = live(t).events.select(
         "user_id", "ts", F.when(F.col("event_type") == "signup", "broadcast").otherwise("relay").alias("kind"),

@@ -57,7 +57,9 @@ class Fold(StatefulProcessor):
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out, state = self.on_due(self._load(), expiredTimerInfo.getExpiryTimeInMs())
+        # Everything up to the watermark is due, not only what the timer was set for.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        out, state = self.on_due(self._load(), now)
         self._store(state)
         yield self._frame(key, out)
 
