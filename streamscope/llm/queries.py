@@ -26,3 +26,31 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import packed_digest
+
+    return packed_digest(table(spark, folder, "documents"))
+
+
+@query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from .rules import verdicts
+
+    return verdicts(table(spark, folder, "documents"))
+
+
+@query
+def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(table(spark, folder, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from .linededup import line_report
+
+    return line_report(table(spark, folder, "documents"))
