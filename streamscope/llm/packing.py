@@ -18,6 +18,9 @@ from .tokens import encoded
 
 CAPACITY = 1024
 END_ID = 2
+#: Shares of the capacity up to which lengths are kept out of exact groups, for best fit to close
+#: gaps with; the plan with the fewest sequences is taken.
+RESERVES = (0.0, 1 / 8, 1 / 4, 1 / 3)
 _FLUSH = 16 << 20
 
 Patterns = list[tuple[tuple[int, ...], int]]
@@ -92,7 +95,7 @@ class _Stock:
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] = n
-        self.pairs = None
+        self.sums = None
 
     def take(self, lengths: tuple[int, ...]) -> int:
         """Use up as many equal groups of these lengths as there are."""
@@ -100,67 +103,60 @@ class _Stock:
         times = min(int(self.left[x]) // n for x, n in need.items())
         for x, n in need.items():
             self.left[x] -= n * times
-            if self.left[x] < 3:
-                self.pairs = None
+            if not self.left[x]:
+                self.sums = None
         return times
 
-    def _pair(self, total: int, beside: tuple[int, ...]) -> tuple[int, ...] | None:
-        """Two lengths on hand with this sum, as unequal as possible."""
-        high = np.arange(total - 1, (total - 1) // 2, -1)
+    def pair(self, total: int, *beside: int) -> tuple[int, ...] | None:
+        """Two lengths on hand with this sum, as equal as possible."""
+        high = np.arange((total + 1) // 2, total)
         for b in high[(self.left[high] > 0) & (self.left[total - high] > 0)].tolist():
             if self._has((*beside, b, total - b)):
                 return b, total - b
         return None
 
-    def _has(self, lengths: tuple[int, ...]) -> bool:
-        return all(self.left[x] >= n for x, n in Counter(lengths).items())
+    def single(self, total: int, *beside: int) -> tuple[int, ...] | None:
+        return (total,) if self._has((*beside, total)) else None
 
-    def complement(self, anchor: int, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths on hand that fill the gap exactly beside the anchor."""
-        if self._has((anchor, gap)):
-            return (gap,)
-        if pair := self._pair(gap, (anchor,)):
-            return pair
-        if self.pairs is None:
+    def triple(self, total: int, *beside: int) -> tuple[int, ...] | None:
+        """Three lengths on hand with this sum; the pairs' sums are looked up in their index."""
+        if self.sums is None:
             there = (self.left > 0).astype(np.float64)
-            self.pairs = np.convolve(there, there) > 0
-        third = np.arange(1, gap // 3 + 1)
-        for d in third[(self.left[third] > 0) & self.pairs[gap - third]].tolist():
-            if pair := self._pair(gap - d, (anchor, d)):
+            self.sums = np.convolve(there, there) > 0
+        third = np.arange(1, total // 3 + 1)
+        for d in third[(self.left[third] > 0) & self.sums[total - third]].tolist():
+            if pair := self.pair(total - d, *beside, d):
                 return (*pair, d)
         return None
 
+    def _has(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= n for x, n in Counter(lengths).items())
+
 
-def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> Patterns:
-    """Patterns (lengths in a sequence, number of such sequences) that use every piece once.
+def _exact(stock: _Stock, capacity: int) -> Patterns:
+    """Groups that fill a sequence exactly, as often as the counts allow.
 
-    Works on how many pieces there are of each length, so its size depends on the capacity alone.
-    From the longest length down, groups that fill a sequence exactly are taken as often as the
-    counts allow; each step uses up a length. What no exact group holds is packed best-fit, longest
-    first, again many equal sequences at a time.
+    From the longest length down: those with one complement, then with two, then with three. Each
+    step uses up a length.
     """
-    stock, patterns, rest = _Stock(counts, capacity), [], {}
-    for anchor in range(capacity, 0, -1):
-        while stock.left[anchor]:
-            gap = capacity - anchor
-            fill = stock.complement(anchor, gap) if gap else ()
-            if fill is None:
-                rest[anchor] = int(stock.left[anchor])
-                stock.left[anchor] = 0
-                stock.pairs = None
-            else:
-                lengths = (anchor, *fill)
-                patterns.append((lengths, stock.take(lengths)))
+    patterns: Patterns = [((capacity,), n)] if (n := stock.take((capacity,))) else []
+    for complement in (stock.single, stock.pair, stock.triple):
+        for anchor in range(capacity - 1, 0, -1):
+            while stock.left[anchor] and (fill := complement(capacity - anchor, anchor)):
+                patterns.append(((anchor, *fill), stock.take((anchor, *fill))))
+    return patterns
 
+
+def _best_fit(counts: dict[int, int], capacity: int) -> Patterns:
+    """Best fit, longest first, many equal sequences at a time."""
     open_bins: dict[int, Patterns] = defaultdict(list)
-    for length, n in rest.items():
+    for length, n in sorted(counts.items(), reverse=True):
         while n:
             gap = min((g for g, bins in open_bins.items() if g >= length and bins), default=None)
             if gap is None:
                 each = min(capacity // length, n)
-                gap, start = capacity - each * length, ((length,) * each, n // each)
-                open_bins[gap].append(start)
-                n -= each * start[1]
+                open_bins[capacity - each * length].append(((length,) * each, n // each))
+                n -= each * (n // each)
                 continue
             lengths, times = open_bins[gap].pop()
             if times > n:
@@ -168,7 +164,24 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> Patterns:
                 times = n
             open_bins[gap - length].append(((*lengths, length), times))
             n -= times
-    return patterns + [p for bins in open_bins.values() for p in bins]
+    return [p for bins in open_bins.values() for p in bins]
+
+
+def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> Patterns:
+    """Patterns (lengths in a sequence, number of such sequences) that use every piece once.
+
+    Works on how many pieces there are of each length, so its size depends on the capacity alone.
+    Exact groups first; what they leave is packed best-fit. Exact groups may use up the short
+    pieces that best fit would close gaps with, so some of the shortest can be reserved for it.
+    """
+    plans = []
+    for share in RESERVES:
+        stock = _Stock({x: n for x, n in counts.items() if x > share * capacity}, capacity)
+        exact = _exact(stock, capacity)
+        rest = {x: n for x, n in counts.items() if x <= share * capacity}
+        rest |= {x: int(stock.left[x]) for x in np.flatnonzero(stock.left).tolist()}
+        plans.append(exact + _best_fit(rest, capacity))
+    return min(plans, key=lambda p: sum(n for _, n in p))
 
 
 def _slots(patterns: Patterns) -> list[tuple[int, int, int, int, int]]:

