@@ -27,10 +27,9 @@ def chunk_address(
     piece_len: int,
     chunk_len: int,
     start: int = 0,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Where each write of a stream lands: ``piece``, ``chunk`` and ``begin`` of its first byte."""
-    scan = OrderedScan(df, stream, order, hot_rows=hot_rows).add(
+    scan = OrderedScan(df, stream, order).add(
         offset=running_sum(F.col(nbytes), exclusive=True)
     )
     inside = F.pmod(F.col("offset"), F.lit(piece_len))

@@ -21,7 +21,6 @@ def resolve_catalog(
     ts: str,
     value: str,
     ttl_seconds: int = CATALOG_TTL_SECONDS,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Each request with the latest entry of its key, while that is younger than the limit.
 
@@ -32,7 +31,7 @@ def resolve_catalog(
     both = requests.withColumn("__kind", F.lit(1)).unionByName(
         entries.withColumn("__kind", F.lit(0)), allowMissingColumns=True
     )
-    scan = OrderedScan(both, key, [ts, "__kind"], hot_rows=hot_rows).add(__found=last_value(F.col("__entry")))
+    scan = OrderedScan(both, key, [ts, "__kind"]).add(__found=last_value(F.col("__entry")))
     age = F.unix_micros(ts) - F.unix_micros("__found.t")
     fresh = F.coalesce(age < ttl_seconds * 1_000_000, F.lit(False))
     return scan.df.filter("__kind = 1").select(

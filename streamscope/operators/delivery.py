@@ -48,7 +48,7 @@ def covered_bytes(
         F.max(F.when(good, end)).alias("__end"),
         F.count_if(~good).alias("__rejected"),
     )
-    reached = OrderedScan(blocks, keys, "__begin", bound=df).add(
+    reached = OrderedScan(blocks, keys, "__begin").add(
         __before=running_max(F.col("__end"), exclusive=True)
     )
     new = F.greatest(
@@ -124,22 +124,13 @@ def contiguous_frontier(pieces: DataFrame, stream: str, piece: str, start: int =
     )
 
 
-def have_ranges(
-    pieces: DataFrame,
-    stream: str,
-    piece: str,
-    hot_rows: int | None = None,
-    bound: DataFrame | None = None,
-) -> DataFrame:
+def have_ranges(pieces: DataFrame, stream: str, piece: str) -> DataFrame:
     """Contiguous runs of pieces as (first, count).  Pieces may repeat.
 
-    Only the edges of runs are put in order.  ``bound`` (see ``find_splits``) needs at least as
-    many rows per stream as there are edges.
+    Only the edges of runs are put in order.
     """
     edges = _edges(pieces, stream, piece)
-    paired = OrderedScan(edges, stream, "at", hot_rows=hot_rows, bound=bound).add(
-        first_piece=previous(F.col("at"))
-    )
+    paired = OrderedScan(edges, stream, "at").add(first_piece=previous(F.col("at")))
     return paired.df.filter("not starts").select(
         stream, "first_piece", (F.col("at") - F.col("first_piece")).alias("n_pieces")
     )
@@ -243,23 +234,19 @@ def cached_prefix(
     piece: str,
     first: str,
     end: str,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """How many pieces from each range's start are held without a gap (``end`` is exclusive).
 
     The held runs are looked up by their start, so neither ranges nor runs are expanded.
     """
-    # At most two edges per held piece, and fewer runs than pieces.
-    rows = have.select(stream)
-    runs = have_ranges(have, stream, piece, hot_rows, rows.unionByName(rows)).select(
+    runs = have_ranges(have, stream, piece).select(
         stream,
         F.col("first_piece").alias("__at"),
         (F.col("first_piece") + F.col("n_pieces")).alias("__stop"),
     )
     asked = ranges.select("*", F.col(first).alias("__at"), F.lit(1).alias("__kind"))
     both = asked.unionByName(runs.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-    bound = ranges.select(stream).unionByName(rows)
-    looked = OrderedScan(both, stream, ["__at", "__kind"], hot_rows=hot_rows, bound=bound).add(
+    looked = OrderedScan(both, stream, ["__at", "__kind"]).add(
         __run=last_value(F.col("__stop"))
     )
     cached = F.greatest(
@@ -281,7 +268,7 @@ def source_stats(
 
 
 def byte_budget_retention(
-    df: DataFrame, stream: str, piece: str, nbytes: str, budget: int, hot_rows: int | None = None
+    df: DataFrame, stream: str, piece: str, nbytes: str, budget: int
 ) -> DataFrame:
     """What remains when the lowest pieces are dropped until the total fits the budget.
 
@@ -289,7 +276,7 @@ def byte_budget_retention(
     ``stream_retention`` is exact for any arrival order.
     """
     sizes = df.groupBy(stream, piece).agg(F.sum(nbytes).alias("nbytes"))
-    scan = OrderedScan(sizes, stream, piece, descending=True, hot_rows=hot_rows, bound=df).add(
+    scan = OrderedScan(sizes, stream, piece, descending=True).add(
         __held=running_sum(F.col("nbytes"))
     )
     return scan.df.withColumn("retained", (F.col("__held") <= budget) & (F.lit(budget) > 0)).drop("__held")
@@ -332,9 +319,9 @@ def age_retention(df: DataFrame, stream: str, piece: str, ts: str, retention: Co
     )
 
 
-def live_edge(df: DataFrame, stream: str, order: list[str], piece: str, hot_rows: int | None = None) -> DataFrame:
+def live_edge(df: DataFrame, stream: str, order: list[str], piece: str) -> DataFrame:
     """Arrivals that move the head of a stream: the pieces newly advertised by each."""
-    scan = OrderedScan(df, stream, order, hot_rows=hot_rows).add(
+    scan = OrderedScan(df, stream, order).add(
         before=running_max(F.col(piece), exclusive=True)
     )
     return (
@@ -351,7 +338,6 @@ def ingest_cursor(
     piece: str,
     interval: int = CHECKPOINT_PIECES,
     start: int = 0,
-    hot_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(cursor, checkpoints): the monotone next piece on every row, and the saved positions.
 
@@ -359,7 +345,7 @@ def ingest_cursor(
     the saved position plus ``interval``.
     """
     cursor = (
-        OrderedScan(df, stream, order, hot_rows=hot_rows)
+        OrderedScan(df, stream, order)
         .add(cursor=running_max(F.col(piece)))
         .df
     )
@@ -376,7 +362,7 @@ def ingest_cursor(
         return saved, {"last": last}
 
     checkpoints = sliced_fold(
-        values, [stream], ["cursor"], step, "saved bigint", hot_rows, bound=df
+        values, [stream], ["cursor"], step, "saved bigint", bound=df
     ).withColumn("resume_at", F.col("saved") + interval)
     return cursor, checkpoints
 
@@ -389,10 +375,9 @@ def far_behind_skips(
     next_piece: str,
     prefetch: int,
     limit: int = 512,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Rows where a reader is more than ``limit`` behind the highest head seen, and its jump."""
-    scan = OrderedScan(df, stream, order, hot_rows=hot_rows).add(known_head=running_max(F.col(head)))
+    scan = OrderedScan(df, stream, order).add(known_head=running_max(F.col(head)))
     target = F.greatest(F.col("known_head") - prefetch, F.col(next_piece) + 1)
     return scan.df.filter(F.col("known_head") - F.col(next_piece) > limit).withColumn("jump_to", target)
 

@@ -17,7 +17,7 @@ MIN_PACKETS = 4
 
 
 def longest_run(
-    df: DataFrame, stream: str, order: list[str], pred: Column, hot_rows: int | None = None
+    df: DataFrame, stream: str, order: list[str], pred: Column
 ) -> DataFrame:
     """The longest unbroken run of rows satisfying ``pred``.
 
@@ -25,7 +25,7 @@ def longest_run(
     combines before the shuffle however long it is.
     """
     holds = F.coalesce(pred, F.lit(False))
-    runs = OrderedScan(df.withColumn("__holds", holds), stream, order, hot_rows=hot_rows).add(
+    runs = OrderedScan(df.withColumn("__holds", holds), stream, order).add(
         __breaks=running_sum((~F.col("__holds")).cast("bigint"))
     )
     return (
@@ -37,10 +37,10 @@ def longest_run(
 
 
 def is_rising(
-    df: DataFrame, key: str, order: list[str], value: str, hot_rows: int | None = None
+    df: DataFrame, key: str, order: list[str], value: str
 ) -> DataFrame:
     """Never falling, at least two values, and the last above the first."""
-    scan = OrderedScan(df, key, order, hot_rows=hot_rows).add(__before=previous(F.col(value)))
+    scan = OrderedScan(df, key, order).add(__before=previous(F.col(value)))
     steady = F.bool_and(F.coalesce(F.col(value) >= F.col("__before"), F.lit(True)))
     # For a series that never falls, last > first is max > min.
     return scan.df.groupBy(key).agg(
@@ -57,13 +57,12 @@ def swarm_health(
     down: str,
     up: str,
     warmup: int,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Health per peer after its first ``warmup`` samples; upload is reported but not required.
 
     One scan and one aggregation; peers whose samples are all warm-up stay in the result and fail.
     """
-    scan = OrderedScan(df, peer, order, hot_rows=hot_rows).add(
+    scan = OrderedScan(df, peer, order).add(
         __n=running_count(), __before=previous(F.col(down))
     )
     post = F.col("__n") > warmup
@@ -107,8 +106,6 @@ def stream_stability(
     streams: DataFrame | None = None,
     stall_bytes: int = STALL_BYTES_PER_SECOND,
     max_stall: int = MAX_STALL_SECONDS,
-    hot_rows: int | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Throughput and longest stall, from bytes per second.
 
@@ -118,7 +115,7 @@ def stream_stability(
     without a single second; those fail.
     """
     flowing = F.when(F.col(nbytes) >= stall_bytes, F.col(second))
-    scan = OrderedScan(df, stream, second, hot_rows=hot_rows, bound=bound).add(
+    scan = OrderedScan(df, stream, second).add(
         __before=last_value(flowing, exclusive=True)
     )
     low, high = F.min(second), F.max(second)

@@ -24,7 +24,6 @@ def pcr_segments(
     pid: str,
     pcr: str,
     discontinuity: str,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Clock segments: ``segment`` number and ``elapsed`` ticks on the rows that carry the clock.
 
@@ -37,7 +36,7 @@ def pcr_segments(
     df = df.withColumns({"__flag": flag, "__timed": timed})
     mark = F.when(F.col("__flag") | F.col("__timed"), F.struct(F.col("__flag").alias("flag")))
     scan = (
-        OrderedScan(df, stream, order, hot_rows=hot_rows)
+        OrderedScan(df, stream, order)
         .add(__mark=last_value(mark, exclusive=True))
         .select(__first=F.col("__timed") & F.coalesce(F.col("__mark.flag"), F.lit(True)))
         .add(__pid=last_value(F.when(F.col("__first"), F.col(pid))))
@@ -75,7 +74,6 @@ def hls_segments(
     target_seconds: float,
     max_packets: int | None = None,
     table_packets: int = TABLE_PACKETS,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Cut a packet timeline into segments: seq, start_pkt, end_pkt, duration, discontinuity.
 
@@ -97,7 +95,7 @@ def hls_segments(
         return cut, cutter.state()
 
     schema = "seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean"
-    return sliced_fold(rows, [stream], ["pkt"], step, schema, hot_rows, bound=df)
+    return sliced_fold(rows, [stream], ["pkt"], step, schema, bound=df)
 
 
 def hls_live_window(
@@ -177,8 +175,6 @@ def startup_release(
     max_bytes: int,
     timeout_ms: int,
     bitrate: str | None = None,
-    hot_rows: int | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """When and why each stream's start-up buffer is released.
 
@@ -193,7 +189,7 @@ def startup_release(
             stream, "released_at", F.lit("Disabled").alias("reason"), F.lit(0).cast("bigint").alias("queued")
         )
     scan = (
-        OrderedScan(df, stream, order, hot_rows=hot_rows, bound=bound)
+        OrderedScan(df, stream, order)
         .add(__prior=running_sum(F.col(nbytes), exclusive=True), __seen=previous(F.col(ts)))
         .select(__opens=F.col("__seen").isNull() | F.coalesce(F.col(reset), F.lit(False)))
         .add(__from=last_value(F.when(F.col("__opens"), F.struct(F.col(ts).alias("t"), F.col("__prior").alias("b")))))
@@ -237,14 +233,13 @@ def stall_intervals(
     output: str,
     activity: str,
     timeout_seconds: int = STALE_SECONDS,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Gaps of at least the timeout between two rows of progress.
 
     Output is progress; before a stream's first output, so is any activity.
     """
     scan = (
-        OrderedScan(df, stream, order, hot_rows=hot_rows)
+        OrderedScan(df, stream, order)
         .add(__outputs=running_sum(F.col(output).cast("bigint")))
         .select(__progress=F.col(output) | ((F.col("__outputs") == 0) & F.col(activity)))
         .add(stalled_from=last_value(F.when(F.col("__progress"), F.col(ts)), exclusive=True))

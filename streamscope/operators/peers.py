@@ -55,7 +55,6 @@ def rank_by_coverage(
     min_piece: str,
     max_piece: str,
     needed: str,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adverts ranked: covering windows, then unknown, then not covering; arrival order inside."""
     covers = F.col(needed).between(F.col(min_piece), F.col(max_piece))
@@ -65,7 +64,7 @@ def rank_by_coverage(
     before = grouped.groupBy(stream).agg(
         F.count_if(F.col("__group") == 0).alias("__n0"), F.count_if(F.col("__group") <= 1).alias("__n1")
     )
-    ranked = OrderedScan(grouped, [stream, "__group"], ord, hot_rows=hot_rows).add(__n=running_count())
+    ranked = OrderedScan(grouped, [stream, "__group"], ord).add(__n=running_count())
     offset = F.when(F.col("__group") == 0, 0).when(F.col("__group") == 1, F.col("__n0")).otherwise(F.col("__n1"))
     return (
         ranked.df.join(before, stream)
@@ -81,11 +80,10 @@ def choose_unchoked(
     order: str,
     n: int,
     tick: Column | int,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """The first ``n`` interested peers, plus one optimistic pick that rotates with the tick."""
     tick = F.lit(tick) if isinstance(tick, int) else tick
-    scan = OrderedScan(df, keys, [order, peer], hot_rows=hot_rows).add(
+    scan = OrderedScan(df, keys, [order, peer]).add(
         __rank=running_count(), __total=total_of("count", F.lit(1))
     )
     optimistic = n + 1 + F.pmod(tick, F.greatest(F.col("__total") - n, F.lit(1)))

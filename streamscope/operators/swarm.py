@@ -18,7 +18,6 @@ def correlate_replies(
     ts: str,
     ident: str,
     ttl_seconds: int = REPLY_TTL_SECONDS,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Replies with the query each one answers, or ``correlated`` false.
 
@@ -31,7 +30,7 @@ def correlate_replies(
         replies.withColumn("__reply", F.lit(1)), allowMissingColumns=True
     )
     before = F.struct(F.col("__reply").alias("r"), F.col(ts).alias("t"), F.col(ident).alias("i"))
-    scan = OrderedScan(both, keys, [ts, "__reply", ident], hot_rows=hot_rows).add(__q=previous(before))
+    scan = OrderedScan(both, keys, [ts, "__reply", ident]).add(__q=previous(before))
     age = F.unix_micros(ts) - F.unix_micros("__q.t")
     hit = F.coalesce((F.col("__q.r") == 0) & (age <= ttl_seconds * 1_000_000), F.lit(False))
     return (

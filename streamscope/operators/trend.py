@@ -20,14 +20,14 @@ def _last(value: Column, t: Column) -> Column:
 
 
 def memory_trend(
-    df: DataFrame, run: str, t: str, rss: str, places: int = 6, hot_rows: int | None = None
+    df: DataFrame, run: str, t: str, rss: str, places: int = 6
 ) -> DataFrame:
     """First, last, peak and change of memory, and its slope per second overall and at the end.
 
     The end is the last third of the samples (two at least), unreadable ones included; the slope
     there decides whether memory has levelled off.
     """
-    scan = OrderedScan(df, run, t, hot_rows=hot_rows).add(
+    scan = OrderedScan(df, run, t).add(
         __n=running_count(), __total=total_of("count", F.lit(1))
     )
     third = F.greatest(F.expr("__total div 3"), F.lit(2))
@@ -127,10 +127,9 @@ def packet_inventory(
     keys: list[str],
     order: list[str],
     counter: str,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Packets per PID with repeated and skipped values of the 4-bit continuity counter."""
-    scan = OrderedScan(df, keys, order, hot_rows=hot_rows).add(__before=previous(F.col(counter)))
+    scan = OrderedScan(df, keys, order).add(__before=previous(F.col(counter)))
     step = F.pmod(F.col(counter) - F.col("__before"), F.lit(COUNTER_VALUES))
     return scan.df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("packets"),

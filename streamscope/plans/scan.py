@@ -1,22 +1,26 @@
 """Running values along an order, per key, that survive one key holding most of the rows.
 
-Without hot keys a scan is a plain window: one shuffle on the keys, one sort, and every running
-value of the scan shares them.  Other keys stay with that plan when there are hot ones.  A hot key is cut into ranges of about equal depth along its order; each
-range is scanned on its own task, the per-range summaries (one row per range) are scanned in turn,
-and each row is completed with the value carried into its range.
+There is one plan at every size. A key's order is cut into slices by a fixed rule on its leading
+column (so many whole numbers, or so much time). Each (key, slice) is summarised by a map-side
+combined aggregation, the summaries are scanned along the slices, and what is carried into a slice
+enters it as one extra row before the others. So a window over (key, slice), one shuffle and one
+sort, gives every running value, and no task holds more of a key than a slice.
+
+Nothing is counted or sampled first. Only a value that needs another running value has the rows
+settled in the shared folder in between.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .durable import cut
-from .skew import Splits, assign_buckets, find_splits, same_keys
-
-BROADCAST_BUCKETS = 500_000
 
+#: Width of a slice: whole numbers, or seconds of a time column.
+SLICE_NUMBERS = 1 << 13
+SLICE_SECONDS = 3600
 
 @dataclass(frozen=True)
 class Running:
@@ -64,10 +68,25 @@ def total_of(aggregate: str, expr: Column) -> Running:
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
+def _slice(df: DataFrame, column: str, width: int | None) -> Column:
+    """The slice of the leading order column, which is a number, a date or a time."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.floor(F.unix_date(column) / (width or 1))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        seconds = F.unix_seconds(F.col(column).cast("timestamp"))
+        return F.floor(seconds / (width or SLICE_SECONDS))
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(column) / (width or SLICE_NUMBERS)).cast("bigint")
+    raise TypeError(f"{column} has no order that can be sliced: {kind.simpleString()}")
+
+
 class OrderedScan:
     """Rows of ``df`` per ``keys`` in the order of ``order`` (all columns, one direction).
 
-    ``bound`` is a cheaper frame with at least as many rows per key, for the size check.
+    Rows equal in all of ``order`` come in any order among themselves. Rows of equal leading order
+    share a slice. Nulls come first, last in descending order. ``width`` is that of a slice, in
+    whole numbers, days or seconds.
     """
 
     def __init__(
@@ -76,68 +95,47 @@ class OrderedScan:
         keys: list[str] | str,
         order: list[str] | str,
         descending: bool = False,
-        hot_rows: int | None = None,
-        bound: DataFrame | None = None,
+        width: int | None = None,
     ):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = [order] if isinstance(order, str) else list(order)
         self.descending = descending
-        self.splits: Splits | None = find_splits(
-            df, self.keys, self.order, hot_rows, bound
-        )
-        # Rows of ordinary keys, and rows of hot keys with the range each is in.
-        self._rows, self._hot = df, None
-        if self.splits is not None:
-            placed = assign_buckets(df, self.splits, self.order)
-            self._rows = placed.filter(~F.col("__hot")).drop("__hot", "__bucket")
-            self._hot = placed.filter("__hot").drop("__hot")
-
-    def _sorted(self) -> list[Column]:
-        return [F.col(c).desc() if self.descending else F.col(c).asc() for c in self.order]
+        self.width = width
+        self.df = df
+        self._settled = True
 
     def select(self, **columns: Column) -> OrderedScan:
         """Row-wise columns from earlier running values."""
-        self._rows = self._rows.withColumns(columns)
-        if self._hot is not None:
-            self._hot = self._hot.withColumns(columns)
+        self.df = self.df.withColumns(columns)
         return self
 
     def add(self, **running: Running) -> OrderedScan:
-        self._rows = self._rows.withColumns({n: self._plain(r) for n, r in running.items()})
-        if self._hot is not None:
-            self._hot = self._split(running)
+        """Running values; those of one call share the shuffle and the sort."""
+        columns = self.df.columns
+        # A later value depends on these: read them from a settled table, not by repeating the scan.
+        source = self.df if self._settled else cut(self.df)
+        self._settled = False
+        sliced = source.withColumn("__slice", _slice(source, self.order[0], self.width))
+        at = [*self.keys, "__slice"]
+        summaries = sliced.groupBy(*at).agg(
+            *[self._summary(r).alias(f"__s_{n}") for n, r in running.items()]
+        )
+        carried = summaries.select(
+            *at,
+            F.lit(0).alias("__row"),
+            *[self._carry(r, f"__s_{n}").alias(f"__c_{n}") for n, r in running.items()],
+        )
+        both = sliced.withColumn("__row", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+        done = both.withColumns({n: self._complete(n, r) for n, r in running.items()})
+        kept = [c for c in columns if c not in running]
+        self.df = done.filter("__row = 1").select(*kept, *running)
         return self
 
-    @property
-    def df(self) -> DataFrame:
-        if self._hot is None:
-            return self._rows
-        return self._rows.unionByName(self._hot.drop("__bucket"))
-
-    def _frame_end(self, r: Running) -> int:
-        return -1 if r.exclusive else 0
-
-    def _over(self, r: Running, partition: list[str]) -> Column:
-        base = W.partitionBy(*partition)
-        if r.kind.startswith("total:"):
-            return _AGGREGATES[r.kind[6:]](r.expr).over(base)
-        ordered = base.orderBy(*self._sorted())
-        if r.kind == "prev":
-            return F.lag(F.struct(r.expr.alias("v")), 1).over(ordered)
-        window = ordered.rowsBetween(W.unboundedPreceding, self._frame_end(r))
-        if r.kind == "last":
-            return F.last(r.expr, ignorenulls=True).over(window)
-        if r.kind == "first":
-            return F.first(r.expr, ignorenulls=True).over(window)
-        return _AGGREGATES[r.kind](r.expr).over(window)
-
-    def _plain(self, r: Running) -> Column:
-        if r.kind == "prev":
-            return F.lag(r.expr, 1).over(W.partitionBy(*self.keys).orderBy(*self._sorted()))
-        value = self._over(r, self.keys)
-        return F.coalesce(value, F.lit(0)) if r.kind == "sum" and r.exclusive else value
+    def _sorted(self, *columns: str) -> list[Column]:
+        return [F.col(c).desc() if self.descending else F.col(c).asc() for c in columns]
 
     def _summary(self, r: Running) -> Column:
+        """What a slice hands on."""
         position = F.struct(*self.order)
         newest, oldest = (F.min_by, F.max_by) if self.descending else (F.max_by, F.min_by)
         if r.kind == "prev":
@@ -149,56 +147,33 @@ class OrderedScan:
         return _AGGREGATES[r.kind.removeprefix("total:")](r.expr)
 
     def _carry(self, r: Running, column: str) -> Column:
-        keys = [f"__k_{k}" for k in self.keys]
+        """What all slices before hand on, or for totals all slices."""
+        per_key = W.partitionBy(*self.keys)
         if r.kind.startswith("total:"):
             combine = F.sum if r.kind in ("total:sum", "total:count") else _AGGREGATES[r.kind[6:]]
-            return combine(column).over(W.partitionBy(*keys))
-        bucket = F.col("__b").desc() if self.descending else F.col("__b").asc()
-        before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+            return combine(column).over(per_key)
+        before = per_key.orderBy(*self._sorted("__slice")).rowsBetween(W.unboundedPreceding, -1)
         if r.kind in ("prev", "last"):
             return F.last(column, ignorenulls=True).over(before)
         if r.kind == "first":
             return F.first(column, ignorenulls=True).over(before)
         return _AGGREGATES[r.kind](column).over(before)
 
-    def _merge(self, r: Running, local: Column, carry: Column) -> Column:
+    def _complete(self, name: str, r: Running) -> Column:
+        """The value on each row, the carried row being the slice's first."""
+        carry, here = F.col(f"__c_{name}"), F.col("__row") == 0
+        slice_ = W.partitionBy(*self.keys, "__slice")
+        ordered = slice_.orderBy("__row", *self._sorted(*self.order))
+        frame = ordered.rowsBetween(W.unboundedPreceding, -1 if r.exclusive else 0)
         if r.kind.startswith("total:"):
-            return carry
+            return F.max(F.when(here, carry)).over(slice_)
         if r.kind == "prev":
-            return F.coalesce(local, carry)["v"]
+            own = F.struct(r.expr.alias("v"))
+            return F.lag(F.when(here, carry).otherwise(own), 1).over(ordered)["v"]
+        value = F.when(here, carry).otherwise(r.expr)
         if r.kind == "last":
-            return F.coalesce(local, carry)
+            return F.last(value, ignorenulls=True).over(frame)
         if r.kind == "first":
-            return F.coalesce(carry, local)
-        if r.kind == "sum":
-            total = F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
-            if r.exclusive:
-                return total
-            return F.when(local.isNotNull() | carry.isNotNull(), total)
-        return F.greatest(local, carry) if r.kind == "max" else F.least(local, carry)
-
-    def _split(self, running: dict[str, Running]) -> DataFrame:
-        # The rows are read twice (summaries, completion): settle them first.
-        df = cut(self._hot)
-        summaries = (
-            df.groupBy(
-                *[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col("__bucket").alias("__b")
-            ).agg(*[self._summary(r).alias(f"__s_{n}") for n, r in running.items()])
-        )
-        carried = summaries.select(
-            *[f"__k_{k}" for k in self.keys],
-            "__b",
-            *[self._carry(r, f"__s_{n}").alias(f"__c_{n}") for n, r in running.items()],
-        )
-        if self.splits.total_buckets <= BROADCAST_BUCKETS:
-            carried = F.broadcast(carried)
-        local = df.withColumns(
-            {f"__l_{n}": self._over(r, [*self.keys, "__bucket"]) for n, r in running.items()}
-        )
-        pairs = [(k, f"__k_{k}") for k in self.keys] + [("__bucket", "__b")]
-        joined = local.join(carried, same_keys(local, carried, pairs), "left")
-        done = joined.withColumns(
-            {n: self._merge(r, F.col(f"__l_{n}"), F.col(f"__c_{n}")) for n, r in running.items()}
-        )
-        helpers = [f"__l_{n}" for n in running] + [f"__c_{n}" for n in running]
-        return done.drop("__b", *[f"__k_{k}" for k in self.keys], *helpers)
+            return F.first(value, ignorenulls=True).over(frame)
+        total = _AGGREGATES[r.kind](value).over(frame)
+        return F.coalesce(total, F.lit(0)) if r.kind == "sum" and r.exclusive else total

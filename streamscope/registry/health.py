@@ -49,7 +49,7 @@ def buckets(t: Tables):
 def stability(t: Tables):
     sums = w.second_sums(t.events, "user_id", "ts", "cents", width=3600)
     return h.stream_stability(
-        sums, "user_id", "second", "nbytes", expected_bps=2500, max_stall=48, bound=t.events
+        sums, "user_id", "second", "nbytes", expected_bps=2500, max_stall=48
     )
 
 

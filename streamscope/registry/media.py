@@ -151,7 +151,6 @@ def _(t: Tables):
 def _(t: Tables):
     out = m.startup_release(
         clocked(t), "user_id", ["event_id"], "ts", "cents", "elapsed", "flag", 20_000_000, 120_000, 48 * 3600 * 1000,
-        bound=t.events,
     )
     return out.withColumns(plain_time("released_at"))
 

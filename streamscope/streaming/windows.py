@@ -68,7 +68,7 @@ def rolling_rates(
 
 
 def viewer_sessions(
-    df: DataFrame, stream: str, ts: str, grace_seconds: int, hot_rows: int | None = None
+    df: DataFrame, stream: str, ts: str, grace_seconds: int
 ) -> DataFrame:
     """Runs of activity with gaps below ``grace_seconds``; a session ends ``grace`` after its last.
 
@@ -84,7 +84,7 @@ def viewer_sessions(
         )
     gap = F.unix_micros(ts) - F.unix_micros("__before")
     scan = (
-        OrderedScan(df, stream, ts, hot_rows=hot_rows)
+        OrderedScan(df, stream, ts)
         .add(__before=previous(F.col(ts)))
         .select(__new=F.coalesce(gap >= grace_seconds * 1_000_000, F.lit(True)).cast("bigint"))
         .add(__session=running_sum(F.col("__new")))
