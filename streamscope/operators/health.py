@@ -57,10 +57,12 @@ def swarm_health(
     down: str,
     up: str,
     warmup: int,
+    everyone: DataFrame | None = None,
 ) -> DataFrame:
     """Health per peer after its first ``warmup`` samples; upload is reported but not required.
 
-    One scan and one aggregation; peers whose samples are all warm-up stay in the result and fail.
+    One scan and one aggregation; peers whose samples are all warm-up stay in the result and fail,
+    and so do those of ``everyone`` without any sample.
     """
     scan = OrderedScan(df, peer, order).add(
         __n=running_count(), __before=previous(F.col(down))
@@ -77,6 +79,10 @@ def swarm_health(
         ).alias("downloaded_rising"),
         F.coalesce(F.max(F.when(post, F.col(up))) > 0, F.lit(False)).alias("upload_positive"),
     )
+    if everyone is not None:
+        flags = {c: False for c in ("peers_ok", "downloaded_rising", "upload_positive")}
+        verdict = everyone.select(peer).distinct().join(verdict, peer, "left")
+        verdict = verdict.fillna({"samples": 0, "__dl": 0, **flags})
     status_ok = (F.col("samples") > 0) & (F.col("__dl") * 100 >= F.col("samples") * MIN_DL_PERCENT)
     ratio = F.when(F.col("samples") > 0, F.col("__dl") / F.col("samples")).otherwise(F.lit(0.0))
     rising = F.coalesce(F.col("downloaded_rising"), F.lit(False))
@@ -99,35 +105,39 @@ def swarm_reciprocates(health: DataFrame, swarm: str) -> DataFrame:
 
 def stream_stability(
     df: DataFrame,
+    playback: DataFrame,
     stream: str,
     second: str,
     nbytes: str,
     expected_bps: int = EXPECTED_BYTES_PER_SECOND,
-    streams: DataFrame | None = None,
     stall_bytes: int = STALL_BYTES_PER_SECOND,
     max_stall: int = MAX_STALL_SECONDS,
 ) -> DataFrame:
-    """Throughput and longest stall, from bytes per second.
+    """Throughput and longest stall over the whole playback window, from bytes per second.
 
-    Seconds missing between a stream's first and last row count as empty, so the sparse sums give
-    the same verdict as the zero-filled table (``bucket_seconds``) without building it: a stall is
-    the distance between two seconds with data.  ``streams`` lists streams that must appear even
-    without a single second; those fail.
+    ``playback`` has one row per stream with ``first`` and ``until``, its first and last second.
+    Seconds without a row count as empty, at the ends of the window too: a stream that starts late
+    or stops early has stalled, and one without any second has stalled throughout. Sparse sums give
+    the verdict of the zero-filled table (``bucket_seconds``) without building it, since a stall is
+    the distance between two seconds with data. A window without a second fails.
     """
+    rows = df.join(playback, stream).filter(F.col(second).between(F.col("first"), F.col("until")))
     flowing = F.when(F.col(nbytes) >= stall_bytes, F.col(second))
-    scan = OrderedScan(df, stream, second).add(
-        __before=last_value(flowing, exclusive=True)
+    scan = OrderedScan(rows, stream, second).add(__before=last_value(flowing, exclusive=True))
+    found = scan.df.groupBy(stream).agg(
+        F.sum(nbytes).alias("__bytes"),
+        F.max(flowing - F.col("__before") - 1).alias("__between"),
+        F.min(flowing).alias("__low"),
+        F.max(flowing).alias("__high"),
     )
-    low, high = F.min(second), F.max(second)
-    between = F.max(flowing - F.col("__before") - 1)
-    head, tail = F.min(flowing) - low, high - F.max(flowing)
-    totals = scan.df.groupBy(stream).agg(
-        F.sum(nbytes).alias("total_bytes"),
-        (high - low + 1).alias("seconds"),
-        F.coalesce(F.greatest(between, head, tail), high - low + 1).alias("max_stall"),
+    length = F.greatest(F.col("until") - F.col("first") + 1, F.lit(0))
+    ends = [F.col("__low") - F.col("first"), F.col("until") - F.col("__high")]
+    totals = playback.join(found, stream, "left").select(
+        stream,
+        F.coalesce("__bytes", F.lit(0)).alias("total_bytes"),
+        length.alias("seconds"),
+        F.coalesce(F.greatest("__between", *ends), length).alias("max_stall"),
     )
-    if streams is not None:
-        totals = streams.select(stream).distinct().join(totals, stream, "left").fillna(0)
     some = F.col("seconds") > 0
     enough = some & (
         F.col("total_bytes") * 100 >= F.lit(expected_bps) * F.col("seconds") * MIN_THROUGHPUT_PERCENT
@@ -153,22 +163,27 @@ def scenario_rollup(verdicts: DataFrame, scenario: str, peer: str) -> DataFrame:
     """Per scenario and, with a null scenario, over all: does everything pass?
 
     ``verdicts`` has one row per (scenario, peer) with ``health_ok``, ``stability_ok``,
-    ``contiguous`` and ``upload_positive``.
+    ``contiguous`` and ``upload_positive``; a null counts as failed. The row over all is there even
+    for an empty batch, which fails.
     """
-    passed = F.col("health_ok") & F.col("stability_ok") & F.col("contiguous")
+    oks = [F.coalesce(c, F.lit(False)) for c in ("health_ok", "stability_ok", "contiguous")]
+    passed = oks[0] & oks[1] & oks[2]
     per_scenario = verdicts.groupBy(scenario).agg(
         F.count(peer).alias("peers"),
         F.count_if(passed).alias("peers_passed"),
-        F.bool_or("upload_positive").alias("reciprocates"),
+        F.coalesce(F.bool_or("upload_positive"), F.lit(False)).alias("reciprocates"),
     )
     per_scenario = per_scenario.withColumn(
         "passed",
         (F.col("peers") > 0) & (F.col("peers") == F.col("peers_passed")) & F.col("reciprocates"),
     )
-    return per_scenario.groupingSets([[scenario], []], scenario).agg(
-        F.sum("peers").alias("peers"),
-        F.sum("peers_passed").alias("peers_passed"),
-        F.bool_and("reciprocates").alias("reciprocates"),
-        F.bool_and("passed").alias("passed"),
-        (F.grouping(scenario) == 1).alias("overall"),
+    overall = per_scenario.agg(
+        F.coalesce(F.sum("peers"), F.lit(0)).alias("peers"),
+        F.coalesce(F.sum("peers_passed"), F.lit(0)).alias("peers_passed"),
+        F.coalesce(F.bool_and("reciprocates"), F.lit(False)).alias("reciprocates"),
+        F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"),
+        F.lit(True).alias("overall"),
+    )
+    return per_scenario.withColumn("overall", F.lit(False)).unionByName(
+        overall, allowMissingColumns=True
     )

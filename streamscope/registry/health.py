@@ -6,8 +6,12 @@ from ..operators import health as h
 from ..streaming import windows as w
 from .base import EV, LI, Tables, plain_time, query
 
+# First hour of the month of playback, since the epoch.
+FIRST_HOUR = 473_352
+
 HOURS = """hb AS (SELECT user_id, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS second, CAST(SUM(cents) AS BIGINT) AS nbytes FROM ev GROUP BY ALL),
-  sp AS (SELECT user_id, MIN(second) AS a, MAX(second) AS b FROM hb GROUP BY ALL),
+  sp AS (SELECT user_id, 473352 AS a, 474071 + CASE WHEN user_id % 10 = 0 THEN 96 ELSE 0 END AS b
+    FROM (SELECT user_id FROM ev UNION SELECT 100000 + n_nationkey FROM nation)),
   gr AS (SELECT user_id, unnest(range(a, b + 1)) AS second FROM sp),
   bk AS (SELECT gr.user_id, gr.second, COALESCE(hb.nbytes, 0) AS nbytes FROM gr LEFT JOIN hb ON gr.user_id = hb.user_id AND gr.second = hb.second)"""
 
@@ -19,8 +23,12 @@ HEALTH = """sm AS (SELECT user_id, event_id, CASE WHEN k >= 5 THEN 'dl' ELSE 'id
   he AS (SELECT user_id, COUNT(*) AS samples, round(COUNT(*) FILTER (status = 'dl') / COUNT(*), 6) AS dl_ratio,
       COUNT(*) FILTER (status = 'dl') * 10 >= COUNT(*) * 9 AS status_ok, MIN(peers) >= 1 AS peers_ok,
       bool_and(before IS NULL OR down >= before) AND COUNT(*) >= 2 AND arg_max(down, event_id) > arg_min(down, event_id) AS downloaded_rising,
-      MAX(up) > 0 AS upload_positive FROM po GROUP BY user_id)"""
+      MAX(up) > 0 AS upload_positive FROM po GROUP BY user_id),
+  ha AS (SELECT p.user_id, COALESCE(samples, 0) AS samples, COALESCE(dl_ratio, 0.0) AS dl_ratio, COALESCE(status_ok, false) AS status_ok,
+      COALESCE(peers_ok, false) AS peers_ok, COALESCE(downloaded_rising, false) AS downloaded_rising, COALESCE(upload_positive, false) AS upload_positive
+      FROM (SELECT user_id FROM ev UNION SELECT 100000 + n_nationkey FROM nation) p LEFT JOIN he ON p.user_id = he.user_id)"""
 
+# Every peer that was set up: those with samples, and some that never reported.
 STABLE = """sr AS (SELECT *, second - row_number() OVER (PARTITION BY user_id ORDER BY second) AS g FROM bk WHERE nbytes < 188),
   ls AS (SELECT user_id, MAX(n) AS m FROM (SELECT user_id, COUNT(*) AS n FROM sr GROUP BY user_id, g) GROUP BY user_id),
   st AS (SELECT bk.user_id, CAST(SUM(nbytes) AS BIGINT) AS total_bytes, COUNT(*) AS seconds, COALESCE(MAX(m), 0) AS max_stall,
@@ -38,19 +46,28 @@ def samples(t: Tables):
     )
 
 
+def playback(t: Tables):
+    """Hours of playback: a month for all, four days longer than any data for every tenth peer."""
+    silent = t.read("nation").select((F.lit(100_000) + F.col("n_nationkey")).cast("bigint").alias("user_id"))
+    until = F.when(F.col("user_id") % 10 == 0, FIRST_HOUR + 815).otherwise(FIRST_HOUR + 719)
+    return t.events.select("user_id").unionByName(silent).distinct().withColumns(
+        {"first": F.lit(FIRST_HOUR).cast("bigint"), "until": until.cast("bigint")}
+    )
+
+
 def health(t: Tables):
-    return h.swarm_health(samples(t), "user_id", ["event_id"], "status", "peers", "down", "up", 5)
+    return h.swarm_health(
+        samples(t), "user_id", ["event_id"], "status", "peers", "down", "up", 5, playback(t)
+    )
 
 
 def buckets(t: Tables):
-    return w.bucket_seconds(t.events, "user_id", "ts", "cents", width=3600)
+    return w.bucket_seconds(t.events, playback(t), "user_id", "ts", "cents", width=3600)
 
 
 def stability(t: Tables):
     sums = w.second_sums(t.events, "user_id", "ts", "cents", width=3600)
-    return h.stream_stability(
-        sums, "user_id", "second", "nbytes", expected_bps=2500, max_stall=48
-    )
+    return h.stream_stability(sums, playback(t), "user_id", "second", "nbytes", expected_bps=2500, max_stall=48)
 
 
 @query("h5_bucket_seconds", f"WITH {EV}, {HOURS} SELECT * FROM bk")
@@ -82,7 +99,7 @@ def _(t: Tables):
 
 @query(
     "a10_swarm_health",
-    f"WITH {EV}, {HEALTH} SELECT *, status_ok AND peers_ok AND downloaded_rising AS passed FROM he",
+    f"WITH {EV}, {HEALTH} SELECT *, status_ok AND peers_ok AND downloaded_rising AS passed FROM ha",
 )
 def _(t: Tables):
     return health(t)
@@ -90,7 +107,7 @@ def _(t: Tables):
 
 @query(
     "a11_swarm_reciprocates",
-    f"WITH {EV}, {HEALTH} SELECT user_id % 20 AS swarm, bool_or(upload_positive) AS reciprocates FROM he GROUP BY ALL",
+    f"WITH {EV}, {HEALTH} SELECT user_id % 20 AS swarm, bool_or(upload_positive) AS reciprocates FROM ha GROUP BY ALL",
 )
 def _(t: Tables):
     return h.swarm_reciprocates(health(t).withColumn("swarm", F.col("user_id") % 20), "swarm")
@@ -101,7 +118,7 @@ def _(t: Tables):
     f"WITH {EV}, {HOURS}, {STABLE} SELECT *, throughput_ok AND stall_ok AS passed FROM st",
 )
 def _(t: Tables):
-    return h.stream_stability(buckets(t), "user_id", "second", "nbytes", expected_bps=2500, max_stall=48)
+    return h.stream_stability(buckets(t), playback(t), "user_id", "second", "nbytes", expected_bps=2500, max_stall=48)
 
 
 @query(
@@ -131,8 +148,8 @@ def verdicts(t: Tables):
     )
     return (
         health(t).select("user_id", F.col("passed").alias("health_ok"), "upload_positive")
-        .join(stability(t).select("user_id", F.col("passed").alias("stability_ok")), "user_id")
-        .join(h.packet_contiguity(heads, "head").select("user_id", "contiguous"), "user_id")
+        .join(stability(t).select("user_id", F.col("passed").alias("stability_ok")), "user_id", "full")
+        .join(h.packet_contiguity(heads, "head").select("user_id", "contiguous"), "user_id", "full")
         .withColumn("scenario", F.col("user_id") % 40)
     )
 
@@ -140,12 +157,11 @@ def verdicts(t: Tables):
 @query(
     "a14_scenario_rollup",
     f"""WITH {EV}, {HOURS}, {HEALTH}, {STABLE}, cg AS (SELECT user_id, COUNT(*) % 24 >= 4 AS contiguous FROM ev GROUP BY user_id),
-      vd AS (SELECT he.user_id % 40 AS scenario, status_ok AND peers_ok AND downloaded_rising AND throughput_ok AND stall_ok AND contiguous AS ok,
-        upload_positive FROM he JOIN st ON he.user_id = st.user_id JOIN cg ON he.user_id = cg.user_id),
+      vd AS (SELECT ha.user_id % 40 AS scenario, status_ok AND peers_ok AND downloaded_rising AND throughput_ok AND stall_ok AND COALESCE(contiguous, false) AS ok,
+        upload_positive FROM ha JOIN st ON ha.user_id = st.user_id LEFT JOIN cg ON ha.user_id = cg.user_id),
       sc AS (SELECT scenario, COUNT(*) AS peers, COUNT(*) FILTER (ok) AS peers_passed, bool_or(upload_positive) AS reciprocates FROM vd GROUP BY scenario),
-      ps AS (SELECT *, peers > 0 AND peers = peers_passed AND reciprocates AS passed FROM sc)
-    SELECT scenario, CAST(SUM(peers) AS BIGINT) AS peers, CAST(SUM(peers_passed) AS BIGINT) AS peers_passed, bool_and(reciprocates) AS reciprocates,
-      bool_and(passed) AS passed, grouping(scenario) = 1 AS overall FROM ps GROUP BY GROUPING SETS ((scenario), ())""",
+      ps AS (SELECT *, peers > 0 AND peers = peers_passed AND reciprocates AS passed, false AS overall FROM sc)
+    SELECT * FROM ps UNION ALL SELECT NULL, CAST(SUM(peers) AS BIGINT), CAST(SUM(peers_passed) AS BIGINT), bool_and(reciprocates), bool_and(passed), true FROM ps""",
 )
 def _(t: Tables):
     return h.scenario_rollup(verdicts(t), "scenario", "user_id")

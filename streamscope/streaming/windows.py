@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.expand import expand
 from ..plans.scan import OrderedScan, previous, running_sum
 
 
@@ -14,24 +15,16 @@ def second_sums(df: DataFrame, stream: str, ts: str, nbytes: str, width: int = 1
 
 
 def bucket_seconds(
-    df: DataFrame,
-    stream: str,
-    ts: str,
-    nbytes: str,
-    width: int = 1,
-    start: Column | None = None,
-    end: Column | None = None,
+    df: DataFrame, playback: DataFrame, stream: str, ts: str, nbytes: str, width: int = 1
 ) -> DataFrame:
-    """Bytes per ``width`` seconds for the whole window, empty ones as zero.
+    """Bytes per ``width`` seconds for the whole playback window, empty ones as zero.
 
-    Bounds default to the first and last bucket of each stream.  Buckets are numbered since the
-    epoch.  Batch only: for a stream use ``bucket_stream`` and fill the landed result.
+    ``playback`` has one row per stream with its bounds ``first`` and ``until``. Buckets are
+    numbered since the epoch. Batch only: for a stream use ``bucket_stream`` and fill the landed
+    result.
     """
     sums = second_sums(df, stream, ts, nbytes, width)
-    spans = sums.groupBy(stream).agg(F.min("second").alias("__a"), F.max("second").alias("__b"))
-    low = F.col("__a") if start is None else start
-    high = F.col("__b") if end is None else end
-    grid = spans.select(stream, F.explode(F.sequence(low, high)).alias("second"))
+    grid = expand(playback, "first", "until", "second").select(stream, "second")
     return grid.join(sums, [stream, "second"], "left").select(
         stream, "second", F.coalesce("nbytes", F.lit(0)).alias("nbytes")
     )

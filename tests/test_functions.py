@@ -123,12 +123,18 @@ def test_health_edge_cases(spark):
     assert got["a"].passed and not got["a"].upload_positive
     assert not got["b"].passed and not got["b"].downloaded_rising
     assert got["c"].samples == 0 and not got["c"].passed and got["c"].dl_ratio == 0.0
+    everyone = spark.createDataFrame([("a",), ("z",), ("z",)], "p string")
+    got = {r.p: r for r in health.swarm_health(df, "p", ["o"], "s", "n", "d", "u", 2, everyone).collect()}
+    assert set(got) == {"a", "z"} and got["a"].passed
+    assert got["z"].samples == 0 and not got["z"].passed and not got["z"].peers_ok
 
 
 def test_stability(spark):
-    def verdict(seconds):
-        df = spark.createDataFrame([("a", i, n) for i, n in enumerate(seconds)], "s string, sec bigint, n bigint")
-        return health.stream_stability(df, "s", "sec", "n", 1000).first()
+    def verdict(seconds, first=0, until=None):
+        df = spark.createDataFrame([("a", i, n) for i, n in enumerate(seconds) if n], "s string, sec bigint, n bigint")
+        until = len(seconds) - 1 if until is None else until
+        window = spark.createDataFrame([("a", first, until)], "s string, first bigint, until bigint")
+        return health.stream_stability(df, window, "s", "sec", "n", 1000).first()
 
     full = 1000
     assert verdict([full] * 10).passed
@@ -137,10 +143,26 @@ def test_stability(spark):
     assert bad.max_stall == 6 and bad.throughput_ok and not bad.stall_ok
     assert verdict([full] * 5 + [0] * 7).max_stall == 7 and verdict([0] * 4).max_stall == 4
     assert not verdict([700] * 10).throughput_ok
-    streams = spark.createDataFrame([("a",), ("z",)], "s string")
-    df = spark.createDataFrame([("a", 0, 1000)], "s string, sec bigint, n bigint")
-    got = {r.s: r.passed for r in health.stream_stability(df, "s", "sec", "n", 1000, streams).collect()}
-    assert got == {"a": True, "z": False}
+    # Ten good seconds of a minute: the dead tail counts, and so does a dead head.
+    tail = verdict([full] * 10, until=59)
+    assert (tail.seconds, tail.max_stall, tail.passed) == (60, 50, False)
+    assert verdict([0] * 6 + [full] * 54).max_stall == 6
+    assert verdict([9 * full] * 10, first=5, until=7).total_bytes == 27 * full
+    assert not verdict([full] * 3, first=2, until=1).passed
+
+
+def test_rollup(spark):
+    schema = "scenario int, peer int, health_ok boolean, stability_ok boolean, contiguous boolean, upload_positive boolean"
+    good = [(1, 1, True, True, True, True), (1, 2, True, True, True, False)]
+
+    def rolled(rows):
+        df = spark.createDataFrame(rows, schema)
+        return {r.scenario: (r.peers, r.peers_passed, r.passed) for r in health.scenario_rollup(df, "scenario", "peer").collect()}
+
+    assert rolled(good) == {1: (2, 2, True), None: (2, 2, True)}
+    lost = [(2, 3, True, None, None, True)]
+    assert rolled(good + lost) == {1: (2, 2, True), 2: (1, 0, False), None: (3, 2, False)}
+    assert rolled([]) == {None: (0, 0, False)}
 
 
 def test_lease_capacity_and_catalog(spark):
