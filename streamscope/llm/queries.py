@@ -61,9 +61,11 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     from .chat import conversation_digest
 
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    marked = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", marked), (-1, 1, "assistant", marked)], rows.schema
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     return conversation_digest(rows.unionByName(extra))
 
