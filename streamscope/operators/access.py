@@ -86,11 +86,8 @@ def idle_streams(
 ) -> DataFrame:
     """Streams without subscribers, recent playlist access or a pending open."""
     recent = hls.filter(F.col(accessed) > now - F.expr(f"interval {grace}"))
-    return (
-        sessions.filter(F.col(subscribers) <= 0)
-        .join(recent.select(stream), stream, "left_anti")
-        .join(pending.select(stream), stream, "left_anti")
-    )
+    in_use = recent.select(stream).unionByName(pending.select(stream)).distinct()
+    return sessions.filter(F.col(subscribers) <= 0).join(in_use, stream, "left_anti")
 
 
 def idle_entries(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..plans.expand import expand
 from ..plans.fold import sliced_fold
 from ..plans.scan import OrderedScan, last_value, previous, running_max, running_sum
 
@@ -152,9 +153,8 @@ def missing_pieces(
     bound is applied before the range is expanded.
     """
     last = F.col(head) if cap is None else F.least(F.col(head), F.col(next_piece) + (cap - 1))
-    wanted = need.filter(F.col(next_piece) <= last).select(
-        stream, F.explode(F.sequence(F.col(next_piece), last)).alias(piece)
-    )
+    span = need.select(stream, F.col(next_piece).alias("__low"), last.alias("__high"))
+    wanted = expand(span, "__low", "__high", piece).select(stream, piece)
     taken = have.select(stream, piece).unionByName(requested.select(stream, piece))
     return wanted.join(taken, [stream, piece], "left_anti")
 
@@ -216,14 +216,17 @@ def range_to_pieces(
 ) -> DataFrame:
     """Pieces covering each byte range (inclusive ends), with bytes to skip and bytes to emit."""
     last = F.least(F.col(end), F.lit(total - 1))
-    pieces = F.sequence(F.expr(f"{start} div {piece_len}"), F.expr(f"least({end}, {total - 1}L) div {piece_len}"))
     base = F.col("piece") * piece_len
     low = F.greatest(F.col(start), base)
     high = F.least(last, base + (piece_len - 1))
-    return (
-        ranges.filter((F.col(start) <= last) & (F.col(start) >= 0))
-        .withColumn("piece", F.explode(pieces))
-        .withColumns({"skip": low - base, "emit": high - low + 1})
+    asked = ranges.filter((F.col(start) <= last) & (F.col(start) >= 0)).withColumns(
+        {
+            "__low": F.expr(f"{start} div {piece_len}"),
+            "__high": F.expr(f"least({end}, {total - 1}L) div {piece_len}"),
+        }
+    )
+    return expand(asked, "__low", "__high", "piece").drop("__low", "__high").withColumns(
+        {"skip": low - base, "emit": high - low + 1}
     )
 
 
@@ -319,16 +322,13 @@ def age_retention(df: DataFrame, stream: str, piece: str, ts: str, retention: Co
     )
 
 
-def live_edge(df: DataFrame, stream: str, order: list[str], piece: str) -> DataFrame:
-    """Arrivals that move the head of a stream: the pieces newly advertised by each."""
-    scan = OrderedScan(df, stream, order).add(
-        before=running_max(F.col(piece), exclusive=True)
-    )
-    return (
-        scan.df.filter(F.col("before").isNull() | (F.col(piece) > F.col("before")))
-        .withColumnRenamed(piece, "head")
-        .withColumn("first_new", F.coalesce(F.col("before") + 1, F.col("head")))
-    )
+def live_edge(complete: DataFrame, stream: str, order: list[str], piece: str) -> DataFrame:
+    """Complete pieces above all that came before them: what a peer newly advertises, one by one.
+
+    ``before`` is the piece advertised last. Pieces that arrive below the head are never told.
+    """
+    scan = OrderedScan(complete, stream, order).add(before=running_max(F.col(piece), exclusive=True))
+    return scan.df.filter(F.col("before").isNull() | (F.col(piece) > F.col("before")))
 
 
 def ingest_cursor(

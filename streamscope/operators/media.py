@@ -170,7 +170,7 @@ def startup_release(
     ts: str,
     nbytes: str,
     elapsed: str,
-    reset: str,
+    segment: str,
     target_ms: int,
     max_bytes: int,
     timeout_ms: int,
@@ -178,8 +178,9 @@ def startup_release(
 ) -> DataFrame:
     """When and why each stream's start-up buffer is released.
 
-    Bytes over the limit, else enough media, else the deadline; a reset row empties the buffer and
-    starts over.  ``elapsed`` is clock ticks since the reset (``pcr_segments``); without a clock the
+    Bytes over the limit, else enough media, else the deadline; a row that begins a clock segment
+    (after a flag or a step backwards) empties the buffer and starts over.  ``segment`` and
+    ``elapsed``, clock ticks since then, are those of ``pcr_segments``; without a clock the
     bit rate is used.  A deadline lies between two arrivals: it has fired before a row that comes
     at or after it.
     """
@@ -190,8 +191,8 @@ def startup_release(
         )
     scan = (
         OrderedScan(df, stream, order)
-        .add(__prior=running_sum(F.col(nbytes), exclusive=True), __seen=previous(F.col(ts)))
-        .select(__opens=F.col("__seen").isNull() | F.coalesce(F.col(reset), F.lit(False)))
+        .add(__prior=running_sum(F.col(nbytes), exclusive=True), __seen=previous(F.struct(F.col(segment).alias("s"))))
+        .select(__opens=F.col("__seen").isNull() | ~F.col("__seen.s").eqNullSafe(F.col(segment)))
         .add(__from=last_value(F.when(F.col("__opens"), F.struct(F.col(ts).alias("t"), F.col("__prior").alias("b")))))
         .add(__was=previous(F.col("__from")))
     )
@@ -232,11 +233,13 @@ def stall_intervals(
     ts: str,
     output: str,
     activity: str,
+    now: Column,
     timeout_seconds: int = STALE_SECONDS,
 ) -> DataFrame:
-    """Gaps of at least the timeout between two rows of progress.
+    """Gaps of at least the timeout between two rows of progress, or from the last one to ``now``.
 
-    Output is progress; before a stream's first output, so is any activity.
+    Output is progress; before a stream's first output, so is any activity.  A stall that is still
+    open has a null ``resumed_at``.
     """
     scan = (
         OrderedScan(df, stream, order)
@@ -244,10 +247,15 @@ def stall_intervals(
         .select(__progress=F.col(output) | ((F.col("__outputs") == 0) & F.col(activity)))
         .add(stalled_from=last_value(F.when(F.col("__progress"), F.col(ts)), exclusive=True))
     )
-    gap = F.unix_micros(ts) - F.unix_micros("stalled_from")
-    return scan.df.filter(F.col("__progress") & (gap >= timeout_seconds * 1_000_000)).select(
+    progress = scan.df.filter("__progress")
+    closed = progress.select(stream, "stalled_from", F.col(ts).alias("resumed_at"))
+    last = progress.groupBy(stream).agg(F.max_by(ts, F.struct(*order)).alias("stalled_from"))
+    waits = closed.unionByName(last.withColumn("resumed_at", F.lit(None).cast(df.schema[ts].dataType)))
+    end = F.coalesce("resumed_at", now)
+    gap = F.unix_micros(end) - F.unix_micros("stalled_from")
+    return waits.filter(gap >= timeout_seconds * 1_000_000).select(
         stream,
         "stalled_from",
         (F.col("stalled_from") + F.expr(f"interval {timeout_seconds} seconds")).alias("stale_at"),
-        F.col(ts).alias("resumed_at"),
+        "resumed_at",
     )

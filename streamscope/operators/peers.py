@@ -104,16 +104,15 @@ def refill_candidates(
     known: DataFrame, excluded: DataFrame, active: DataFrame, keys: list[str]
 ) -> DataFrame:
     """Known peers that are neither excluded nor in use; columns such as an order are kept."""
-    return known.join(excluded.select(*keys), keys, "left_anti").join(
-        active.select(*keys), keys, "left_anti"
-    )
+    out = excluded.select(*keys).unionByName(active.select(*keys)).distinct()
+    return known.join(out, keys, "left_anti")
 
 
 def reconnect_candidates(
     known: DataFrame, excluded: DataFrame, stream: str, peer: str
 ) -> DataFrame:
     """Known peers that are not excluded; all of a stream's peers when none would be left."""
-    left = known.join(excluded.select(stream, peer), [stream, peer], "left_anti")
+    left = known.join(excluded.select(stream, peer).distinct(), [stream, peer], "left_anti")
     return left.unionByName(known.join(left.select(stream).distinct(), stream, "left_anti"))
 
 
@@ -129,7 +128,8 @@ def retry_candidates(
     """The first ``n`` advertised peers per stream that are new and not in use."""
     keys = [stream, peer]
     once = adverts.groupBy(*keys).agg(F.min(ord).alias(ord))
-    fresh = once.join(active.select(*keys), keys, "left_anti").join(tried.select(*keys), keys, "left_anti")
+    out = active.select(*keys).unionByName(tried.select(*keys)).distinct()
+    fresh = once.join(out, keys, "left_anti")
     first = W.partitionBy(stream).orderBy(ord, peer)
     return fresh.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n)
 

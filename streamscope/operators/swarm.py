@@ -69,32 +69,54 @@ def correlate_reply_stream(
 
 
 def dht_walk_metrics(
-    queries: DataFrame, correlated: DataFrame, walk: str, kind: str, n_peers: str, n_nodes: str
+    seeds: DataFrame,
+    queries: DataFrame,
+    datagrams: DataFrame,
+    responses: DataFrame,
+    found: DataFrame,
+    walk: str,
+    node: str,
+    round_no: str,
+    kind: str,
+    n_peers: str,
+    n_nodes: str,
 ) -> DataFrame:
-    """Counters of each walk: what was asked, what came back, what was refused or lost.
+    """Counters of each walk: what it began with, asked, got back, refused and waited for in vain.
 
-    ``kind`` is ``r`` for a response, ``e`` for an error, null when the reply was unreadable.
+    ``datagrams`` are all that arrived: ``kind`` is ``r`` for a response, ``e`` for an error, null
+    when unreadable. Errors and unreadable ones are counted as they are and answer nothing;
+    ``responses`` are the others, as ``correlate_replies`` marks them. ``found`` holds the nodes
+    that correlated responses named. A timeout is a round of queries in which no datagram came. A
+    walk is exhausted when it has asked every node it began with or was told of.
     """
-    asked = queries.groupBy(walk).agg(F.count(F.lit(1)).alias("queried"))
-    ok = F.col("correlated")
-    valid = ok & (F.col(kind) == "r")
-    came = correlated.groupBy(walk).agg(
-        F.count_if(valid).alias("valid"),
-        F.sum(F.when(valid, F.col(n_peers)).otherwise(0)).alias("peers"),
-        F.sum(F.when(valid, F.col(n_nodes)).otherwise(0)).alias("nodes"),
-        F.count_if(F.col(kind).isNull()).alias("malformed"),
-        F.count_if(ok & (F.col(kind) == "e")).alias("errors"),
-        F.count_if(~ok & F.col(kind).isNotNull()).alias("uncorrelated"),
-        F.count_if(ok).alias("__answered"),
-    )
-    counters = ["queried", "valid", "peers", "nodes", "malformed", "errors", "uncorrelated", "__answered"]
-    both = asked.join(came, walk, "full").fillna(0, counters)
-    return both.withColumns(
-        {
-            "timeouts": F.col("queried") - F.col("__answered"),
-            "exhausted": (F.col("queried") > 0) & (F.col("peers") == 0),
-        }
-    ).drop("__answered")
+    def counted(df: DataFrame, **counters: Column) -> DataFrame:
+        return df.select(walk, *[c.cast("bigint").alias(n) for n, c in counters.items()])
+
+    one, ok, what = F.lit(1), F.col("correlated"), F.col(kind)
+    rounds = queries.select(walk, round_no).distinct()
+    silent = rounds.join(datagrams.select(walk, round_no).distinct(), [walk, round_no], "left_anti")
+    known = seeds.select(walk, node).unionByName(found.select(walk, node)).distinct()
+    unasked = known.join(queries.select(walk, node).distinct(), [walk, node], "left_anti")
+    parts = [
+        counted(seeds.select(walk, node).distinct(), seeded=one),
+        counted(queries, queried=one),
+        counted(
+            responses,
+            valid=ok.cast("int"),
+            peers=F.when(ok, F.col(n_peers)),
+            nodes=F.when(ok, F.col(n_nodes)),
+            uncorrelated=(~ok).cast("int"),
+        ),
+        counted(datagrams, errors=(what == "e").cast("int"), malformed=what.isNull().cast("int")),
+        counted(silent, timeouts=one),
+        counted(unasked, __unasked=one),
+    ]
+    names = "seeded queried valid peers nodes malformed errors uncorrelated timeouts __unasked".split()
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part, allowMissingColumns=True)
+    sums = union.groupBy(walk).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return sums.withColumn("exhausted", F.col("__unasked") == 0).drop("__unasked")
 
 
 def latest_announces(

@@ -248,13 +248,15 @@ def _(t: Tables):
 
 @query(
     "h9_live_edge",
-    f"""WITH {LI}, o AS (SELECT peer, ts, piece, MAX(piece) OVER (PARTITION BY peer ORDER BY ts, piece, chunk, cents, part
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM li)
-    SELECT peer, ts, piece AS head, before, COALESCE(before + 1, piece) AS first_new FROM o WHERE before IS NULL OR piece > before""",
+    f"""WITH {LI}, cp AS (SELECT peer, piece, MAX(ts) AS ts FROM li GROUP BY ALL),
+      o AS (SELECT peer, ts, piece, MAX(piece) OVER (PARTITION BY peer ORDER BY ts, piece
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cp)
+    SELECT peer, ts, piece, before FROM o WHERE before IS NULL OR piece > before""",
 )
 def _(t: Tables):
-    out = d.live_edge(t.lineitem, "peer", ["ts", "piece", "chunk", "cents", "part"], "piece")
-    return out.select("peer", "ts", "head", "before", "first_new").withColumns(plain_time("ts"))
+    complete = t.lineitem.groupBy("peer", "piece").agg(F.max("ts").alias("ts"))
+    out = d.live_edge(complete, "peer", ["ts", "piece"], "piece")
+    return out.select("peer", "ts", "piece", "before").withColumns(plain_time("ts"))
 
 
 @query(

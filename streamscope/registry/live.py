@@ -1,4 +1,4 @@
-"""Streams replayed over the tables (H1-H4, H7, H9-H11, J1): everything available, then compared."""
+"""Streams replayed over the tables (H1, H2, H8-H11, J1): everything available, then compared."""
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -47,52 +47,11 @@ def _(t: Tables):
     return drain(st.stream_segments(df, "user_id", "pkt", "pid", "pcr", "access", "flag", 6.0), "segments")
 
 
-@query(
-    "h3_stream_reassembly",
-    f"""WITH {LI}, d AS (SELECT piece % 4 AS stream, piece // 4 AS piece, CASE WHEN nbytes = 50 THEN 2 ELSE chunk % 2 END AS chunk,
-        row_number() OVER (ORDER BY piece, ts, part, peer, cents, chunk, nbytes) AS o FROM li),
-      n AS (SELECT *, chunk < 2 AND row_number() OVER (PARTITION BY stream, piece, chunk ORDER BY o) = 1 AS fresh FROM d),
-      h AS (SELECT *, COALESCE(SUM(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY stream, piece ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had FROM n),
-      w AS (SELECT stream, piece FROM d WHERE chunk < 2 GROUP BY ALL HAVING COUNT(DISTINCT chunk) = 2),
-      c AS (SELECT stream, 0 AS place FROM (SELECT DISTINCT stream FROM d) UNION SELECT stream, piece + 1 FROM w),
-      f AS (SELECT c.stream, MIN(place) AS nxt FROM c LEFT JOIN w ON c.stream = w.stream AND c.place = w.piece WHERE w.piece IS NULL GROUP BY c.stream)
-    SELECT h.stream, piece, chunk, CASE WHEN piece >= nxt + 512 THEN 'rejected' WHEN had = 2 THEN 'late' WHEN chunk = 2 THEN 'invalid'
-      WHEN fresh THEN 'stored' ELSE 'duplicate' END AS outcome FROM h JOIN f ON h.stream = f.stream
-    UNION ALL SELECT w.stream, piece, NULL, 'emitted' FROM w JOIN f ON w.stream = f.stream WHERE piece < nxt""",
-)
-def _(t: Tables):
-    """Piece-ordered arrival, which SQL can follow; any order is checked by a model in the tests."""
-    df = live(t).lineitem.select(
-        (F.col("piece") % 4).alias("stream"), "ts", "part", "peer", "cents", "nbytes", F.col("chunk").alias("line"),
-        F.expr("piece div 4").alias("piece"), F.expr("if(nbytes = 50, 2, chunk % 2)").alias("chunk"),
-    )
-    out = st.stream_reassembly(df, "stream", ["piece", "ts", "part", "peer", "cents", "line", "nbytes"], "piece", "chunk", 2)
-    return drain(out, "reassembly")
-
-
-@query(
-    "h4_stream_retention",
-    f"""WITH {LI}, c AS (SELECT part % 4 AS stream, piece, chunk, MAX(nbytes) AS nbytes FROM li GROUP BY ALL),
-      z AS (SELECT stream, piece, CAST(SUM(nbytes) AS BIGINT) AS nbytes FROM c GROUP BY ALL),
-      r AS (SELECT *, SUM(nbytes) OVER (PARTITION BY stream ORDER BY piece DESC) <= 3000 AS kept FROM z)
-    SELECT stream, piece, nbytes, 'budget' AS reason FROM r WHERE NOT kept""",
-)
-def _(t: Tables):
-    """Piece-ordered arrival in which a repeated chunk never shrinks: then totals only grow, and the
-    batch rule over the final sizes is the answer.  Any other order is checked by a model in the
-    tests."""
-    df = live(t).lineitem.withColumn("stream", F.col("part") % 4)
-    out = st.stream_retention(
-        df, "stream", ["piece", "chunk", "nbytes"], "ts", "piece", "chunk", "nbytes", 3000
-    )
-    return drain(out, "retention").drop("evicted_at_us")
-
-
 @query(
     "h9_live_edge_stream",
     f"""WITH {LI}, o AS (SELECT peer, piece, MAX(piece) OVER (PARTITION BY peer ORDER BY ts, piece, chunk, cents, part
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM li)
-    SELECT peer, piece AS head, COALESCE(before + 1, piece) AS first_new FROM o WHERE before IS NULL OR piece > before""",
+    SELECT peer, piece AS advertised FROM o WHERE before IS NULL OR piece > before""",
 )
 def _(t: Tables):
     out = st.stream_live_edge(live(t).lineitem, "peer", ["ts", "piece", "chunk", "cents", "part"], "piece")
@@ -104,9 +63,10 @@ def _(t: Tables):
     f"""WITH {EV}, o AS (SELECT user_id, event_id, ts, k >= 10 AND event_type IN ('view', 'click', 'purchase') AS gave, event_type <> 'error' AS active FROM ev),
       s AS (SELECT *, SUM(CASE WHEN gave THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n, MAX(ts) OVER (PARTITION BY user_id) AS last,
         MAX(ts) OVER () - INTERVAL 1 HOUR AS mark FROM o),
-      p AS (SELECT *, COALESCE(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id), greatest(last, mark)) AS until FROM s WHERE gave OR (n = 0 AND active))
-    SELECT user_id, epoch_us(ts) + 86400000000 AS stale_at_us, n = 0 AS excluded FROM p WHERE ts + INTERVAL 24 HOUR <= until
-    UNION ALL SELECT user_id, epoch_us(ts) + 172800000000, TRUE FROM p WHERE n > 0 AND ts + INTERVAL 48 HOUR <= until""",
+      p AS (SELECT *, COALESCE(lead(ts) OVER (PARTITION BY user_id ORDER BY event_id), greatest(last, mark)) AS until FROM s WHERE gave OR (n = 0 AND active)),
+      st AS (SELECT *, row_number() OVER (PARTITION BY user_id, n ORDER BY event_id) AS nth FROM p WHERE ts + INTERVAL 24 HOUR <= until)
+    SELECT user_id, epoch_us(ts) + 86400000000 AS stale_at_us, nth > 1 AS excluded FROM st
+    UNION ALL SELECT user_id, epoch_us(ts) + 172800000000, TRUE FROM st WHERE nth = 1 AND ts + INTERVAL 48 HOUR <= until""",
 )
 def _(t: Tables):
     df = live(t).events.withColumns(

@@ -139,7 +139,7 @@ def _(t: Tables):
     "w11_startup_release",
     f"""WITH {EV}, {PK}, {CLOCK}, r0 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
         COALESCE(CAST(SUM(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS prior FROM t5),
-      r1 AS (SELECT *, rn = 1 OR flag AS opens FROM r0),
+      r1 AS (SELECT *, rn = 1 OR segment <> lag(segment) OVER (PARTITION BY user_id ORDER BY event_id) AS opens FROM r0),
       r2 AS (SELECT *, last_value(CASE WHEN opens THEN ts END IGNORE NULLS) OVER w AS from_t, last_value(CASE WHEN opens THEN prior END IGNORE NULLS) OVER w AS from_b FROM r1 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
       r3 AS (SELECT *, lag(from_t) OVER w AS was_t, lag(from_b) OVER w AS was_b FROM r2 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
       r4 AS (SELECT *, COALESCE(was_t + INTERVAL 48 HOUR <= ts, FALSE) AS expired, prior + cents - from_b AS queued FROM r3),
@@ -150,7 +150,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     out = m.startup_release(
-        clocked(t), "user_id", ["event_id"], "ts", "cents", "elapsed", "flag", 20_000_000, 120_000, 48 * 3600 * 1000,
+        clocked(t), "user_id", ["event_id"], "ts", "cents", "elapsed", "segment", 20_000_000, 120_000, 48 * 3600 * 1000,
     )
     return out.withColumns(plain_time("released_at"))
 
@@ -159,12 +159,15 @@ def _(t: Tables):
     "w12_stall_intervals",
     f"""WITH {EV}, o AS (SELECT user_id, event_id, ts, k >= 10 AND event_type IN ('view', 'click', 'purchase') AS out, event_type <> 'error' AS act FROM ev),
       s AS (SELECT *, SUM(CASE WHEN out THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM o),
-      p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM s WHERE out OR (n = 0 AND act))
-    SELECT user_id, b AS stalled_from, b + INTERVAL 24 HOUR AS stale_at, ts AS resumed_at FROM p WHERE ts - b >= INTERVAL 24 HOUR""",
+      p AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM s WHERE out OR (n = 0 AND act))
+    SELECT user_id, b AS stalled_from, b + INTERVAL 24 HOUR AS stale_at, ts AS resumed_at FROM p WHERE ts - b >= INTERVAL 24 HOUR
+    UNION ALL SELECT user_id, ts, ts + INTERVAL 24 HOUR, NULL FROM p WHERE back = 1 AND TIMESTAMP '2024-01-31 00:00:00' - ts >= INTERVAL 24 HOUR""",
 )
 def _(t: Tables):
     df = t.events.withColumns(
         {"out": (F.col("k") >= 10) & F.col("event_type").isin("view", "click", "purchase"), "act": F.col("event_type") != "error"}
     )
-    out = m.stall_intervals(df, "user_id", ["event_id"], "ts", "out", "act", 24 * 3600)
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    out = m.stall_intervals(df, "user_id", ["event_id"], "ts", "out", "act", now, 24 * 3600)
     return out.withColumns(plain_time("stalled_from", "stale_at", "resumed_at"))

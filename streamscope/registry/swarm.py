@@ -70,25 +70,44 @@ def _(t: Tables):
     return replies(t)[1].select("user_id", "event_id", "correlated", "query")
 
 
+# A user is a node of the walk that its number gives; a response names one more node of the walk.
+WALK = """vr AS (SELECT user_id, event_id, ts, k, event_type, lag(event_type) OVER w AS bt, lag(ts) OVER w AS bts
+    FROM ev WHERE event_type = 'view' OR (event_type = 'click' AND k % 10 > 1) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type = 'click', event_id)),
+  re AS (SELECT user_id % 40 AS walk, user_id, k, COALESCE(bt = 'view' AND ts - bts <= INTERVAL 6 HOUR, FALSE) AS ok FROM vr WHERE event_type = 'click'),
+  da AS (SELECT user_id % 40 AS walk, k % 10 AS t, epoch_us(ts) // 86400000000 AS r FROM ev WHERE event_type = 'click'),
+  qu AS (SELECT user_id % 40 AS walk, user_id AS node, epoch_us(ts) // 86400000000 AS r FROM ev WHERE event_type = 'view'),
+  se AS (SELECT DISTINCT user_id % 40 AS walk, user_id AS node FROM ev WHERE event_type = 'signup'),
+  kn AS (SELECT * FROM se UNION SELECT walk, user_id + 40 * (k % 3) FROM re WHERE ok),
+  wk AS (SELECT DISTINCT user_id % 40 AS walk FROM ev WHERE event_type IN ('view', 'click', 'signup'))"""
+
+
 @query(
     "a6_dht_walk_metrics",
-    f"""WITH {EV}, {VC}, q AS (SELECT user_id % 40 AS walk, COUNT(*) AS queried FROM ev WHERE event_type = 'view' GROUP BY ALL),
-      c AS (SELECT user_id % 40 AS walk, CASE WHEN k % 10 = 0 THEN NULL WHEN k % 10 = 1 THEN 'e' ELSE 'r' END AS kind, correlated AS ok, k FROM co),
-      m AS (SELECT walk, COUNT(*) FILTER (ok AND kind = 'r') AS valid, COALESCE(SUM(k % 4) FILTER (ok AND kind = 'r'), 0) AS peers,
-        COALESCE(SUM(k) FILTER (ok AND kind = 'r'), 0) AS nodes, COUNT(*) FILTER (kind IS NULL) AS malformed, COUNT(*) FILTER (ok AND kind = 'e') AS errors,
-        COUNT(*) FILTER (NOT ok AND kind IS NOT NULL) AS uncorrelated, COUNT(*) FILTER (ok) AS answered FROM c GROUP BY walk)
-    SELECT q.walk, queried, valid, CAST(peers AS BIGINT) AS peers, CAST(nodes AS BIGINT) AS nodes, malformed, errors, uncorrelated,
-      queried - answered AS timeouts, peers = 0 AS exhausted FROM q JOIN m ON q.walk = m.walk""",
+    f"""WITH {EV}, {WALK} SELECT walk,
+      (SELECT COUNT(*) FROM se WHERE se.walk = wk.walk) AS seeded,
+      (SELECT COUNT(*) FROM qu WHERE qu.walk = wk.walk) AS queried,
+      (SELECT COUNT(*) FROM re WHERE re.walk = wk.walk AND ok) AS valid,
+      (SELECT CAST(COALESCE(SUM(k % 4), 0) AS BIGINT) FROM re WHERE re.walk = wk.walk AND ok) AS peers,
+      (SELECT CAST(COALESCE(SUM(k), 0) AS BIGINT) FROM re WHERE re.walk = wk.walk AND ok) AS nodes,
+      (SELECT COUNT(*) FROM da WHERE da.walk = wk.walk AND t = 0) AS malformed,
+      (SELECT COUNT(*) FROM da WHERE da.walk = wk.walk AND t = 1) AS errors,
+      (SELECT COUNT(*) FROM re WHERE re.walk = wk.walk AND NOT ok) AS uncorrelated,
+      (SELECT COUNT(*) FROM (SELECT walk, r FROM qu EXCEPT SELECT walk, r FROM da) x WHERE x.walk = wk.walk) AS timeouts,
+      (SELECT COUNT(*) FROM (SELECT walk, node FROM kn EXCEPT SELECT walk, node FROM qu) x WHERE x.walk = wk.walk) = 0 AS exhausted
+    FROM wk""",
 )
 def _(t: Tables):
-    queries, co = replies(t)
-    walk = F.col("user_id") % 40
-    co = co.select(
-        walk.alias("walk"), "correlated",
-        F.expr("case when k % 10 = 0 then null when k % 10 = 1 then 'e' else 'r' end").alias("kind"),
-        (F.col("k") % 4).alias("n_peers"), F.col("k").alias("n_nodes"),
+    kind = F.expr("case when k % 10 = 0 then null when k % 10 = 1 then 'e' else 'r' end")
+    ev = t.events.withColumns({
+        "walk": F.col("user_id") % 40, "node": F.col("user_id"), "kind": kind,
+        "day": F.floor(F.unix_seconds("ts") / 86_400), "n_peers": F.col("k") % 4,
+    })
+    queries, datagrams = ev.filter("event_type = 'view'"), ev.filter("event_type = 'click'")
+    answers = s.correlate_replies(queries, datagrams.filter("kind = 'r'"), ["user_id"], "ts", "event_id", 6 * 3600)
+    found = answers.filter("correlated").withColumn("node", F.col("user_id") + 40 * (F.col("k") % 3))
+    return s.dht_walk_metrics(
+        ev.filter("event_type = 'signup'"), queries, datagrams, answers, found, "walk", "node", "day", "kind", "n_peers", "k"
     )
-    return s.dht_walk_metrics(queries.select(walk.alias("walk")), co, "walk", "kind", "n_peers", "n_nodes")
 
 
 @query(

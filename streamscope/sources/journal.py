@@ -25,7 +25,6 @@ def announces_from(df: DataFrame, raw: str) -> DataFrame:
 
 
 def read_announces(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Journal files, each a JSON array of announces (or one announce per line)."""
+    """Journal files, each a JSON array of announces, on a batch and on a stream."""
     reader = spark.readStream if stream else spark.read
-    reader = reader.schema(ANNOUNCE_SCHEMA)
-    return _known(reader.json(path) if stream else reader.option("multiLine", True).json(path))
+    return _known(reader.schema(ANNOUNCE_SCHEMA).option("multiLine", True).json(path))

@@ -93,153 +93,23 @@ def stream_segments(
     return fold_stream(rows, [stream], ["pkt"], schema, step)
 
 
-def stream_reassembly(
-    sdf: DataFrame,
-    stream: str,
-    order: list[str],
-    piece: str,
-    chunk: str,
-    chunks_per_piece: int,
-    start: int = 0,
-    ahead: int = PIECES_AHEAD,
-    skip_to: str | None = None,
-) -> DataFrame:
-    """What happens to each delivery, and which pieces come out in order.
-
-    ``late`` (below the frontier or already whole), ``rejected`` (too far ahead), ``duplicate``,
-    ``invalid`` (outside the geometry) or ``stored``; an ``emitted`` row per piece that leaves.  At
-    most ``ahead`` pieces are held.
-    """
-
-    def step(rows: pd.DataFrame, state: dict | None):
-        s = state or {"next": start, "held": {}}
-        held, nxt, out = {int(k): set(v) for k, v in s["held"].items()}, s["next"], []
-        jumps = rows["jump"] if skip_to else [None] * len(rows)
-        for p, c, jump in zip(rows["piece"], rows["chunk"], jumps):
-            if jump is not None and not pd.isna(jump) and int(jump) > nxt:
-                nxt = int(jump)
-                held = {k: v for k, v in held.items() if k >= nxt}
-            if p is not None and not pd.isna(p):
-                p, c = int(p), int(c)
-                have = held.get(p, set())
-                if p < nxt or len(have) == chunks_per_piece:
-                    outcome = "late"
-                elif p >= nxt + ahead:
-                    outcome = "rejected"
-                elif not 0 <= c < chunks_per_piece:
-                    outcome = "invalid"
-                elif c in have:
-                    outcome = "duplicate"
-                else:
-                    outcome = "stored"
-                    held.setdefault(p, set()).add(c)
-                out.append((p, c, outcome))
-            while len(held.get(nxt, ())) == chunks_per_piece:
-                del held[nxt]
-                out.append((nxt, None, "emitted"))
-                nxt += 1
-        return out, {"next": nxt, "held": {k: sorted(v) for k, v in held.items()}}
-
-    columns = [
-        stream,
-        *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
-        F.col(piece).alias("piece"),
-        F.col(chunk).alias("chunk"),
-    ]
-    if skip_to:
-        columns.append(F.col(skip_to).alias("jump"))
-    return fold_stream(
-        sdf.select(*columns),
-        [stream],
-        [f"o{i}" for i in range(len(order))],
-        "piece bigint, chunk bigint, outcome string",
-        step,
-    )
-
-
-def stream_retention(
-    sdf: DataFrame,
-    stream: str,
-    order: list[str],
-    ts: str,
-    piece: str,
-    chunk: str,
-    nbytes: str,
-    budget: int,
-    retention_seconds: int | None = None,
-) -> DataFrame:
-    """Pieces that leave a store with a byte budget and an age limit, in any arrival order.
-
-    The lowest piece goes while the total is over the budget, then while it was first seen at
-    least the limit before the newest data.  A chunk delivered again replaces its bytes.
-    """
-
-    def step(rows: pd.DataFrame, state: dict | None):
-        s = state or {"pieces": {}, "total": 0, "newest": None}
-        # piece -> [first seen, bytes per chunk]
-        pieces = {int(k): v for k, v in s["pieces"].items()}
-        lowest = sorted(pieces)
-        total, newest, out = s["total"], s["newest"], []
-
-        def drop(reason, at):
-            nonlocal total
-            gone = lowest.pop(0)
-            size = sum(pieces.pop(gone)[1].values())
-            total -= size
-            out.append((gone, size, reason, at))
-
-        for at, p, c, n in zip(rows["at"], rows["piece"], rows["chunk"], rows["nbytes"]):
-            if budget == 0:
-                break
-            at, p, c, n = int(at), int(p), str(c), int(n)
-            if p not in pieces:
-                pieces[p] = [at, {}]
-                lowest = sorted(pieces) if lowest and p < lowest[-1] else [*lowest, p]
-            total += n - pieces[p][1].get(c, 0)
-            pieces[p][1][c] = n
-            newest = at if newest is None else max(newest, at)
-            while total > budget and lowest:
-                drop("budget", at)
-            while retention_seconds is not None and lowest:
-                if newest - pieces[lowest[0]][0] < retention_seconds * 1_000_000:
-                    break
-                drop("age", at)
-        return out, {"pieces": pieces, "total": total, "newest": newest}
-
-    rows = sdf.select(
-        stream,
-        *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
-        F.unix_micros(ts).alias("at"),
-        F.col(piece).alias("piece"),
-        F.col(chunk).alias("chunk"),
-        F.col(nbytes).alias("nbytes"),
-    )
-    return fold_stream(
-        rows,
-        [stream],
-        [f"o{i}" for i in range(len(order))],
-        "piece bigint, nbytes bigint, reason string, evicted_at_us bigint",
-        step,
-    )
-
-
 def stream_live_edge(sdf: DataFrame, stream: str, order: list[str], piece: str) -> DataFrame:
-    """Pieces newly advertised as the head of a stream moves: (head, first_new)."""
+    """Complete pieces above all before them, which are what a peer newly advertises."""
 
     def step(rows: pd.DataFrame, state: dict | None):
         head = state["head"] if state else None
         out = []
         for p in rows["piece"]:
             if head is None or p > head:
-                out.append((int(p), int(p) if head is None else head + 1))
                 head = int(p)
+                out.append((head,))
         return out, {"head": head}
 
     rows = sdf.select(
         stream, *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(piece).alias("piece")
     )
     return fold_stream(
-        rows, [stream], [f"o{i}" for i in range(len(order))], "head bigint, first_new bigint", step
+        rows, [stream], [f"o{i}" for i in range(len(order))], "advertised bigint", step
     )
 
 
@@ -255,8 +125,8 @@ def stall_alerts(
 ) -> DataFrame:
     """``stall_intervals`` live: an alert when progress is overdue, by the next row or by a timer.
 
-    A stall with no output since the one before excludes the peer; nothing more is reported until
-    it progresses again.
+    The first stall is retried. One with no output since the stall before excludes the peer, and
+    nothing more is reported until it progresses again.
     """
     timeout = timeout_seconds * 1_000_000
 
@@ -268,7 +138,7 @@ def stall_alerts(
             s["deadline"] = None if exclude else s["deadline"] + timeout
 
     def step(rows: pd.DataFrame, state: dict | None):
-        s = state or {"deadline": None, "outputs": 0, "at_last_stall": 0}
+        s = state or {"deadline": None, "outputs": 0, "at_last_stall": None}
         out: list = []
         for at, gave, active in zip(rows["at"], rows["gave"], rows["active"]):
             overdue(s, int(at), out)
@@ -405,66 +275,3 @@ def stream_checkpoints(
     return fold_stream(
         rows, [stream], [f"o{i}" for i in range(len(order))], "saved bigint, resume_at bigint", step
     )
-
-
-def stream_release(
-    sdf: DataFrame,
-    stream: str,
-    order: list[str],
-    ts: str,
-    nbytes: str,
-    elapsed: str,
-    reset: str,
-    target_ms: int,
-    max_bytes: int,
-    timeout_ms: int,
-    watermark: str,
-) -> DataFrame:
-    """``startup_release`` live, with the deadline as a timer; a stream that ends early stays open."""
-
-    def step(rows: pd.DataFrame, state: dict | None):
-        s = state or {"from": None, "queued": 0, "done": False}
-        out = []
-        for at, n, ticks, is_reset in zip(rows["at"], rows["nbytes"], rows["elapsed"], rows["reset"]):
-            at, n = int(at), int(n)
-            if s["done"]:
-                break
-            if s["from"] is not None and s["from"] + timeout_ms * 1000 <= at:
-                out.append((s["from"] + timeout_ms * 1000, "Deadline", s["queued"]))
-                s["done"] = True
-                break
-            if s["from"] is None or is_reset:
-                s["from"], s["queued"] = at, 0
-            s["queued"] += n
-            media_us = 0 if ticks is None or pd.isna(ticks) else int(ticks) * 1_000_000 / 90_000
-            if s["queued"] > max_bytes:
-                out.append((at, "ByteLimit", s["queued"]))
-            elif media_us >= target_ms * 1000:
-                out.append((at, "TargetDuration", s["queued"]))
-            s["done"] = bool(out)
-        return out, s
-
-    def due(s: dict) -> int | None:
-        return None if s["done"] or s["from"] is None else -(-s["from"] // 1000) + timeout_ms
-
-    def on_due(s: dict, now_ms: int):
-        return [(s["from"] + timeout_ms * 1000, "Deadline", s["queued"])], {**s, "done": True}
-
-    rows = sdf.withWatermark(ts, watermark).select(
-        stream,
-        F.col(ts),
-        *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
-        F.unix_micros(ts).alias("at"),
-        F.col(nbytes).alias("nbytes"),
-        F.col(elapsed).alias("elapsed"),
-        F.coalesce(F.col(reset), F.lit(False)).alias("reset"),
-    )
-    return fold_stream(
-        rows,
-        [stream],
-        [f"o{i}" for i in range(len(order))],
-        "released_at_us bigint, reason string, queued bigint",
-        step,
-        due,
-        on_due,
-    )

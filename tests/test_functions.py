@@ -4,7 +4,7 @@ from compare import rows
 from pyspark.sql import functions as F
 
 from streamscope import functions as fn
-from streamscope.operators import access, delivery, health, peers, swarm
+from streamscope.operators import access, delivery, health, media, peers, swarm
 
 
 def one(spark, column, **values):
@@ -182,3 +182,60 @@ def test_unchoked_rotation(spark):
         got = {r.p for r in peers.choose_unchoked(df, ["s"], "p", "o", 3, tick).collect()}
         assert got == {0, 1, 2, 3 + tick % 4}
     assert peers.choose_unchoked(df, ["s"], "p", "o", 9, 1).count() == 7
+
+
+def test_open_stall(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 0, True), ("a", 2, 5, True), ("a", 3, 40, True), ("b", 1, 0, True), ("c", 1, 50, True)],
+        "s string, o int, at bigint, out boolean",
+    ).withColumn("ts", F.timestamp_seconds("at"))
+    got = media.stall_intervals(df, "s", ["o"], "ts", "out", "out", F.timestamp_seconds(F.lit(60)), 12)
+    at = [F.unix_seconds(c).alias(c) for c in ("stalled_from", "stale_at", "resumed_at")]
+    assert rows(got.select("s", *at)) == sorted(
+        [("a", 5, 17, 40), ("a", 40, 52, None), ("b", 0, 12, None)], key=repr
+    )
+
+
+def test_backward_clock_empties_the_buffer(spark):
+    data = [("a", 1, 0, 60, 0, 0), ("a", 2, 1, 60, 90, 0), ("a", 3, 2, 60, 0, 1), ("a", 4, 3, 60, 90_000, 1)]
+    df = spark.createDataFrame(data, "s string, o int, at bigint, n bigint, e bigint, g bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("at"))
+    got = media.startup_release(df, "s", ["o"], "ts", "n", "e", "g", 1000, 150, 60_000).first()
+    assert (got.reason, got.queued) == ("TargetDuration", 120)
+    one = media.startup_release(df.withColumn("g", F.lit(0).cast("bigint")), "s", ["o"], "ts", "n", "e", "g", 1000, 150, 60_000)
+    assert one.first().reason == "ByteLimit"
+
+
+def test_walk_counters(spark):
+    """An error answers nothing; a silent round is a timeout; told nodes must be asked too."""
+    def frame(rows_, schema):
+        return spark.createDataFrame(rows_, schema)
+
+    seeds = frame([(1, 10), (1, 11), (2, 20)], "walk int, node int")
+    asked = frame([(1, 10, 1, 0), (1, 11, 1, 1), (1, 12, 2, 9), (2, 20, 1, 0)], "walk int, node int, round int, at bigint")
+    came = frame(
+        [(1, 10, 1, 1, "e", 5, 5), (1, 10, 1, 2, "r", 2, 3), (1, 11, 1, 2, None, 7, 7), (1, 99, 1, 3, "r", 1, 1)],
+        "walk int, node int, round int, at bigint, kind string, p int, n int",
+    )
+    asked, came = (d.withColumn("ts", F.timestamp_seconds("at")) for d in (asked, came))
+    answers = swarm.correlate_replies(asked, came.filter("kind = 'r'"), ["node"], "ts", "at", 3)
+    found = frame([(1, 12), (2, 21)], "walk int, node int")
+    got = swarm.dht_walk_metrics(seeds, asked, came, answers, found, "walk", "node", "round", "kind", "p", "n")
+    one, two = got.orderBy("walk").collect()
+    assert one.asDict() == dict(
+        walk=1, seeded=2, queried=3, valid=1, peers=2, nodes=3, malformed=1, errors=1, uncorrelated=1,
+        timeouts=1, exhausted=True,
+    )
+    assert (two.seeded, two.queried, two.timeouts, two.exhausted) == (1, 1, 1, False)
+
+
+def test_expand(spark):
+    from streamscope.plans.expand import expand
+
+    df = spark.createDataFrame([(1, 5, 4), (2, 0, 0), (3, 7, 2_500), (4, None, 3)], "k int, a bigint, b bigint")
+    got = expand(df, "a", "b", "x")
+    assert got.columns == ["k", "a", "b", "x"]
+    assert rows(got.filter("k = 2").select("k", "x")) == [(2, 0)]
+    assert sorted(r.x for r in got.filter("k = 3").collect()) == list(range(7, 2501))
+    wide = spark.createDataFrame([(1 << 40, (1 << 40) + 3_000_000)], "a bigint, b bigint")
+    assert expand(wide, "a", "b", "x").agg(F.count_distinct("x")).first()[0] == 3_000_001
