@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -89,8 +91,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return step.select(*[F.col(f"`{c}`") for c in docs.columns], counts.alias("__m"))
 
 
+#: Each rule votes against a document beyond its limit and abstains below; only the last one votes
+#: for documents, those in which nothing is unusual.
 RULES = (
     "symbols", "repeated_words", "repeated_lines", "capitals", "marks", "word_length", "variety",
+    "plain",
 )
 
 
@@ -102,25 +107,24 @@ def _ratio(part: str, whole: str) -> Column:
     return _field(part) / F.greatest(_field(whole), F.lit(1))
 
 
-def _high_is_bad(value: Column, good: float, bad: float) -> Column:
-    return F.when(value > bad, -1).when(value <= good, 1).otherwise(0)
-
-
 def _votes() -> dict[str, Column]:
     """Rule: 1 for good, -1 for bad, 0 to abstain."""
     words, mean = _field("n_words"), _ratio("word_chars", "n_words")
-    fresh = _ratio("n_distinct", "n_words")
-    return {
-        "symbols": _high_is_bad(_ratio("n_symbols", "n_words"), 0.05, 0.3),
-        "repeated_words": _high_is_bad(_ratio("n_repeat_words", "n_words"), 0.05, 0.2),
-        "repeated_lines": _high_is_bad(_ratio("n_dup_lines", "n_lines"), 0.1, 0.3),
-        "capitals": _high_is_bad(_ratio("n_upper", "word_chars"), 0.12, 0.35),
-        "marks": _high_is_bad(_ratio("n_marks", "n_words"), 0.05, 0.3),
-        "word_length": F.when((mean < 2) | (mean > 12), -1)
-        .when((mean >= 3) & (mean <= 9), 1)
-        .otherwise(0),
-        "variety": F.when(words < 20, 0).when(fresh < 0.08, -1).when(fresh > 0.2, 1).otherwise(0),
+    fresh = F.when(words < 20, 1.0).otherwise(_ratio("n_distinct", "n_words"))
+    # A value, where it is unusual, and where it is bad.
+    high = {
+        "symbols": (_ratio("n_symbols", "n_words"), 0.08, 0.2),
+        "repeated_words": (_ratio("n_repeat_words", "n_words"), 0.2, 0.2),
+        "repeated_lines": (_ratio("n_dup_lines", "n_lines"), 0.5, 0.5),
+        "capitals": (_ratio("n_upper", "word_chars"), 0.2, 0.35),
+        "marks": (_ratio("n_marks", "n_words"), 0.1, 0.3),
+        "word_length": (F.abs(mean - 7), 5.0, 6.0),
+        "variety": (-fresh, -0.1, -0.06),
     }
+    votes = {r: F.when(value > bad, -1).otherwise(0) for r, (value, _, bad) in high.items()}
+    unusual = [value > limit for value, limit, _ in high.values()]
+    votes["plain"] = F.when(reduce(or_, unusual), 0).otherwise(1)
+    return votes
 
 
 @dataclass(frozen=True)
