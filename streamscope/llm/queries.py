@@ -113,3 +113,26 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# Windows of at least fifty words, from each line on and up to each line; those whose lines stand
+# earlier as well are deleted.
+SQL["op5_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(COALESCE(text, ''), chr(10)) AS parts FROM documents),
+n AS (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM d),
+w AS (SELECT doc_id, i, len(regexp_extract_all(parts[i + 1], '[^\x20\x09-\x0D]+')) AS words FROM n),
+c AS (SELECT doc_id, i, SUM(words) OVER o AS upto, SUM(words) OVER o - words AS before
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT doc_id, upto, MIN(i) AS i FROM c GROUP BY ALL),
+b AS (SELECT doc_id, before, MAX(i) AS i FROM c GROUP BY ALL),
+s AS (
+  SELECT c.doc_id, c.i AS first, e.i AS last FROM c ASOF JOIN e ON c.doc_id = e.doc_id AND c.before + 50 <= e.upto
+  UNION SELECT c.doc_id, b.i, c.i FROM c ASOF JOIN b ON c.doc_id = b.doc_id AND c.upto - 50 >= b.before
+),
+t AS (SELECT s.doc_id, first, last, array_to_string(parts[first + 1 : last + 1], chr(10)) AS run FROM s JOIN d ON s.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS nth FROM t),
+g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM r WHERE nth > 1),
+k AS (SELECT n.doc_id, COUNT(*) AS n_lines, COUNT(g.i) AS deleted_lines,
+    COALESCE(string_agg(n.parts[n.i + 1], chr(10) ORDER BY n.i) FILTER (g.i IS NULL), '') AS text
+  FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.i = g.i GROUP BY n.doc_id)
+SELECT k.doc_id, n_lines, deleted_lines, CASE WHEN d.text IS NOT NULL THEN k.text END AS text FROM k JOIN d ON k.doc_id = d.doc_id"""

@@ -1,11 +1,12 @@
 import random
 
+from compare import same
 from conftest import SF
 from made import documents
 from pyspark.sql import functions as F
 
 from streamscope.llm import linededup
-from streamscope.llm.queries import QUERIES
+from streamscope.llm.queries import QUERIES, SQL
 
 
 def plain(docs, least=50):
@@ -31,7 +32,7 @@ def plain(docs, least=50):
     }
 
 
-def test_whole_table(spark):
+def test_whole_table(spark, duck):
     docs = sorted(
         (r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()
     )
@@ -42,6 +43,7 @@ def test_whole_table(spark):
         assert got[i].text == want[n], i
         assert got[i].n_lines == len(t.split("\n"))
     assert sum(r.deleted_lines for r in got.values()) > 0
+    same(spark.createDataFrame(list(got.values())).toPandas(), duck.execute(SQL["op5_line_dedup"]).fetchdf())
 
 
 def test_random_lines(spark):
