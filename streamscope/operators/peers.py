@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.network import MAX_TRACKER_URL_BYTES, MAX_TRACKERS
 from ..plans.ranges import range_join
-from ..plans.scan import OrderedScan, running_count, total_of
+from ..plans.scan import OrderedScan, running_count, running_sum, total_of
 
 
 def window_coverage(
@@ -24,6 +24,40 @@ def window_coverage(
     return range_join(pieces, usable, [stream], piece, min_piece, max_piece, bucket)
 
 
+def coverage_counts(
+    pieces: DataFrame,
+    windows: DataFrame,
+    stream: str,
+    piece: str,
+    min_piece: str,
+    max_piece: str,
+    unchoked: str | None = None,
+) -> DataFrame:
+    """How many peers can serve each piece, without a row for each pair.
+
+    A window adds one at its first piece and takes it away after its last; the running sum over
+    these edges is the count, however many windows overlap or how wide they claim to be.
+    """
+    usable = windows.filter(F.col(min_piece) <= F.col(max_piece))
+    if unchoked is not None:
+        usable = usable.filter(F.col(unchoked))
+    edge = F.explode(
+        F.array(
+            F.struct(F.col(min_piece).alias("at"), F.lit(1).alias("n")),
+            F.struct((F.col(max_piece) + 1).alias("at"), F.lit(-1).alias("n")),
+        )
+    )
+    edges = usable.select(stream, edge.alias("e")).groupBy(stream, F.col("e.at").alias("__at")).agg(
+        F.sum("e.n").alias("__n")
+    )
+    asked = pieces.withColumns({"__at": F.col(piece), "__kind": F.lit(1)})
+    both = asked.unionByName(edges.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    scan = OrderedScan(both, stream, ["__at", "__kind"]).add(__peers=running_sum(F.col("__n")))
+    return scan.df.filter("__kind = 1").select(
+        *pieces.columns, F.coalesce("__peers", F.lit(0)).alias("peers")
+    )
+
+
 def lowest_covered(windows: DataFrame, stream: str, min_piece: str, unchoked: str) -> DataFrame:
     """The lowest piece any unchoked peer still holds."""
     return windows.filter(F.col(unchoked)).groupBy(stream).agg(F.min(min_piece).alias("lowest"))
@@ -159,17 +193,17 @@ def evicted_gap_skips(
 ) -> DataFrame:
     """Readers stuck on a piece that no unchoked peer holds any more, and where they jump to.
 
-    ``frontier`` may hold many readers of a stream.  Whether a piece is covered is a semi join on
-    coverage; the jump needs only each stream's lowest covered piece.
+    ``frontier`` may hold many readers of a stream.  Whether a piece is covered is whether its
+    coverage count is above zero; the jump needs only each stream's lowest covered piece.
     """
     usable = windows.filter(F.col(unchoked))
     stuck = frontier.filter(F.col(stuck_since) <= now - F.expr(f"interval {timeout}"))
     covered = (
-        window_coverage(
+        coverage_counts(
             stuck.select(stream, next_piece).distinct(), usable, stream, next_piece, min_piece, max_piece
         )
+        .filter("peers > 0")
         .select(stream, next_piece)
-        .distinct()
     )
     floor = lowest_covered(windows, stream, min_piece, unchoked)
     return (

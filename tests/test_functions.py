@@ -239,3 +239,14 @@ def test_expand(spark):
     assert sorted(r.x for r in got.filter("k = 3").collect()) == list(range(7, 2501))
     wide = spark.createDataFrame([(1 << 40, (1 << 40) + 3_000_000)], "a bigint, b bigint")
     assert expand(wide, "a", "b", "x").agg(F.count_distinct("x")).first()[0] == 3_000_001
+
+
+def test_coverage_counts(spark):
+    pieces = spark.createDataFrame([("a", n) for n in range(-1, 12)] + [("b", 5)], "s string, p bigint")
+    windows = spark.createDataFrame(
+        [("a", 0, 3, True), ("a", 2, 1 << 40, True), ("a", 4, 3, True), ("a", 5, 5, False), ("c", 0, 9, True)],
+        "s string, lo bigint, hi bigint, open boolean",
+    )
+    got = {(r.s, r.p): r.peers for r in peers.coverage_counts(pieces, windows, "s", "p", "lo", "hi", "open").collect()}
+    want = {("a", n): (0 <= n <= 3) + (n >= 2) for n in range(-1, 12)} | {("b", 5): 0}
+    assert got == want
