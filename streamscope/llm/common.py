@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.durable import fresh_path
 
@@ -13,6 +15,26 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of the tables that `written` makes inside."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no frame still in use reads."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows, written once below the folder that all executors share, and read from there.
 
@@ -20,10 +42,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def met(rows: DataFrame, groups: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Rows joined with a summary that has one row for each key.
+
+    The summary is written first: a join of two plain tables is one that Spark splits when a key
+    holds very many rows, which it can't do if the other side is still being aggregated.
+    """
+    return rows.join(written(groups, label), keys)
+
+
 def words_of(text: Column) -> Column:
     """All words of a text in order; of a null text none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+")
