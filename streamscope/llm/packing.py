@@ -198,7 +198,7 @@ def _slots(patterns: Patterns) -> list[tuple[int, int, int, int, int]]:
 
 
 def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to written pieces with doc_id, piece and length.
+    """Adds sequence_id and offset to `written_pieces`, or to some of their columns.
 
     All that leaves Spark is the number of pieces of each length. A piece's rank among those of
     its length, however many share it, is its place in a hash block plus the blocks before.
@@ -206,7 +206,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     bits = blocks_for(pieces)
     keys = ["length", "__block"]
-    block = F.shiftrightunsigned(F.xxhash64("doc_id", "piece"), 64 - bits)
+    block = F.shiftrightunsigned(F.xxhash64("__row"), 64 - bits)
     rows = pieces.withColumn("__block", block)
     counts = written(rows.groupBy(*keys).agg(F.count("*").alias("__n")), "lengths")
     histogram = {
@@ -221,7 +221,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         Window.unboundedPreceding, -1
     )
     bases = counts.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy(*keys).orderBy("doc_id", "piece")
+    within = Window.partitionBy(*keys).orderBy("__row")
     ranked = rows.join(bases, keys).withColumn(
         "__at", F.col("__base") + F.row_number().over(within) - 1
     )
@@ -230,7 +230,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         ranked.join(F.broadcast(slots), "length")
         .filter((nth >= 0) & (nth < F.col("__times")))
         .select(
-            *[F.col(f"`{c}`") for c in pieces.columns],
+            *[F.col(f"`{c}`") for c in pieces.columns if c != "__row"],
             (F.col("__sequence") + nth).alias("sequence_id"),
             "offset",
         )
@@ -251,17 +251,20 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
+def written_pieces(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
+    """`token_pieces` of the documents, written once, with a number `__row` for each."""
+    pieces = token_pieces(docs, vocabulary or default_vocabulary(), **options)
+    return written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+
+
 def packed(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
-    """`token_pieces` of the documents, written once, with their places in sequences."""
-    vocabulary = vocabulary or default_vocabulary()
-    pieces = written(token_pieces(docs, vocabulary, **options), "pieces")
-    return placed(pieces, options.get("capacity", CAPACITY))
+    """The documents' pieces with their places in sequences."""
+    return placed(written_pieces(docs, vocabulary, **options), options.get("capacity", CAPACITY))
 
 
 def packed_digest(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
     """As `packed`, with a checksum of the written ids in their stead."""
-    vocabulary = vocabulary or default_vocabulary()
-    pieces = written(token_pieces(docs, vocabulary, **options), "pieces")
+    pieces = written_pieces(docs, vocabulary, **options)
     thin = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return placed(thin, options.get("capacity", CAPACITY)).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
