@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import written
+from .common import met, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        both.join(low, "u")
+        met(both, low, ["u"], "lowest")
         .filter("v > u")
         .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         .distinct()
@@ -26,7 +26,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours move to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = written(edges.groupBy("u").agg(F.min("v").alias("m")), "lowest")
     moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, root) for every node with an edge; root is the smallest node it can reach.
 
-    Each round is two joins and map-side combined minima; no neighbour list is ever built, so a
+    Each round is two joins with map-side combined minima; no neighbour list is ever built, so a
     node with very many edges is only a skewed join key. Rounds grow with the logarithm of the
     longest path. Each round is written to the shared folder; the driver sees two numbers of it.
     No edges: no rows. Null ends and loops are ignored.

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from .common import union_all, written
+from .common import met, union_all, written
 from .components import components
 
 BITS = 64
@@ -87,7 +87,7 @@ def links(prints: DataFrame) -> DataFrame:
     )
     buckets = prints.select("fp", tables.alias("t")).select("fp", "t.mask", "t.key")
     sizes = buckets.groupBy("mask", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = written(buckets.join(sizes, ["mask", "key"]), "buckets")
+    shared = written(met(buckets, sizes, ["mask", "key"], "sizes"), "buckets")
 
     small = shared.filter(F.col("n") <= PAIRWISE).select("mask", "key", "fp")
     pairs = (
@@ -134,12 +134,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "prints",
     )
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = first.join(near_classes(prints), "fp")
+    linked = written(first.join(near_classes(prints), "fp"), "linked")
     low = linked.groupBy("root").agg(F.min("first").alias("low"))
-    labels = first.join(
-        linked.join(low, "root").select("fp", "low"), "fp", "left"
-    ).select("fp", F.coalesce("low", "first").alias("component_id"))
-    return prints.join(labels, "fp").select(
+    lows = met(linked, low, ["root"], "lows").select("fp", "low")
+    labels = first.join(lows, "fp", "left").select(
+        "fp", F.coalesce("low", "first").alias("component_id")
+    )
+    return met(prints, labels, ["fp"], "labels").select(
         "doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
 
