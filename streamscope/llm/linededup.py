@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import union_all, written
+from .common import met, union_all, written
 from .order import numbered
 
 #: A run is removed if it has at least this many words.
@@ -78,7 +78,7 @@ def _first_of(rows: DataFrame, *key: str) -> DataFrame:
         .filter(F.col("name") < F.col("__last"))
         .drop("__last")
     )
-    return rows.join(shared, list(key)).select("at", "name")
+    return met(rows, shared, list(key), "classes").select("at", "name")
 
 
 def _shifted(level: DataFrame, by: Column | int, name: str) -> DataFrame:
@@ -104,7 +104,7 @@ def repeated_runs(wide: DataFrame, text_col: str, id_col: str, min_words: int) -
         F.col("__id").asc_nulls_last(), F.col("__row"), name="__number", label="documents",
     )
     twice = written(
-        lines.join(known, ["id1", "id2"])
+        met(lines, known, ["id1", "id2"], "known")
         .join(order.select("__row", "__number"), "__row")
         .withColumn("at", F.col("__number") * F.lit(1 << _LINE_BITS) + F.col("line")),
         "repeated_lines",
@@ -169,7 +169,8 @@ def _named(both: DataFrame) -> DataFrame:
         .filter(F.col("__first") < F.col("__last"))
         .drop("__last")
     )
-    return both.join(firsts, ["m", "a", "b"]).filter(F.col("at") > F.col("__first")).select("at", "m")
+    repeats = met(both, firsts, ["m", "a", "b"], "firsts")
+    return repeats.filter(F.col("at") > F.col("__first")).select("at", "m")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
