@@ -3,7 +3,7 @@
 Byte-pair merges never cross the places where the two supported pre-tokenizers cut, and both cut
 before every run of white space that follows anything else. So a text's ids are those of its words
 one after the other, and a word met before need not be encoded again. Texts with unusual white
-space are encoded whole.
+space are encoded whole, and so are those in which a string of an added token stands.
 """
 
 from __future__ import annotations
@@ -57,7 +57,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens inside a text are ordinary text.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.normalizer = self.tokenizer.normalizer if any(t.normalized for t in added) else None
+        # What `encode` splits has no added tokens, or is to be read as ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.letters = _byte_letters()
         self.lower = self.whole("A") == self.whole("a")
@@ -94,8 +97,23 @@ class Encoder:
                 return (self.after if space else self.first)[tail[1]] + self.first[tail[2]]
         return self.whole(space + word)
 
+    def _adds(self, text: str) -> bool:
+        return any(content in text for content in self.added)
+
+    def with_added(self, text: str) -> bytes:
+        """The ids that the file alone gives: strings of added tokens become those tokens."""
+        if not self._adds(text) and not (
+            self.normalizer and self._adds(self.normalizer.normalize_str(text))
+        ):
+            return self.encode(text)
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self.whole(text)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
+        """The ids of ordinary text as little-endian unsigned 32-bit numbers."""
         try:
             out, after = [], self.after.__getitem__
             for n, line in enumerate(text.split("\n")):
@@ -139,6 +157,6 @@ def encoder(path: str) -> Encoder:
 
 def encoded(batches: Iterator, path: str) -> Iterator[tuple]:
     """(id, bytes of token ids) for the rows of Arrow batches whose columns are id and text."""
-    encode = encoder(path).encode
+    encode = encoder(path).with_added
     for batch in batches:
         yield from zip(batch.column(0), (encode(t or "") for t in batch.column(1).to_pylist()))
