@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import bisect
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.expand import expand
-from ..plans.fold import sliced_fold
+from ..plans.fold import Fold, Rows, State, sliced_fold
 from ..plans.scan import OrderedScan, last_value, previous, running_max, running_sum
 
 # Fixed values.
 MAX_REQUEST_BYTES = 16_384
 CHECKPOINT_PIECES = 128
 
+#: Checkpoint intervals of a stream that one task folds at a time.
+SLICE_INTERVALS = 64
+
 
 def piece_completeness(
     df: DataFrame, stream: str, piece: str, chunk: str, chunks_per_piece: int
@@ -331,6 +336,44 @@ def live_edge(complete: DataFrame, stream: str, order: list[str], piece: str) ->
     return scan.df.filter(F.col("before").isNull() | (F.col(piece) > F.col("before")))
 
 
+def checkpoint_fold(interval: int, start: int) -> Fold:
+    """Saves a value that is ``interval`` past the last one saved.
+
+    In a slice, what is saved last depends only on the first value saved there; neighbouring first
+    values mostly lead to the same last one, so a few limits describe the slice.
+    """
+
+    def step(rows: Rows, state: State) -> tuple[list[tuple], State]:
+        last, values, saved = state["last"] if state else start, rows["cursor"], []
+        at = int(np.searchsorted(values, last + interval))
+        while at < len(values):
+            last = int(values[at])
+            saved.append((last,))
+            at = int(np.searchsorted(values, last + interval))
+        return saved, {"last": last}
+
+    def describe(rows: Rows) -> dict:
+        values = rows["cursor"]
+        following = np.searchsorted(values, values + interval).tolist()
+        ends, limits = values.tolist(), []
+        # What was saved last lies before the slice, so the first value saved here is near its start.
+        near = following[0] if values[0] > start else len(ends) - 1
+        for n in reversed(range(len(ends))):
+            if following[n] < len(ends):
+                ends[n] = ends[following[n]]
+            if n <= near and (not limits or ends[n] != limits[-1][1]):
+                limits.append((int(values[n]), ends[n]))
+        return {"limits": limits[::-1]}
+
+    def enter(described: dict, state: State) -> State:
+        """A first saved value up to a limit ends in the value beside the limit."""
+        last, limits = state["last"] if state else start, described["limits"]
+        at = bisect.bisect_left(limits, last + interval, key=lambda x: x[0])
+        return {"last": limits[at][1] if at < len(limits) else last}
+
+    return Fold(step, describe, enter)
+
+
 def ingest_cursor(
     df: DataFrame,
     stream: str,
@@ -350,19 +393,9 @@ def ingest_cursor(
         .df
     )
     # Saving depends only on the distinct cursor values.
-    values = cursor.select(stream, "cursor").distinct()
-
-    def step(rows: pd.DataFrame, state: dict | None) -> tuple[list[tuple], dict]:
-        last = state["last"] if state else start
-        saved = []
-        for value in rows["cursor"]:
-            if value >= last + interval:
-                saved.append((int(value),))
-                last = int(value)
-        return saved, {"last": last}
-
+    values = cursor.select(stream, F.col("cursor").cast("bigint").alias("cursor")).distinct()
     checkpoints = sliced_fold(
-        values, [stream], ["cursor"], step, "saved bigint", bound=df
+        values, [stream], "cursor", SLICE_INTERVALS * interval, checkpoint_fold(interval, start), "saved bigint"
     ).withColumn("resume_at", F.col("saved") + interval)
     return cursor, checkpoints
 

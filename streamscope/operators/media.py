@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.fold import sliced_fold
 from ..plans.scan import OrderedScan, last_value, previous, running_sum
-from .segmenter import Segmenter
+from .segmenter import segment_fold
 
 # Fixed values.
 PCR_MODULUS = 1 << 33
@@ -16,6 +15,9 @@ LIVE_WINDOW_SEGMENTS = 8
 TABLE_PACKETS = 2
 STALE_SECONDS = 12
 
+#: Packets of a stream that one task folds at a time.
+SLICE_PACKETS = 1 << 16
+
 
 def pcr_segments(
     df: DataFrame,
@@ -78,24 +80,21 @@ def hls_segments(
     """Cut a packet timeline into segments: seq, start_pkt, end_pkt, duration, discontinuity.
 
     Where a segment ends depends on where it began, so the cuts are a fold.  It only sees packets
-    that can matter (flag, clock or access point), and a long stream is folded range by range.
+    that can matter (flag, clock or access point).  Slices of packet numbers are folded side by
+    side (``sliced_fold``); a slice is no longer than the packet limit.
     """
     rows = df.select(
         F.col(stream),
-        F.col(packet).alias("pkt"),
-        F.col(pid).alias("pid"),
+        F.col(packet).cast("bigint").alias("pkt"),
+        F.col(pid).cast("bigint").alias("pid"),
         F.col(pcr).cast("double").alias("pcr"),
         F.coalesce(F.col(access_point), F.lit(False)).alias("access"),
         F.coalesce(F.col(discontinuity), F.lit(False)).alias("flag"),
     ).filter(F.col("flag") | F.col("pcr").isNotNull() | F.col("access"))
-
-    def step(rows: pd.DataFrame, state: dict | None) -> tuple[list[tuple], dict]:
-        cutter = Segmenter(target_seconds, max_packets, table_packets, state)
-        cut = cutter.feed(rows["pkt"], rows["pid"], rows["pcr"], rows["access"], rows["flag"])
-        return cut, cutter.state()
-
+    width = SLICE_PACKETS if max_packets is None else min(SLICE_PACKETS, max(1, max_packets - table_packets))
+    fold = segment_fold(target_seconds, max_packets, table_packets)
     schema = "seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean"
-    return sliced_fold(rows, [stream], ["pkt"], step, schema, bound=df)
+    return sliced_fold(rows, [stream], "pkt", width, fold, schema)
 
 
 def hls_live_window(

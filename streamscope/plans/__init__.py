@@ -1 +1 @@
-"""Plan shapes shared by the operators: skew checks, running values, range joins, folds."""
+"""Plan shapes shared by the operators: running values, range joins, greedy folds in slices."""

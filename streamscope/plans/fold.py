@@ -1,97 +1,177 @@
-"""Greedy folds whose next step depends on the last, in bounded tasks.
+"""Greedy folds whose next step depends on the last, with every slice of a stream in parallel.
 
-Rows are shuffled by key and sorted by Spark; each task walks its keys batch by batch, so a fold
-holds one Arrow batch and one small state, never a whole group.  A hot key is folded range by
-range: each pass handles one range of every hot key and hands the states to the next pass, so no
-task sorts more than one range.  What a pass produced is written before the next one starts.
+A key's order is cut into slices by a fixed rule. What a slice does to the state that enters it is
+described once, without knowing that state: greedy folds forget where they came from after a cut, so
+a short description answers for every entry. The descriptions, a few numbers for each slice, are
+walked along the key and give each slice the state that truly enters it; then every slice is folded
+once more from there. There are three passes at any size, nothing is counted or sampled, no value
+reaches the driver, and no task holds more than a slice of rows or one description at a time.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .durable import cut
-from .skew import assign_buckets, find_splits
+#: Rows of one key in order, as arrays by column name.
+Rows = dict[str, np.ndarray]
+#: Anything that JSON holds.
+State = dict | None
 
-# (some rows of one key in order, state so far or None) -> (output rows as tuples, state)
-Step = Callable[[pd.DataFrame, dict | None], tuple[list[tuple], dict]]
 
+@dataclass(frozen=True)
+class Fold:
+    """A greedy fold.
 
-def _walk(batches: Iterator[pd.DataFrame], keys: list[str], step: Step, columns: list[str], hand_on: bool):
-    """Apply ``step`` along the sorted rows of one task."""
-    current, state = None, None
+    step: rows in order and the state so far, to output rows (tuples in the order of the fold's
+    schema) and the state after them. describe: what a slice does. enter: a slice's description and
+    the state before it, to the state after it: the one that `step` would give.
+    """
+
+    step: Callable[[Rows, State], tuple[list[tuple], State]]
+    describe: Callable[[Rows], dict]
+    enter: Callable[[dict, State], State]
+
+
+def _runs(batch: pa.RecordBatch, names: list[str]) -> list[tuple[int, int]]:
+    """Bounds of the runs of rows that agree in the named columns."""
+    change = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for name in names:
+        codes = batch.column(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        change |= np.diff(codes) != 0
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+    return list(zip(edges, edges[1:]))
+
+
+def _along(
+    batches: Iterator[pa.RecordBatch], names: list[str], values: list[str]
+) -> Iterator[tuple[tuple, Rows, bool]]:
+    """(group values, some of its rows, is the group new) for sorted rows."""
+    current = None
     for batch in batches:
-        if batch.empty:
+        if not batch.num_rows:
             continue
-        runs = batch.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        starts = [0, *(np.flatnonzero(np.diff(runs)) + 1), len(batch)]
-        out = []
-        for a, b in zip(starts, starts[1:]):
-            rows = batch.iloc[a:b]
-            key = tuple(None if pd.isna(v) else v for v in rows[keys].iloc[0])
-            if key != current:
-                if hand_on and state is not None:
-                    out.append((*current, *[None] * (len(columns) - len(keys) - 1), json.dumps(state)))
-                current, state = key, None
-            if hand_on and isinstance(rows["__state"].iloc[0], str):
-                state, rows = json.loads(rows["__state"].iloc[0]), rows.iloc[1:]
-                if rows.empty:
-                    continue
-            done, state = step(rows, state)
-            tail = (None,) if hand_on else ()
-            out.extend((*key, *row, *tail) for row in done)
-        yield pd.DataFrame(out, columns=columns)
-    if hand_on and state is not None:
-        last = (*current, *[None] * (len(columns) - len(keys) - 1), json.dumps(state))
-        yield pd.DataFrame([last], columns=columns)
+        arrays = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in values}
+        runs = _runs(batch, names)
+        first = pa.array([a for a, _ in runs])
+        groups = zip(*(batch.column(n).take(first).to_pylist() for n in names))
+        for group, (a, b) in zip(groups, runs):
+            yield group, {n: v[a:b] for n, v in arrays.items()}, group != current
+            current = group
+
+
+class _Output:
+    """Rows to hand on as Arrow batches of a schema."""
+
+    SIZE = 1 << 14
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.rows = schema, []
+
+    def full(self) -> bool:
+        return len(self.rows) >= self.SIZE
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows)) or [()] * len(self.schema)
+        self.rows = []
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(columns, self.schema)], schema=self.schema
+        )
 
 
 def sliced_fold(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    step: Step,
-    schema: str,
-    hot_rows: int | None = None,
-    bound: DataFrame | None = None,
+    df: DataFrame, keys: list[str], order: str, width: int, fold: Fold, schema: str
 ) -> DataFrame:
-    """``step`` over the rows of each key in order; ``schema`` lists the columns after the keys."""
+    """The fold over the rows of each key in the order of a whole-number column without ties;
+    rows without a number take no part.
+
+    ``schema`` lists the columns after the keys. ``width`` is that of a slice in numbers of the
+    order, and bounds what a task holds of a key. Rows are shuffled once, by key and slice; the
+    descriptions are shuffled by key.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = df.sparkSession
     # Python work: as many tasks as the session plans for, not as few as the bytes suggest.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    columns = [*keys, *[c.strip().split(" ")[0] for c in schema.split(",")]]
-
-    def fold(rows: DataFrame, hand_on: bool) -> DataFrame:
-        first = ["__state"] if hand_on else []
-        placed = rows.repartition(tasks, *keys).sortWithinPartitions(
-            *keys, *[F.col(c).desc_nulls_last() for c in first], *order
+    # One key column that is never null, so that the join below compares it as it is shuffled.
+    group = ["__key", "__slice"]
+    # The filter is the join's own; with it both uses of the rows are one exchange.
+    rows = (
+        df.withColumns(
+            {"__key": F.struct(*keys), "__slice": F.expr(f"floor({order} / {int(width)}D)")}
         )
-        names = [*columns, *first]
-        full = f"{key_schema}, {schema}" + (", __state string" if hand_on else "")
-        return placed.mapInPandas(lambda it: _walk(it, keys, step, names, hand_on), full)
-
-    splits = find_splits(df, keys, order, hot_rows, bound)
-    if splits is None:
-        return fold(df, False)
-
-    placed = assign_buckets(df, splits, order)
-    outputs = [fold(placed.filter(~F.col("__hot")).drop("__bucket", "__hot"), False)]
-    hot = cut(placed.filter("__hot").drop("__hot"))
-    last = hot.agg(F.max("__bucket")).first()[0]
-    states = None
-    for bucket in range(last + 1):
-        rows = hot.filter(F.col("__bucket") == bucket).drop("__bucket")
-        rows = rows.withColumn("__state", F.lit(None).cast("string"))
-        if states is not None:
-            rows = rows.unionByName(states, allowMissingColumns=True)
-        done = cut(fold(rows, True))
-        outputs.append(done.filter("__state is null").drop("__state"))
-        states = done.filter("__state is not null").select(*keys, "__state")
-    return reduce(DataFrame.unionByName, outputs)
+        .filter(F.col("__slice").isNotNull())
+        .repartition(tasks, *group)
+    )
+    placed = rows.sortWithinPartitions(*group, order)
+    values = [c for c in df.columns if c not in keys]
+    at = [*keys, "__slice"]
+    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    slice_schema = f"{key_schema}, __slice bigint"
+
+    def arrow(ddl: str) -> pa.Schema:
+        return to_arrow_schema(spark.createDataFrame([], ddl).schema)
+
+    described, entered, result = (
+        arrow(f"{slice_schema}, __text string"), arrow(f"{slice_schema}, __state string"),
+        arrow(f"{key_schema}, {schema}"),
+    )
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, open_group, held = _Output(described), None, []
+
+        def close() -> None:
+            joined = {n: np.concatenate([h[n] for h in held]) for n in values}
+            out.rows.append((*open_group, json.dumps(fold.describe(joined))))
+
+        for here, part, new in _along(batches, at, values):
+            if new and held:
+                close()
+                held = []
+                if out.full():
+                    yield out.batch()
+            open_group = here
+            held.append(part)
+        if held:
+            close()
+        yield out.batch()
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, state = _Output(entered), None
+        for here, part, new in _along(batches, keys, ["__slice", "__text"]):
+            state = None if new else state
+            for slice_, text in zip(part["__slice"].tolist(), part["__text"]):
+                out.rows.append((*here, slice_, json.dumps(state)))
+                state = fold.enter(json.loads(text), state)
+            if out.full():
+                yield out.batch()
+        yield out.batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, state = _Output(result), None
+        for here, part, new in _along(batches, at, [*values, "__state"]):
+            if new:
+                state = json.loads(part["__state"][0])
+            done, state = fold.step(part, state)
+            out.rows.extend((*here[:-1], *row) for row in done)
+            if out.full():
+                yield out.batch()
+        yield out.batch()
+
+    texts = placed.mapInArrow(describe, f"{slice_schema}, __text string")
+    states = (
+        texts.repartition(tasks, *keys).sortWithinPartitions(*at)
+        .mapInArrow(enter, f"{slice_schema}, __state string")
+        .select(F.struct(*keys).alias("__key"), "__slice", "__state")
+    )
+    return (
+        rows.join(states, group)
+        .sortWithinPartitions(*group, order)
+        .mapInArrow(run, f"{key_schema}, {schema}")
+    )

@@ -131,10 +131,13 @@ def _(t: Tables):
 
 @query(
     "a13_packet_contiguity",
-    """WITH d AS (SELECT doc_id, hex(encode(repeat('x', CAST(doc_id % 188 AS INTEGER)) || repeat('G' || repeat('.', 187), CAST(doc_id % 7 AS INTEGER)) || text)) AS x FROM documents)
-    SELECT doc_id, length(x) // 2 AS n, length(x) // 2 >= 752 AND len(list_filter(range(0, length(x) // 2 - 564), lambda o:
-      substring(x, o * 2 + 1, 2) = '47' AND substring(x, o * 2 + 377, 2) = '47' AND substring(x, o * 2 + 753, 2) = '47'
-      AND substring(x, o * 2 + 1129, 2) = '47')) > 0 AS contiguous FROM d""",
+    # The places of all sync bytes, from the bytes between them; then four of them a packet apart.
+    """WITH d AS (SELECT doc_id, repeat('x', CAST(doc_id % 188 AS INTEGER)) || repeat('G' || repeat('.', 187), CAST(doc_id % 7 AS INTEGER)) || text AS x FROM documents),
+    s AS (SELECT doc_id, unnest(list_transform(string_split(x, 'G'), lambda p: strlen(p) + 1)) AS step, generate_subscripts(string_split(x, 'G'), 1) AS i FROM d),
+    g AS (SELECT doc_id, CAST(SUM(step) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS o FROM s),
+    c AS (SELECT DISTINCT a.doc_id FROM g a JOIN g b ON b.doc_id = a.doc_id AND b.o = a.o + 188 JOIN g e ON e.doc_id = a.doc_id AND e.o = a.o + 376
+      JOIN g f ON f.doc_id = a.doc_id AND f.o = a.o + 564 JOIN d ON d.doc_id = a.doc_id WHERE f.o <= strlen(d.x))
+    SELECT d.doc_id, strlen(x) AS n, strlen(x) >= 752 AND c.doc_id IS NOT NULL AS contiguous FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
 )
 def _(t: Tables):
     head = F.expr("concat(repeat('x', cast(doc_id % 188 as int)), repeat(concat('G', repeat('.', 187)), cast(doc_id % 7 as int)), text)")

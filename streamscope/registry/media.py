@@ -85,9 +85,46 @@ def _(t: Tables):
     return m.hls_segments(df, "user_id", "pkt", "pid", "pcr", "access", "flag", 6.0)
 
 
-@query("w2_hls_segments_limited")
+# Every packet in turn, with the clock's PID and the limit of 2,000 packets, two of them tables.
+W2_LIMITED_SQL = f"""WITH RECURSIVE {EV}, {PK}, p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn,
+    event_id AS pkt, pid, pcr, flag, access FROM pk),
+  e AS (SELECT user_id, rn, pkt, pid, pcr, flag, access, FALSE AS plain FROM p),
+  f AS (
+    SELECT user_id, 1::BIGINT AS rn, NULL::BIGINT AS opened, NULL::BIGINT AS clock, NULL::BIGINT AS origin, NULL::BIGINT AS latest, FALSE AS pending,
+      0::BIGINT AS seq, NULL::BIGINT AS e_start, NULL::BIGINT AS e_end, NULL::BIGINT AS e_ticks, FALSE AS e_disc FROM (SELECT DISTINCT user_id FROM p)
+    UNION ALL
+    SELECT y.user_id, CASE WHEN forced THEN y.rn ELSE y.rn + 1 END,
+      CASE WHEN emits THEN here WHEN drops THEN CASE WHEN reopens THEN here END WHEN y.opened IS NULL THEN CASE WHEN starts THEN here END ELSE y.opened END,
+      CASE WHEN emits THEN now_clock WHEN drops OR y.opened IS NULL THEN CASE WHEN (reopens OR starts) AND pcr IS NOT NULL THEN pid END ELSE now_clock END,
+      CASE WHEN emits THEN now WHEN drops OR y.opened IS NULL THEN CASE WHEN reopens OR starts THEN pcr END ELSE now_origin END,
+      CASE WHEN emits THEN now WHEN drops OR y.opened IS NULL THEN CASE WHEN reopens OR starts THEN pcr END ELSE now END,
+      CASE WHEN emits THEN FALSE WHEN drops THEN TRUE ELSE y.pending END, y.seq + CASE WHEN emits THEN 1 ELSE 0 END,
+      CASE WHEN emits THEN y.opened END, CASE WHEN emits THEN here - 1 END, CASE WHEN emits THEN ticks END, y.pending AND emits
+    FROM (
+      SELECT *, NOT forced AND flag OR (opened IS NOT NULL AND (back OR (capped AND NOT reached))) AS drops,
+        opened IS NOT NULL AND NOT back AND NOT (flag AND NOT forced) AND reached AND (capped OR (access AND NOT forced)) AS emits,
+        opened IS NOT NULL AND NOT forced AND NOT flag AND NOT back AND capped AND NOT reached AND access AS reopens,
+        opened IS NULL AND NOT flag AND access AS starts
+      FROM (
+        SELECT *, forced OR COALESCE(opened + 1998 = pkt, FALSE) AS capped, CASE WHEN forced THEN opened + 1998 ELSE pkt END AS here,
+          COALESCE(ticks <= 4294967296 AND ticks >= 540000, FALSE) AS reached
+        FROM (
+          SELECT *, (now - now_origin + 8589934592) % 8589934592 AS ticks
+          FROM (
+            SELECT *, CASE WHEN ticked THEN pcr ELSE latest END AS now, CASE WHEN ticked THEN pid ELSE clock END AS now_clock,
+              CASE WHEN ticked THEN COALESCE(origin, pcr) ELSE origin END AS now_origin,
+              ticked AND COALESCE((pcr - latest + 8589934592) % 8589934592 > 4294967296, FALSE) AS back
+            FROM (
+              SELECT f.user_id, f.rn, f.opened, f.clock, f.origin, f.latest, f.pending, f.seq, e.pkt, e.pid, e.pcr, e.flag, e.access,
+                COALESCE(f.opened + 1998 < e.pkt, FALSE) AS forced,
+                NOT COALESCE(f.opened + 1998 < e.pkt, FALSE) AND NOT e.flag AND e.pcr IS NOT NULL AND COALESCE(f.clock = e.pid, TRUE) AS ticked
+              FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn))))) y)
+  SELECT user_id, seq - 1 AS seq, e_start AS start_pkt, e_end AS end_pkt, round(e_ticks / 90000, 3) AS duration, e_disc AS discontinuity FROM f WHERE e_start IS NOT NULL"""
+
+
+@query("w2_hls_segments_limited", W2_LIMITED_SQL)
 def _(t: Tables):
-    """With a packet limit and two PIDs; checked against a packet-by-packet model in the tests."""
+    """With a packet limit and two PIDs."""
     return m.hls_segments(packets(t), "user_id", "event_id", "pid", "pcr", "access", "flag", 6.0, 2000)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.segmenter import PCR_MODULUS, Segmenter
+from ..operators.segmenter import PCR_MODULUS, Segmenter, packet_rows
 from .state import fold_stream
 
 # Fixed values.
@@ -70,7 +70,7 @@ def stream_segments(
         state = state or {"cutter": None, "marks": [], "gone": 0}
         cutter = Segmenter(target_seconds, max_packets, table_packets, state["cutter"])
         out = []
-        for row in cutter.feed(rows["pkt"], rows["pid"], rows["pcr"], rows["access"], rows["flag"]):
+        for row in cutter.feed(packet_rows(rows)):
             state["marks"].append(row[4])
             if len(state["marks"]) > window:
                 state["gone"] += bool(state["marks"].pop(0))

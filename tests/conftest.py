@@ -29,11 +29,3 @@ def duck():
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
-
-
-@pytest.fixture
-def split(monkeypatch):
-    """Treat every key with more than 4 rows as hot, so that scans and folds are split."""
-    from streamscope.plans import skew
-
-    monkeypatch.setattr(skew, "HOT_ROWS", 4)

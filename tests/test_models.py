@@ -103,13 +103,13 @@ def test_segmenter_against_packet_model(limit):
         target = rng.choice([0.5, 2.0, 5.0])
         kept = [p for p in stream if p["flag"] or p["access"] or p["pcr"] is not None]
         cutter = Segmenter(target, limit, 2)
-        columns = [[p[c] for p in kept] for c in ("pkt", "pid", "pcr", "access", "flag")]
-        got = cutter.feed(*columns)
+        got = cutter.feed([tuple(p[c] for c in ("pkt", "pid", "pcr", "access", "flag")) for p in kept])
         want = [s for s in model_segments(stream, target, limit, 2) if s[2] < kept[-1]["pkt"]]
         assert got == want, seed
 
 
-def test_segments_batch_stream_and_slices(spark, tmp_path, split):
+def test_segments_batch_stream_and_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "SLICE_PACKETS", 37)
     stream = packets(random.Random(7), 400)
     schema = "s string, pkt bigint, pid int, pcr bigint, access boolean, flag boolean"
     frame = pd.DataFrame([{"s": "a", **p} for p in stream], dtype=object)
@@ -236,7 +236,8 @@ def test_catalog_live(spark, tmp_path):
     assert rows(got) == rows(batch.select("k", "i", "v", "resolved"))
 
 
-def test_checkpoints_live(spark, tmp_path, split):
+def test_checkpoints_live(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delivery, "SLICE_INTERVALS", 2)
     rng = random.Random(17)
     frame = pd.DataFrame([("s", i, i * 9 + rng.randrange(60)) for i in range(400)], columns=["s", "o", "piece"])
     schema = "s string, o bigint, piece bigint"
