@@ -395,7 +395,7 @@ def ingest_cursor(
     # Saving depends only on the distinct cursor values.
     values = cursor.select(stream, F.col("cursor").cast("bigint").alias("cursor")).distinct()
     checkpoints = sliced_fold(
-        values, [stream], "cursor", SLICE_INTERVALS * interval, checkpoint_fold(interval, start), "saved bigint"
+        values, [stream], ["cursor"], SLICE_INTERVALS * interval, checkpoint_fold(interval, start), "saved bigint"
     ).withColumn("resume_at", F.col("saved") + interval)
     return cursor, checkpoints
 

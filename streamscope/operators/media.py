@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..plans.fold import sliced_fold
-from ..plans.scan import OrderedScan, last_value, previous, running_sum
+from ..plans.fold import sliced_fold, sliced_scan
+from ..plans.scan import OrderedScan, last_value, running_sum
+from .clock import clock_fold, release_fold
 from .segmenter import segment_fold
 
 # Fixed values.
@@ -33,36 +34,13 @@ def pcr_segments(
     it is the clock.  A forward step of more than half the 33-bit range is a step backwards: that
     packet opens the next segment.
     """
-    flag = F.coalesce(F.col(discontinuity), F.lit(False))
-    timed = ~flag & F.col(pcr).isNotNull()
-    df = df.withColumns({"__flag": flag, "__timed": timed})
-    mark = F.when(F.col("__flag") | F.col("__timed"), F.struct(F.col("__flag").alias("flag")))
-    scan = (
-        OrderedScan(df, stream, order)
-        .add(__mark=last_value(mark, exclusive=True))
-        .select(__first=F.col("__timed") & F.coalesce(F.col("__mark.flag"), F.lit(True)))
-        .add(__pid=last_value(F.when(F.col("__first"), F.col(pid))))
-        .select(__on=F.col("__timed") & (F.col(pid) == F.col("__pid")))
-        .add(
-            __last=last_value(
-                F.when(F.col("__flag") | F.col("__on"), F.struct(F.when(F.col("__on"), F.col(pcr)).alias("pcr"))),
-                exclusive=True,
-            )
-        )
-    )
-    step = F.pmod(F.col(pcr) - F.col("__last.pcr"), F.lit(PCR_MODULUS))
-    back = F.col("__on") & F.coalesce(step > PCR_MODULUS // 2, F.lit(False))
-    scan = (
-        scan.select(__opens=F.col("__on") & (F.col("__last.pcr").isNull() | back), __back=back)
-        .add(
-            segment=running_sum((F.col("__flag") | F.col("__back")).cast("bigint")),
-            __start=last_value(F.when(F.col("__opens"), F.col(pcr))),
-        )
-        .select(elapsed=F.when(F.col("__on"), F.pmod(F.col(pcr) - F.col("__start"), F.lit(PCR_MODULUS))))
-    )
-    return scan.df.drop(
-        "__flag", "__timed", "__mark", "__first", "__pid", "__on", "__last", "__opens", "__back", "__start"
-    )
+    rows = df.withColumns({
+        "__pid": F.col(pid).cast("double"), "__pcr": F.col(pcr).cast("double"),
+        "__flag": F.coalesce(F.col(discontinuity), F.lit(False)),
+    })
+    uses = ["__pid", "__pcr", "__flag"]
+    scan = sliced_scan(rows, [stream], order, SLICE_PACKETS, clock_fold(), uses, "segment bigint, elapsed bigint")
+    return scan.drop(*uses)
 
 
 def hls_segments(
@@ -94,7 +72,7 @@ def hls_segments(
     width = SLICE_PACKETS if max_packets is None else min(SLICE_PACKETS, max(1, max_packets - table_packets))
     fold = segment_fold(target_seconds, max_packets, table_packets)
     schema = "seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean"
-    return sliced_fold(rows, [stream], "pkt", width, fold, schema)
+    return sliced_fold(rows, [stream], ["pkt"], width, fold, schema)
 
 
 def hls_live_window(
@@ -188,40 +166,26 @@ def startup_release(
         return df.groupBy(stream).agg(F.min_by(ts, first).alias("released_at")).select(
             stream, "released_at", F.lit("Disabled").alias("reason"), F.lit(0).cast("bigint").alias("queued")
         )
-    scan = (
-        OrderedScan(df, stream, order)
-        .add(__prior=running_sum(F.col(nbytes), exclusive=True), __seen=previous(F.struct(F.col(segment).alias("s"))))
-        .select(__opens=F.col("__seen").isNull() | ~F.col("__seen.s").eqNullSafe(F.col(segment)))
-        .add(__from=last_value(F.when(F.col("__opens"), F.struct(F.col(ts).alias("t"), F.col("__prior").alias("b")))))
-        .add(__was=previous(F.col("__from")))
-    )
-    queued = F.col("__prior") + F.col(nbytes) - F.col("__from.b")
-    before = F.col("__prior") - F.col("__was.b")
-    clock_us = F.coalesce(F.col(elapsed), F.lit(0)) * 1_000_000 / PCR_HERTZ
-    rate_us = F.lit(0.0) if bitrate is None else F.coalesce(queued * 8_000_000 / F.nullif(F.col(bitrate), F.lit(0)), F.lit(0.0))
-    media_us = F.when(clock_us > 0, clock_us).otherwise(rate_us)
-    deadline = F.col("__was.t") + F.expr(f"interval {timeout_ms} milliseconds")
-    expired = F.coalesce(deadline <= F.col(ts), F.lit(False))
-    reason = (
-        F.when(expired, "Deadline")
-        .when(queued > max_bytes, "ByteLimit")
-        .when(media_us >= target_ms * 1000, "TargetDuration")
-    )
-    rows = scan.df.select(
+    rows = df.select(
         stream,
-        F.struct(*order).alias("__at"),
-        F.struct(
-            F.when(expired, deadline).otherwise(F.col(ts)).alias("t"),
-            reason.alias("r"),
-            F.when(expired, before).otherwise(queued).alias("q"),
-        ).alias("__e"),
+        *order,
+        F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"),
+        F.coalesce(F.col(nbytes).cast("bigint"), F.lit(0)).alias("__bytes"),
+        F.col(elapsed).cast("double").alias("__elapsed"),
+        (F.lit(None) if bitrate is None else F.col(bitrate)).cast("double").alias("__rate"),
+        F.coalesce(F.col(segment).cast("bigint"), F.lit(-1)).alias("__segment"),
     )
-    last = F.max_by(F.struct(F.col("__e.t").alias("t"), F.lit("EndOfStream").alias("r"), F.col("__e.q").alias("q")), "__at")
-    chosen = rows.groupBy(stream).agg(
-        F.coalesce(F.min_by("__e", F.when(F.col("__e.r").isNotNull(), F.col("__at"))), last).alias("e")
+    fold = release_fold(target_ms, max_bytes, timeout_ms)
+    slices = sliced_fold(rows, [stream], order, SLICE_PACKETS, fold, "t bigint, reason string, queued bigint, at bigint")
+    chosen = slices.groupBy(stream).agg(
+        F.coalesce(
+            F.min_by(F.struct("t", "reason", "queued"), F.when(F.col("reason").isNotNull(), F.col("at"))),
+            F.max_by(F.struct("t", F.lit("EndOfStream").alias("reason"), "queued"), "at"),
+        ).alias("e")
     )
+    kind = df.schema[ts].dataType
     return chosen.select(
-        stream, F.col("e.t").alias("released_at"), F.col("e.r").alias("reason"), F.col("e.q").alias("queued")
+        stream, F.timestamp_micros("e.t").cast(kind).alias("released_at"), "e.reason", "e.queued"
     )
 
 

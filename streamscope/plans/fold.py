@@ -17,6 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .scan import slice_of
 
 #: Rows of one key in order, as arrays by column name.
 Rows = dict[str, np.ndarray]
@@ -28,12 +32,13 @@ State = dict | None
 class Fold:
     """A greedy fold.
 
-    step: rows in order and the state so far, to output rows (tuples in the order of the fold's
-    schema) and the state after them. describe: what a slice does. enter: a slice's description and
-    the state before it, to the state after it: the one that `step` would give.
+    step: rows in order and the state so far, to the output and the state after them. The output is
+    tuples in the order of the fold's schema, or for `sliced_scan` an array for each added column.
+    describe: what a slice does. enter: a slice's description and the state before it, to the state
+    after it: the one that `step` would give. States and descriptions are what JSON holds.
     """
 
-    step: Callable[[Rows, State], tuple[list[tuple], State]]
+    step: Callable[[Rows, State], tuple[list, State]]
     describe: Callable[[Rows], dict]
     enter: Callable[[dict, State], State]
 
@@ -51,7 +56,10 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> list[tuple[int, int]]:
 def _along(
     batches: Iterator[pa.RecordBatch], names: list[str], values: list[str]
 ) -> Iterator[tuple[tuple, Rows, bool]]:
-    """(group values, some of its rows, is the group new) for sorted rows."""
+    """(group values, some of its rows, is the group new) for sorted rows.
+
+    Missing numbers are NaN, times are datetime64 in UTC.
+    """
     current = None
     for batch in batches:
         if not batch.num_rows:
@@ -84,53 +92,42 @@ class _Output:
         )
 
 
-def sliced_fold(
-    df: DataFrame, keys: list[str], order: str, width: int, fold: Fold, schema: str
-) -> DataFrame:
-    """The fold over the rows of each key in the order of a whole-number column without ties;
-    rows without a number take no part.
+def _columns(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
-    ``schema`` lists the columns after the keys. ``width`` is that of a slice in numbers of the
-    order, and bounds what a task holds of a key. Rows are shuffled once, by key and slice; the
-    descriptions are shuffled by key.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
 
+def _entered(
+    df: DataFrame, keys: list[str], order: list[str], width: int | None, fold: Fold, uses: list[str]
+) -> DataFrame:
+    """The rows sorted by key, slice and order, with the state that enters their slice."""
     spark = df.sparkSession
     # Python work: as many tasks as the session plans for, not as few as the bytes suggest.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One key column that is never null, so that the join below compares it as it is shuffled.
+    # One key column that is never null, so that the join below compares it as it is shuffled, and
+    # the join's own filter: with both, the two uses of the rows are one exchange.
     group = ["__key", "__slice"]
-    # The filter is the join's own; with it both uses of the rows are one exchange.
+    slice_ = slice_of(df, order[0], width).cast("bigint")
     rows = (
-        df.withColumns(
-            {"__key": F.struct(*keys), "__slice": F.expr(f"floor({order} / {int(width)}D)")}
-        )
+        df.withColumns({"__key": F.struct(*keys), "__slice": slice_})
         .filter(F.col("__slice").isNotNull())
         .repartition(tasks, *group)
     )
-    placed = rows.sortWithinPartitions(*group, order)
-    values = [c for c in df.columns if c not in keys]
     at = [*keys, "__slice"]
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     slice_schema = f"{key_schema}, __slice bigint"
-
-    def arrow(ddl: str) -> pa.Schema:
-        return to_arrow_schema(spark.createDataFrame([], ddl).schema)
-
-    described, entered, result = (
-        arrow(f"{slice_schema}, __text string"), arrow(f"{slice_schema}, __state string"),
-        arrow(f"{key_schema}, {schema}"),
-    )
+    described = _columns(f"{slice_schema}, __text string")
+    entered = _columns(f"{slice_schema}, __state string")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, open_group, held = _Output(described), None, []
 
         def close() -> None:
-            joined = {n: np.concatenate([h[n] for h in held]) for n in values}
+            joined = held[0] if len(held) == 1 else {
+                n: np.concatenate([h[n] for h in held]) for n in uses
+            }
             out.rows.append((*open_group, json.dumps(fold.describe(joined))))
 
-        for here, part, new in _along(batches, at, values):
+        for here, part, new in _along(batches, at, uses):
             if new and held:
                 close()
                 held = []
@@ -146,16 +143,40 @@ def sliced_fold(
         out, state = _Output(entered), None
         for here, part, new in _along(batches, keys, ["__slice", "__text"]):
             state = None if new else state
-            for slice_, text in zip(part["__slice"].tolist(), part["__text"]):
-                out.rows.append((*here, slice_, json.dumps(state)))
+            for number, text in zip(part["__slice"].tolist(), part["__text"]):
+                out.rows.append((*here, number, json.dumps(state)))
                 state = fold.enter(json.loads(text), state)
             if out.full():
                 yield out.batch()
         yield out.batch()
 
+    placed = rows.sortWithinPartitions(*group, *order)
+    states = (
+        placed.mapInArrow(describe, f"{slice_schema}, __text string")
+        .repartition(tasks, *keys).sortWithinPartitions(*at)
+        .mapInArrow(enter, f"{slice_schema}, __state string")
+        .select(F.struct(*keys).alias("__key"), "__slice", "__state")
+    )
+    return rows.join(states, group).sortWithinPartitions(*group, *order)
+
+
+def sliced_fold(
+    df: DataFrame, keys: list[str], order: list[str], width: int | None, fold: Fold, schema: str
+) -> DataFrame:
+    """The fold over the rows of each key along `order`, whose leading column is a number, a date or
+    a time; rows without one take no part.
+
+    ``schema`` lists the columns after the keys. ``width`` is that of a slice in numbers, days or
+    seconds of the leading column, and bounds what a task holds of a key. Rows are shuffled once, by
+    key and slice; descriptions are shuffled by key.
+    """
+    uses = [c for c in df.columns if c not in keys]
+    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    result = _columns(f"{key_schema}, {schema}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, state = _Output(result), None
-        for here, part, new in _along(batches, at, [*values, "__state"]):
+        for here, part, new in _along(batches, [*keys, "__slice"], [*uses, "__state"]):
             if new:
                 state = json.loads(part["__state"][0])
             done, state = fold.step(part, state)
@@ -164,14 +185,39 @@ def sliced_fold(
                 yield out.batch()
         yield out.batch()
 
-    texts = placed.mapInArrow(describe, f"{slice_schema}, __text string")
-    states = (
-        texts.repartition(tasks, *keys).sortWithinPartitions(*at)
-        .mapInArrow(enter, f"{slice_schema}, __state string")
-        .select(F.struct(*keys).alias("__key"), "__slice", "__state")
-    )
-    return (
-        rows.join(states, group)
-        .sortWithinPartitions(*group, order)
-        .mapInArrow(run, f"{key_schema}, {schema}")
-    )
+    rows = _entered(df, keys, order, width, fold, uses)
+    return rows.mapInArrow(run, f"{key_schema}, {schema}")
+
+
+def sliced_scan(
+    df: DataFrame, keys: list[str], order: list[str], width: int | None, fold: Fold, uses: list[str],
+    schema: str,
+) -> DataFrame:
+    """The rows of ``df`` with the columns of ``schema``, for which the fold's step gives arrays.
+
+    The step reads the columns in ``uses``; all others stay as they are. Otherwise as `sliced_fold`.
+    """
+    columns = df.columns
+    added = _columns(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = state = None
+        for batch in batches:
+            parts: list[list] = []
+            for here, part, _ in _along(iter([batch]), [*keys, "__slice"], [*uses, "__state"]):
+                if here != current:
+                    current, state = here, json.loads(part["__state"][0])
+                done, state = fold.step(part, state)
+                parts.append(done)
+            if parts:
+                made = [
+                    pa.array(np.concatenate(c), f.type, from_pandas=True)
+                    for c, f in zip(zip(*parts), added)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in columns), *made], [*columns, *added.names]
+                )
+
+    rows = _entered(df, keys, order, width, fold, uses)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInArrow(run, f"{fields}, {schema}")

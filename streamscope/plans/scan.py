@@ -68,7 +68,7 @@ def total_of(aggregate: str, expr: Column) -> Running:
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 
 
-def _slice(df: DataFrame, column: str, width: int | None) -> Column:
+def slice_of(df: DataFrame, column: str, width: int | None) -> Column:
     """The slice of the leading order column, which is a number, a date or a time."""
     kind = df.schema[column].dataType
     if isinstance(kind, T.DateType):
@@ -115,7 +115,7 @@ class OrderedScan:
         # A later value depends on these: read them from a settled table, not by repeating the scan.
         source = self.df if self._settled else cut(self.df)
         self._settled = False
-        sliced = source.withColumn("__slice", _slice(source, self.order[0], self.width))
+        sliced = source.withColumn("__slice", slice_of(source, self.order[0], self.width))
         at = [*self.keys, "__slice"]
         summaries = sliced.groupBy(*at).agg(
             *[self._summary(r).alias(f"__s_{n}") for n, r in running.items()]

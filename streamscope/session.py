@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", name: str = "streamscope", **extra: str
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.driver.bindAddress": "127.0.0.1",

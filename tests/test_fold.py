@@ -94,15 +94,15 @@ def test_a_slice_says_little(spark):
 def test_null_keys_ties_of_streams_and_empty(spark):
     df = spark.range(3000).selectExpr("if(id % 3 = 0, null, cast(id % 3 as string)) as s", "id div 3 as cursor")
     fold = delivery.checkpoint_fold(10, 0)
-    got = rows(sliced_fold(df, ["s"], "cursor", 64, fold, "saved bigint"))
+    got = rows(sliced_fold(df, ["s"], ["cursor"], 64, fold, "saved bigint"))
     assert got == sorted(((s, v) for s in (None, "1", "2") for v in range(10, 1000, 10)), key=repr)
-    assert rows(sliced_fold(df.limit(0), ["s"], "cursor", 64, fold, "saved bigint")) == []
+    assert rows(sliced_fold(df.limit(0), ["s"], ["cursor"], 64, fold, "saved bigint")) == []
 
 
 def test_three_passes_at_any_size(spark):
     """One exchange of the rows, used twice; one of the descriptions, one of the entries."""
     df = spark.range(100_000).selectExpr("id % 2 as s", "id as cursor")
-    out = sliced_fold(df, ["s"], "cursor", 1024, delivery.checkpoint_fold(128, 0), "saved bigint")
+    out = sliced_fold(df, ["s"], ["cursor"], 1024, delivery.checkpoint_fold(128, 0), "saved bigint")
     assert out.count() == 2 * (100_000 - 1) // 128 or out.count() > 0
     plan = out._jdf.queryExecution()
     out.collect()
