@@ -87,6 +87,23 @@ class Codes:
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return ranks + np.bitwise_count(words[word] & mask)
 
+    def range(self, first: int, until: int) -> np.ndarray:
+        """The ids at consecutive positions. Their chunks lie together at each level, in order, so
+        one rank for each level finds them."""
+        out = np.zeros(until - first, dtype=np.uint32)
+        where = np.arange(until - first)
+        for level, (chunks, words, before) in enumerate(self.levels):
+            if not len(where):
+                break
+            out[where] |= chunks[first:until].astype(np.uint32) << np.uint32(8 * level)
+            head = first >> 3
+            bits = np.unpackbits(words.view(np.uint8)[head : (until + 7) >> 3], bitorder="little")
+            where = where[bits[first - 8 * head : until - 8 * head] > 0]
+            if len(where):
+                first = int(self._rank(words, before, np.array([first]))[0])
+                until = first + len(where)
+        return out
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """The ids at any positions, in any order."""
         at = np.asarray(at, dtype=np.int64)
@@ -165,6 +182,7 @@ def write_codes(
 
 def read_codes(segments: DataFrame) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32, read from written segments.
+    No segments give no rows; null and repeated doc_ids are those that were written.
 
     A part's first id is the sum of the parts before it, a table of one row per written part.
     """
@@ -191,8 +209,8 @@ def read_codes(segments: DataFrame) -> DataFrame:
                 stops = np.array(ends.as_py())
                 starts = np.concatenate([[0], stops[:-1]])
                 sums = [
-                    zlib.crc32(codes.get(np.arange(a, b)).astype("<u4").tobytes())
-                    for a, b in zip(starts, stops)
+                    zlib.crc32(codes.range(a, b).astype("<u4").tobytes())
+                    for a, b in zip(starts.tolist(), stops.tolist())
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [doc_ids.values, pa.array(start + starts), pa.array(stops - starts),
@@ -208,7 +226,9 @@ def read_codes(segments: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, vocabulary: str | None = None, **options) -> DataFrame:
-    """The documents' tokens, written as directly addressable codes and read back."""
+    """The documents' tokens, written as directly addressable codes and read back: doc_id, start,
+    n_tokens, ids_crc32. A null text is an empty one, null ids come first, rows of equal id keep a
+    row each, other columns are not read; no documents, no rows."""
     if vocabulary is None:
         import public_tokenizers
 

@@ -36,6 +36,8 @@ def test_random_access(ids, data):
         at = data.draw(st.lists(st.integers(0, len(ids) - 1), max_size=20))
         assert opened.get(np.array(at, int)).tolist() == [ids[i] for i in at]
         assert opened.get(np.arange(len(ids))).tolist() == ids
+        a, b = sorted(data.draw(st.tuples(st.integers(0, len(ids)), st.integers(0, len(ids)))))
+        assert opened.range(a, b).tolist() == ids[a:b]
 
 
 def test_large_segment():
