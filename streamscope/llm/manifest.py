@@ -128,23 +128,32 @@ def build(rows: DataFrame) -> Manifest:
     return Manifest(leaves, levels, trees, top, found[0] if found else None)
 
 
+def _segment(digit: Column) -> Column:
+    """The children beside the one of a digit."""
+    return F.struct(
+        F.array_join(F.slice("children", F.lit(1), digit), "").alias("left"),
+        F.array_join(F.slice("children", digit + 2, F.lit(FAN)), "").alias("right"),
+    )
+
+
+def _found(paths: DataFrame, records: DataFrame, label: str) -> DataFrame:
+    """Paths with the children of their node. A record is found by its digest alone; equal subtrees
+    share it."""
+    return met(paths, records.select("digest", "children").dropDuplicates(["digest"]), ["digest"], label)
+
+
 def _chosen(paths: DataFrame, records: DataFrame, label: str) -> DataFrame:
     """Paths one level down: each goes on as one path for each child, with the children left out.
 
-    paths: tree, at, digest, path. A record is found by its digest alone; equal subtrees share it.
+    paths: tree, at, digest, path.
     """
-    here = met(paths, records.select("digest", "children").dropDuplicates(["digest"]), ["digest"], label)
-    child = here.select(
+    child = _found(paths, records, label).select(
         "tree", F.col("at").alias("above"), "path", "children",
         F.posexplode("children").alias("digit", "digest"),
     )
-    segment = F.struct(
-        F.array_join(F.slice("children", F.lit(1), F.col("digit")), "").alias("left"),
-        F.array_join(F.slice("children", F.col("digit") + 2, F.lit(FAN)), "").alias("right"),
-    )
     return child.select(
         "tree", (F.col("above") * FAN + F.col("digit")).alias("at"), "digest",
-        F.concat("path", F.array(segment)).alias("path"),
+        F.concat("path", F.array(_segment(F.col("digit")))).alias("path"),
     )
 
 
@@ -182,19 +191,32 @@ def proofs(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
         .select("tree", F.lit(0).cast("long").alias("at"), F.col("subroot").alias("digest"), "path", "height", "subroot"),
         "roots",
     )
-    below = None
-    for h in range(len(manifest.levels), 0, -1):
-        here = roots.filter(F.col("height") == h).select("tree", "at", "digest", "path")
-        here = here if below is None else here.unionByName(below)
-        chosen = _chosen(_wanted(here, requests, h), manifest.levels[h - 1], "records")
-        # The last step, one row a leaf, goes straight into the join with the requests.
-        below = written(chosen, "paths") if h > 1 else chosen
-    here = roots.filter("height = 0").select("tree", "at", "digest", "path")
-    here = here if below is None else here.unionByName(below)
-    return (
-        leaves.join(here.select("tree", "at", F.reverse("path").alias("path")), ["tree", "at"])
-        .join(roots.select("tree", "subroot"), "tree")
+
+    def start_at(h: int) -> DataFrame:
+        return roots.filter(F.col("height") == h).select("tree", "at", "digest", "path")
+
+    whole = leaves.join(
+        roots.filter("height = 0").select("tree", "subroot", F.reverse("path").alias("path")), "tree"
+    )
+    if not manifest.levels:
+        return whole
+    paths = start_at(len(manifest.levels))
+    for h in range(len(manifest.levels), 1, -1):
+        chosen = _chosen(_wanted(paths, requests, h), manifest.levels[h - 1], "records")
+        paths = written(chosen, "paths").unionByName(start_at(h - 1))
+    # The last digit is followed by all requests of a run together, so that a path is moved once a
+    # run and not once a leaf.
+    asked = leaves.groupBy("tree", F.shiftright("at", _BITS).alias("run")).agg(
+        F.collect_list(F.struct(*leaves.columns)).alias("asked")
+    )
+    runs = _found(paths.withColumnRenamed("at", "run"), manifest.levels[0], "runs")
+    each = written(runs, "run_paths").join(written(asked, "asked"), ["tree", "run"]).select(
+        "path", "children", F.explode("asked").alias("r")
     )
+    digit = F.col("r.at").bitwiseAND(F.lit(FAN - 1)).cast("int")
+    path = F.reverse(F.concat("path", F.array(_segment(digit))))
+    found = each.select("r.*", path.alias("path")).join(roots.select("tree", "subroot"), "tree")
+    return found.unionByName(whole)
 
 
 def folded(leaf: Column, path: Column) -> Column:
