@@ -19,6 +19,8 @@ BLOCKS = [
     ("multicast", "224.0.0.0", 4),
     ("broadcast", "255.255.255.255", 32),
 ]
+# IPv6 blocks by class, as (class, first group, prefix bits within it).
+GROUP_BLOCKS = [("private", 0xFC00, 7), ("link_local", 0xFE80, 10), ("multicast", 0xFF00, 8)]
 # Classes each policy refuses.
 TRACKER_REFUSES = [
     "private", "loopback", "link_local", "multicast", "broadcast", "unspecified", "documentation",
@@ -46,23 +48,71 @@ def ipv4_number(ip: Column | str) -> Column:
     return F.when(ip.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$"), number)
 
 
-def address_class(df: DataFrame, ip: str, policy: str = "tracker", opt_in: bool = False) -> DataFrame:
-    """Add ``address_class`` and ``allowed`` under the tracker or the transport policy.
+def ipv6_groups(ip: Column | str) -> Column:
+    """An IPv6 address as its eight 16-bit groups; null when it is not one.
 
-    The twelve blocks are a handful of constant ranges, so they are compared in place: no join,
-    no shuffle, and the result can be pushed into later filters.
+    ``::`` stands for one or more zero groups, once; the last two groups may be dotted IPv4.
     """
-    number = ipv4_number(ip)
-    kind = F.when(number.isNull(), F.lit("invalid"))
+    ip = F.lower(F.col(ip) if isinstance(ip, str) else ip)
+    tail = F.regexp_extract(ip, r"^[0-9a-f:]*:([0-9.]+)$", 1)
+    number = F.when(F.instr(tail, ".") > 0, ipv4_number(tail))
+    dotted = F.concat(
+        F.substring(ip, F.lit(1), F.length(ip) - F.length(tail)),
+        F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(0xFFFF))),
+    )
+    text = F.when(F.instr(ip, ".") > 0, F.lower(dotted)).otherwise(ip)
+    short = F.instr(text, "::") > 0
+
+    def groups(part: Column) -> Column:
+        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+
+    head, rest = groups(F.regexp_extract(text, "^(.*?)(::|$)", 1)), groups(F.regexp_extract(text, "::(.*)$", 1))
+    missing = F.lit(8) - F.size(head) - F.size(rest)
+    zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
+    every = F.when(short, F.concat(head, zeros, rest)).otherwise(F.split(text, ":"))
+    fits = F.when(short, missing >= 1).otherwise(F.size(every) == 8)
+    legal = F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(fits & legal, F.transform(every, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def _ipv4_class(number: Column) -> Column:
+    kind = F.when(number.isNull(), F.lit(None).cast("string"))
     for name, first, bits in BLOCKS:
         low = _number(first)
         kind = kind.when(number.between(low, low + (1 << (32 - bits)) - 1), name)
+    return kind.otherwise("global")
+
+
+def address_class(df: DataFrame, ip: str, policy: str = "tracker", opt_in: bool = False) -> DataFrame:
+    """Add ``address_class`` and ``allowed`` under the tracker or the transport policy.
+
+    IPv4 and IPv6; an IPv4 address written as an IPv6 one has the class of the IPv4 address, and
+    unique local addresses are private.  The blocks are a handful of constant ranges, so they are
+    compared in place: no join, no shuffle, and the result can be pushed into later filters.
+    """
+    groups = F.col("__groups")
+    mapped = (F.slice(groups, 1, 5) == F.array(*[F.lit(0)] * 5)) & (groups[5] == 0xFFFF)
+    number = F.coalesce(
+        ipv4_number(ip), F.when(mapped, groups[6].cast("bigint") * 65536 + groups[7])
+    )
+    total = F.aggregate(groups, F.lit(0), lambda a, g: a + g)
+    six = F.when(groups.isNull(), F.lit("invalid")).when(total == 0, "unspecified")
+    six = six.when((total == 1) & (groups[7] == 1), "loopback")
+    for name, first, bits in GROUP_BLOCKS:
+        six = six.when(groups[0].between(first, first + (1 << (16 - bits)) - 1), name)
+    kind = F.coalesce(_ipv4_class(F.col("__number")), six.otherwise("global"))
     refused = TRACKER_REFUSES if policy == "tracker" else TRANSPORT_REFUSES
     if opt_in and policy == "tracker":
         refused = []
     elif opt_in:
         refused = [c for c in refused if c not in OPT_IN_ALLOWS]
-    df = df.withColumn("address_class", kind.otherwise("global"))
+    text = F.col(ip)
+    df = (
+        df.withColumn("__groups", F.when(F.instr(text, ":") > 0, ipv6_groups(text)))
+        .withColumn("__number", number)
+        .withColumn("address_class", kind)
+        .drop("__groups", "__number")
+    )
     return df.withColumn("allowed", ~F.col("address_class").isin("invalid", *refused))
 
 

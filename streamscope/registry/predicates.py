@@ -286,6 +286,30 @@ def _(t: Tables):
     return fn.address_class(df, "ip", "transport", opt_in=True).withColumnRenamed("allowed", "transport_opt_in")
 
 
+# Both families, by the event's counter: beginning, and class of whatever follows it.
+_SIX = [
+    ("2001:4860:4860::", "global"), ("fc00::", "private"), ("fdff:1:2:3:4:5:6:", "private"), ("fe80::1:", "link_local"),
+    ("febf:ffff::", "link_local"), ("fec0::", "global"), ("ff02::", "multicast"), ("FF0E:0:0:0:0:0:0:", "multicast"),
+    ("2001:db8::1:2:3:4:5:6:", "invalid"), ("1:2:3:4:5:6:", "invalid"), ("::1:", "global"), ("::ffff:10.1.2.", "private"),
+    ("::ffff:8.8.8.", "global"), ("0:0:0:0:0:ffff:7f00:", "loopback"), ("::ffff:0:8.8.8.", "global"), ("10.9.8.", "private"), ("8.8.4.", "global"),
+    ("1::2::", "invalid"), ("12345::", "invalid"),
+]
+_SIX_SQL = ", ".join(f"('{text}', '{kind}')" for text, kind in _SIX)
+
+
+@query(
+    "p7_address_class_both",
+    f"""WITH {EV}, p AS (SELECT text, kind, row_number() OVER () - 1 AS n FROM (VALUES {_SIX_SQL}) v(text, kind)),
+      a AS (SELECT event_id, text || (event_id % 100) AS ip, kind FROM ev JOIN p ON n = (k + event_id) % {len(_SIX)}),
+      c AS (SELECT event_id, ip, kind AS address_class FROM a)
+    SELECT event_id, ip, address_class, address_class IN ('global', 'cgnat') AS tracker_allowed FROM c""",
+)
+def _(t: Tables):
+    prefix = F.element_at(F.array(*[F.lit(p) for p, _ in _SIX]), ((F.col("k") + F.col("event_id")) % len(_SIX) + 1).cast("int"))
+    df = t.events.select("event_id", F.concat(prefix, (F.col("event_id") % 100).cast("string")).alias("ip"))
+    return fn.address_class(df, "ip").withColumnRenamed("allowed", "tracker_allowed")
+
+
 @query(
     "p8_tracker_class",
     """WITH u AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN replace(replace(url, 'https://', 'udp://'), 'http://', 'udp://')

@@ -250,3 +250,28 @@ def test_coverage_counts(spark):
     got = {(r.s, r.p): r.peers for r in peers.coverage_counts(pieces, windows, "s", "p", "lo", "hi", "open").collect()}
     want = {("a", n): (0 <= n <= 3) + (n >= 2) for n in range(-1, 12)} | {("b", 5): 0}
     assert got == want
+
+
+def test_ipv6_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from streamscope.functions import network
+
+    rng, texts = random.Random(3), []
+    for _ in range(400):
+        groups = [rng.choice((0, 0, 1, 0xFFFF, rng.randrange(1 << 16))) for _ in range(8)]
+        address = ipaddress.IPv6Address(int.from_bytes(b"".join(g.to_bytes(2) for g in groups)))
+        texts += [str(address), address.exploded, address.exploded.upper()]
+    texts += [
+        "", ":", "::", ":::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", "1:2:3:4:5:6:7:8:9", "::1.2.3.4",
+        "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::ffff:1.2.3.256", "::1.2.3", "1.2.3.4::", "g::", "1::2::3", "::ffff:1.2.3.4:5", "fe80::1%eth0", "a b::",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "ip string").select("ip", network.ipv6_groups("ip").alias("g")).collect()
+    for r in rows:
+        try:
+            want = ipaddress.IPv6Address(r.ip)
+            want = None if "%" in r.ip else [want.packed[i] << 8 | want.packed[i + 1] for i in range(0, 16, 2)]
+        except ValueError:
+            want = None
+        assert r.g == want, r.ip
