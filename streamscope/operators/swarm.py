@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..plans.durable import cut
 from ..plans.scan import OrderedScan, previous
 
 # Fixed values.
@@ -227,19 +230,16 @@ def cross_check_ips(observed: DataFrame, mapped: DataFrame, node: str, ip: str)
     return both.withColumn("verdict", verdict)
 
 
-def xor_distance(node_hex: Column, target_hex: str) -> Column:
+def xor_distance(node_hex: Column, target_hex: Column | str) -> Column:
     """XOR of two 40-digit ids as hex text, which sorts like the number."""
     step = 10
+    target = F.lit(target_hex) if isinstance(target_hex, str) else target_hex
+
+    def part(ids: Column, at: int) -> Column:
+        return F.conv(F.substring(ids, at + 1, step), 16, 10).cast("bigint")
+
     parts = [
-        F.lpad(
-            F.hex(
-                F.conv(F.substring(node_hex, at + 1, step), 16, 10)
-                .cast("bigint")
-                .bitwiseXOR(F.lit(int(target_hex[at : at + step], 16)))
-            ),
-            step,
-            "0",
-        )
+        F.lpad(F.hex(part(node_hex, at).bitwiseXOR(part(target, at))), step, "0")
         for at in range(0, HASH_HEX, step)
     ]
     return F.lower(F.concat(*parts))
@@ -254,3 +254,82 @@ def closest_nodes(nodes: DataFrame, node: str, target_hex: str, k: int) -> DataF
         .orderBy("distance")
         .limit(k)
     )
+
+
+def nearest_to_each(
+    nodes: DataFrame, node: str, targets: DataFrame, target: str, k: int, room: int = 4
+) -> DataFrame:
+    """For each distinct target the ``k`` nearest distinct ids: target, node, distance, rank.
+
+    Ids are hex text; those of a target's own prefix are nearer than all others, and below any
+    prefix the children come in the order of their digit XOR the target's.  So each target descends
+    the tree of prefixes by counts alone: children that fit whole are taken, and only the one that
+    holds more than is still needed is followed, until it has at most ``room`` times ``k`` ids.
+    Then prefixes are looked up, at most ``room + 1`` times ``k`` ids a target, and ranked.  Targets
+    never meet all nodes, and a level's counts are the prefixes that some target follows.
+    """
+    ids = cut(nodes.select(F.lower(node).alias("id")).filter("id is not null").distinct())
+    state = targets.select(F.lower(target).alias("target")).filter("target is not null").distinct()
+    state = cut(state.select("target", F.lit("").alias("prefix"), F.lit(k).cast("bigint").alias("need")))
+    wanted = []
+    for depth in range(HASH_HEX):
+        if state.isEmpty():
+            break
+        followed = state.select("prefix").distinct()
+        prefix, digit = F.substring("id", 1, depth), F.substring("id", depth + 1, 1)
+        children = (
+            ids.groupBy(prefix.alias("prefix"), digit.alias("digit"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .join(followed, "prefix", "left_semi")
+            .groupBy("prefix")
+            .agg(F.collect_list(F.struct("digit", "n")).alias("children"))
+        )
+        own = F.conv(F.substring("target", depth + 1, 1), 16, 10).cast("int")
+        ordered = F.array_sort(
+            F.transform("children", lambda c: F.struct(
+                F.conv(c["digit"], 16, 10).cast("int").bitwiseXOR(own).alias("o"), c["digit"].alias("digit"), c["n"].alias("n"),
+            ))
+        )
+        nothing = F.struct(
+            F.col("need").alias("left"), F.array().cast("array<string>").alias("whole"),
+            F.lit(None).cast("string").alias("next"), F.lit(0).cast("bigint").alias("rest"), F.lit(0).cast("bigint").alias("n"),
+        )
+
+        def take(acc: Column, c: Column) -> Column:
+            return (
+                F.when(acc["left"] <= 0, acc)
+                .when(c["n"] <= acc["left"], F.struct(
+                    (acc["left"] - c["n"]).alias("left"), F.concat(acc["whole"], F.array(c["digit"])).alias("whole"),
+                    acc["next"].alias("next"), acc["rest"].alias("rest"), acc["n"].alias("n"),
+                ))
+                .otherwise(F.struct(
+                    F.lit(0).cast("bigint").alias("left"), acc["whole"].alias("whole"), c["digit"].alias("next"),
+                    acc["left"].alias("rest"), c["n"].alias("n"),
+                ))
+            )
+
+        step = cut(
+            state.join(children, "prefix").select("target", "prefix", F.aggregate(ordered, nothing, take).alias("t"))
+        )
+        few = (F.col("t.n") <= room * k) | F.lit(depth + 1 == HASH_HEX)
+        taken = F.concat("t.whole", F.when(few & F.col("t.next").isNotNull(), F.array("t.next")).otherwise(F.array().cast("array<string>")))
+        wanted.append(
+            step.select(
+                "target", F.explode(F.transform(taken, lambda d: F.concat("prefix", d))).alias("prefix")
+            ).join(
+                ids.withColumn("prefix", F.substring("id", 1, depth + 1)), "prefix"
+            ).select("target", "id")
+        )
+        state = step.filter(F.col("t.next").isNotNull() & ~few).select(
+            "target", F.concat("prefix", "t.next").alias("prefix"), F.col("t.rest").alias("need")
+        )
+    if not wanted:
+        wanted = [state.select("target", F.col("prefix").alias("id"))]
+    nearest = W.partitionBy("target").orderBy("distance")
+    return (
+        reduce(DataFrame.unionByName, wanted)
+        .withColumn("distance", xor_distance(F.col("id"), F.col("target")))
+        .withColumn("rank", F.row_number().over(nearest))
+        .filter(F.col("rank") <= k)
+        .select("target", F.col("id").alias("node"), "distance", "rank")
+    )

@@ -164,3 +164,16 @@ TARGET = "00112233445566778899aabbccddeeff00112233"
 def _(t: Tables):
     nodes = t.read("documents").select(F.sha1("text").alias("node"))
     return s.closest_nodes(nodes, "node", TARGET, 64)
+
+
+@query(
+    "k4_nearest_to_each",
+    """WITH n AS (SELECT DISTINCT sha1(text) AS node FROM documents), t AS (SELECT DISTINCT sha1(url) AS target FROM pages),
+      d AS (SELECT target, node, xor(CAST(unhex(node) AS BIT), CAST(unhex(target) AS BIT)) AS x FROM n CROSS JOIN t),
+      r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY x) AS rank FROM d)
+    SELECT target, node, lower(hex(CAST(x AS BLOB))) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
+)
+def _(t: Tables):
+    nodes = t.read("documents").select(F.sha1("text").alias("node"))
+    targets = t.read("pages").select(F.sha1("url").alias("target"))
+    return s.nearest_to_each(nodes, "node", targets, "target", 8)

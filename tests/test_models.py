@@ -250,3 +250,25 @@ def test_checkpoints_live(spark, tmp_path, monkeypatch):
             last = piece
             want.append(("s", last, last + 128))
     assert rows(batch) == sorted(want, key=repr)
+
+
+def test_nearest_to_each_target(spark):
+    """Clustered ids, targets among and beside them, more wanted than there are."""
+    from streamscope.operators import swarm
+
+    rng = random.Random(23)
+    ids = {f"{rng.randrange(16 ** 40):040x}" for _ in range(200)}
+    ids |= {"abcdef" + f"{rng.randrange(16 ** 34):034x}" for _ in range(300)}
+    ids |= {"a" * 39 + x for x in "0123456789abcdef"}
+    targets = [*rng.sample(sorted(ids), 5), "a" * 40, "abcdee" + "f" * 34, "0" * 40, *(f"{rng.randrange(16 ** 40):040x}" for _ in range(5))]
+    nodes = spark.createDataFrame([(i,) for i in [*ids, *list(ids)[:20], None]], "id string")
+    asked = spark.createDataFrame([(t,) for t in [*targets, targets[0], None]], "t string")
+    for k, room in ((1, 1), (7, 4), (100, 1), (900, 2)):
+        got = swarm.nearest_to_each(nodes, "id", asked, "t", k, room)
+        want = []
+        for t in set(targets):
+            order = sorted((int(i, 16) ^ int(t, 16), i) for i in ids)[:k]
+            want += [(t, i, f"{x:040x}", n + 1) for n, (x, i) in enumerate(order)]
+        assert rows(got) == sorted(want, key=repr)
+    assert rows(swarm.nearest_to_each(nodes.limit(0), "id", asked, "t", 3)) == []
+    assert rows(swarm.nearest_to_each(nodes, "id", asked.limit(0), "t", 3)) == []
