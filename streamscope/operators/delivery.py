@@ -415,13 +415,7 @@ def far_behind_skips(
     return scan.df.filter(F.col("known_head") - F.col(next_piece) > limit).withColumn("jump_to", target)
 
 
-def reconnect_gap(
-    df: DataFrame,
-    stream: str,
-    order: list[str],
-    next_piece: str,
-    window_min: str,
-) -> DataFrame:
+def reconnect_gap(df: DataFrame, next_piece: str, window_min: str) -> DataFrame:
     """Per reconnect: where reading resumes, and the range of pieces missed in between."""
     resume = F.greatest(F.col(next_piece), F.col(window_min))
     return df.withColumns(

@@ -168,22 +168,25 @@ def scenario_rollup(verdicts: DataFrame, scenario: str, peer: str) -> DataFrame:
     """
     oks = [F.coalesce(c, F.lit(False)) for c in ("health_ok", "stability_ok", "contiguous")]
     passed = oks[0] & oks[1] & oks[2]
-    per_scenario = verdicts.groupBy(scenario).agg(
+    per_scenario = verdicts.groupBy(F.col(scenario).alias("__scenario")).agg(
         F.count(peer).alias("peers"),
         F.count_if(passed).alias("peers_passed"),
         F.coalesce(F.bool_or("upload_positive"), F.lit(False)).alias("reciprocates"),
     )
-    per_scenario = per_scenario.withColumn(
-        "passed",
-        (F.col("peers") > 0) & (F.col("peers") == F.col("peers_passed")) & F.col("reciprocates"),
+    all_passed = (
+        (F.col("peers") > 0) & (F.col("peers") == F.col("peers_passed")) & F.col("reciprocates")
     )
-    overall = per_scenario.agg(
-        F.coalesce(F.sum("peers"), F.lit(0)).alias("peers"),
-        F.coalesce(F.sum("peers_passed"), F.lit(0)).alias("peers_passed"),
-        F.coalesce(F.bool_and("reciprocates"), F.lit(False)).alias("reciprocates"),
-        F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"),
-        F.lit(True).alias("overall"),
-    )
-    return per_scenario.withColumn("overall", F.lit(False)).unionByName(
-        overall, allowMissingColumns=True
+    # Both groupings in one pass; the empty one has its row even without scenarios.
+    own = [F.col("__scenario")]
+    return (
+        per_scenario.withColumn("__passed", all_passed)
+        .groupingSets([own, []], *own)
+        .agg(
+            F.coalesce(F.sum("peers"), F.lit(0)).alias("peers"),
+            F.coalesce(F.sum("peers_passed"), F.lit(0)).alias("peers_passed"),
+            F.coalesce(F.bool_and("reciprocates"), F.lit(False)).alias("reciprocates"),
+            F.coalesce(F.bool_and("__passed"), F.lit(False)).alias("passed"),
+            (F.grouping("__scenario") == 1).alias("overall"),
+        )
+        .withColumnRenamed("__scenario", scenario)
     )

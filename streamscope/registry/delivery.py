@@ -160,7 +160,7 @@ def _(t: Tables):
 @query(
     "j15_servable_blocks",
     f"""WITH {LI}, rq AS (SELECT DISTINCT piece, (chunk - 1) * 10 + header AS begin, nbytes - 3 AS length FROM li),
-      hv AS (SELECT piece, chunk - 1 AS chunk, MAX(least(nbytes, 10)) AS held FROM li WHERE peer % 3 > 0 GROUP BY ALL),
+      hv AS (SELECT piece, chunk - 1 AS chunk, MAX(least(nbytes, 10)) AS held FROM li WHERE ts >= TIMESTAMP '1997-01-01' GROUP BY ALL),
       cv AS (SELECT rq.*, unnest(range(begin // 10, (begin + length - 1) // 10 + 1)) AS chunk FROM rq WHERE length > 0 AND begin + length <= 70),
       nd AS (SELECT cv.*, COALESCE(hv.held >= least(begin + length - cv.chunk * 10, 10), FALSE) AS ok FROM cv
         LEFT JOIN hv ON cv.piece = hv.piece AND cv.chunk = hv.chunk),
@@ -171,7 +171,8 @@ def _(t: Tables):
 def _(t: Tables):
     li = deliveries(t)
     asked = li.select("stream", "piece", (F.col("chunk") * 10 + F.col("header")).alias("begin"), (F.col("nbytes") - 3).alias("length"))
-    have = li.filter("peer % 3 > 0").select("stream", "piece", "chunk", F.least("nbytes", F.lit(10)).alias("nbytes"))
+    # Held are the chunks whose retention has not ended at a date.
+    have = li.filter("ts >= timestamp '1997-01-01'").select("stream", "piece", "chunk", F.least("nbytes", F.lit(10)).alias("nbytes"))
     return d.servable_blocks(asked, have, "stream", 70, 10)
 
 
@@ -307,4 +308,4 @@ def _(t: Tables):
     df = t.events.filter("event_type = 'error'").select(
         "event_id", "user_id", F.col("event_id").alias("nxt"), (F.col("event_id") + F.col("k") - 50).alias("wmin")
     )
-    return d.reconnect_gap(df, "user_id", ["event_id"], "nxt", "wmin").drop("nxt", "wmin")
+    return d.reconnect_gap(df, "nxt", "wmin").drop("nxt", "wmin")

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.segmenter import PCR_MODULUS, Segmenter, packet_rows
 from .state import fold_stream
 
-# Fixed values.
-PIECES_AHEAD = 512
 STALE_SECONDS = 12
 ENTRY_TTL_SECONDS = 300
 
