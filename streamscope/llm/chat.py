@@ -42,9 +42,10 @@ def spans(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
     """One row per window: conv_id, window (from 1), repeated turns, fresh turns.
 
     Turns in order of their number; ties by role and text; nulls first. The window of a turn
-    follows from the tokens before it: a stride of half of what the system turn and the history
-    leave, and a turn that would break the budget begins a window of its own. Every window but the
-    first repeats a leading system turn, and then the turns just before it that fit the history.
+    follows from the tokens before it: a stride of seven eighths of what the system turn and the
+    history leave, and a turn that would break the budget is a window of its own. Every window but
+    the first repeats a leading system turn, and then all turns just before it that fit the history,
+    however many windows they come from.
     """
     turns = rows.select(
         "conv_id",
@@ -65,7 +66,7 @@ def spans(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
         .withColumn("start", F.col("end") - F.col("own"))
         .withColumn("system", F.sum(F.when(F.col("leads"), F.col("tokens")).otherwise(0)).over(running))
         .withColumn("fresh", F.greatest(F.lit(2), budget - history - F.col("system")))
-        .withColumn("stride", F.floor(F.col("start") / F.floor(F.col("fresh") / 2)))
+        .withColumn("stride", F.floor(F.col("start") / F.ceil(F.col("fresh") * 7 / 8)))
     )
     by_stride = Window.partitionBy("conv_id", "stride")
     step = step.withColumn("base", F.min("start").over(by_stride)).withColumn(
@@ -75,22 +76,26 @@ def spans(rows: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Data
         "window",
         F.dense_rank().over(Window.partitionBy("conv_id").orderBy("stride", "alone")),
     )
-    turn = F.struct("n", "role", "text", "start", "leads")
-    windows = step.groupBy("conv_id", "window").agg(
-        F.min("start").alias("base"), F.array_sort(F.collect_list(turn)).alias("turns")
-    )
-    # History is less than a stride, and so at most three windows back.
-    by_window = Window.partitionBy("conv_id").orderBy("window")
-    none = F.slice("turns", 1, 0)
-    before = F.concat(*[F.coalesce(F.lag("turns", k).over(by_window), none) for k in (3, 2, 1)])
-    first = F.first("turns").over(by_window)
-    windows = windows.withColumns({"before": before, "lead": F.filter(first, lambda t: t.leads)})
-    recent = F.filter(
-        "before", lambda t: ~t.leads & (F.col("base") - t.start <= history)
-    )
-    lead = F.when(F.col("window") > 1, F.col("lead")).otherwise(none)
+    # A turn is history to the windows that begin within that many tokens after its start.
+    ahead = Window.partitionBy("conv_id").orderBy("start").rangeBetween(0, history)
+    last = F.when(F.col("leads"), F.col("window")).otherwise(F.max("window").over(ahead))
+    turn = F.struct("n", "role", "text", "leads", (F.col("into") > F.col("window")).alias("again"))
+    windows = (
+        step.withColumn("last", last)
+        .withColumn("into", F.explode(F.sequence("window", "last")))
+        .groupBy("conv_id", "into")
+        .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    )
+    by_window = Window.partitionBy("conv_id").orderBy("into")
+    lead = F.when(
+        F.col("into") > 1, F.filter(F.first("turns").over(by_window), lambda t: t.leads)
+    ).otherwise(F.slice("turns", 1, 0))
+    windows = windows.withColumn("lead", lead)
     return windows.select(
-        "conv_id", "window", F.concat(lead, recent).alias("repeated"), "turns"
+        "conv_id",
+        F.col("into").alias("window"),
+        F.concat("lead", F.filter("turns", lambda t: t.again)).alias("repeated"),
+        F.filter("turns", lambda t: ~t.again).alias("turns"),
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from conftest import SF
 from pyspark.sql import functions as F
@@ -66,6 +67,39 @@ def test_windows(spark):
         chat.formatted(frame, budget=120, history=30)).collect()} == digest(rows)
 
 
+def test_history_is_whole_and_windows_are_full(spark):
+    """With a long system turn, history comes from as many windows as it needs; otherwise windows
+    hold most of the budget."""
+    rows = [(1, 0, "system", "s " * 1700)]
+    rows += [(1, n + 1, ("user", "assistant")[n % 2], f"w{n} " * 6) for n in range(200)]
+    rows += [(2, n, ("user", "assistant")[n % 2], f"w{n} " * 30) for n in range(400)]
+    out = chat.spans(spark.createDataFrame(rows, SCHEMA)).orderBy("conv_id", "window").collect()
+    long = [w for w in out if w.conv_id == 1]
+    assert all(sum(len(t.text.split()) + 4 for t in w.repeated[1:]) > 240 for w in long[4:])
+    for w in long[1:]:
+        again = [t.n for t in w.repeated[1:]]
+        assert again == list(range(w.turns[0].n - len(again), w.turns[0].n))
+    full = [sum(len(t.text.split()) + 4 for t in [*w.repeated, *w.turns]) for w in out if w.conv_id == 2]
+    assert max(full) <= chat.BUDGET and min(full[:-1]) > 0.7 * chat.BUDGET
+
+
+def test_formatted_chars_on_the_table(spark):
+    """The sum of what the windows hold, written out plainly."""
+    got = {r[0]: r.formatted_chars for r in QUERIES["op6_chat_format"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    want = {}
+    for w in chat.spans(rows).collect():
+        for t in [*w.repeated, *w.turns]:
+            role, text = (escaped(x) for x in (t.role, t.text))
+            size = len(f"<s>{text}</s>") if t.role == "assistant" else len(f"<s>[INST]{role}[/ROLE]{text}[/INST]")
+            want[w.conv_id] = want.get(w.conv_id, 0) + size
+    assert {k: v for k, v in got.items() if k != -1} == want
+
+
+def escaped(text):
+    return re.sub(r"([<\[])(?=/?s>|/?INST\]|/ROLE\])", r"\1\\", text.replace("\\", "\\\\"))
+
+
 def test_edges(spark):
     rows = [(5, n, r, t) for n, t in enumerate(NASTY) for r in ("assistant", "user")]
     rows += [(6, n, t, "x") for n, t in enumerate(NASTY)]
