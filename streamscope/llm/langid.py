@@ -19,9 +19,12 @@ from pyspark.sql.types import StructType, StructField, StringType, DoubleType, B
 #: Sampled labelled texts per language, and characters taken from each: at most 800 * 2,048.
 SAMPLE_TEXTS = 800
 SAMPLE_CHARS = 2048
-#: Bytes of all dictionaries together, and of one at most.
+#: Languages learned at most, the most frequent ones.
+LANGUAGES = 4096
+#: Bytes of all dictionaries together, and of one at most, and letters of a passage at least.
 ALL_BYTES = 8 << 20
 DICTIONARY_BYTES = 48 << 10
+PASSAGE = 64
 #: A block's characters: short, so that a block leans on the dictionary and not on itself.
 BLOCK = 2048
 #: Matches of four bytes, searched lazily through the whole dictionary: the usual settings for
@@ -57,7 +60,8 @@ def fit(
     """Dictionaries from a bounded sample: the labelled texts of smallest id hash per language.
 
     Null languages and null texts teach nothing. All labelled rows can be sampled, whatever their
-    place; what reaches the driver is at most `sample_texts` passages per language.
+    place. Passages are cut to their dictionary's share before they reach the driver: about four
+    times ALL_BYTES at most, for up to LANGUAGES languages.
     """
     spot = F.xxhash64(F.col(id_col))
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -66,24 +70,30 @@ def fit(
         spot.alias("spot"),
     )
     # A common language sends on about four times its sample, from a narrow scan of counts.
-    counts = rows.groupBy("lang").count().collect()
+    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
     rates = [x for r in counts for x in (F.lit(r["lang"]), F.lit(4.0 * sample_texts / r["count"]))]
     if not rates:
         return Model({})
+    room = min(DICTIONARY_BYTES, ALL_BYTES // len(counts))
+    most = min(sample_texts, max(1, room // PASSAGE))
     part = F.shiftrightunsigned("spot", 1) / F.lit(float(1 << 63))
     rows = rows.filter(part < F.element_at(F.create_map(*rates), F.col("lang")))
     order = Window.partitionBy("lang").orderBy("spot", "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_texts)
+    # Something of every passage, until the dictionary is full.
+    each = F.greatest(F.lit(PASSAGE), F.floor(F.lit(room) / F.count("*").over(Window.partitionBy("lang"))))
+    sample = (
+        rows.withColumn("n", F.row_number().over(order))
+        .filter(F.col("n") <= most)
+        .withColumn("each", each.cast("int"))
+        .select("lang", "n", "each", F.substring("text", F.lit(1), 4 * F.col("each")).alias("text"))
+    )
     texts: dict[str, list[str]] = {}
-    for r in sample.orderBy("lang", "n").select("lang", "text").toLocalIterator():
-        texts.setdefault(r.lang, []).append(letters(r.text))
-    room = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(texts)))
+    for r in sample.orderBy("lang", "n").toLocalIterator():
+        passage = letters(r.text)[: r.each]
+        texts.setdefault(r.lang, []).extend([passage] if passage else [])
     out = {}
     for lang, parts in texts.items():
-        # Something of every passage, until the dictionary is full.
-        each = max(64, room // len(parts))
-        joined = " ".join(p[:each] for p in parts if p).encode("utf-8", "ignore")[:room]
-        out[lang] = joined or lang.encode()
+        out[lang] = " ".join(parts).encode("utf-8", "ignore")[:room] or lang.encode()
     return Model(dict(sorted(out.items())))
 
 

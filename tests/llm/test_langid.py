@@ -54,3 +54,12 @@ def test_edges(spark):
     assert langid.identified(frame.limit(0)).collect() == []
     untaught = langid.identified(frame.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in untaught} == {"und"}
+
+
+def test_a_dirty_language_column_stays_small(spark):
+    """Ten thousand values: the most frequent are learned, each from a share of the whole room."""
+    rows = [(n, f"text {n} of value {n} " * 40, f"v{n}") for n in range(10_000)]
+    rows += [(20_000 + n, "der die das und nicht " * 20, "de") for n in range(50)]
+    model = langid.fit(documents(spark, rows))
+    assert len(model.dictionaries) == langid.LANGUAGES and "de" in model.dictionaries
+    assert sum(map(len, model.dictionaries.values())) <= langid.ALL_BYTES
