@@ -178,7 +178,8 @@ def sampled(
     """At most `texts` labelled texts of either label, those of smallest id hash, and their shares.
 
     Ids are sampled first, so only as many rows meet the documents. An id with several labels
-    counts as toxic if one of them is; null ids and labels are left out.
+    counts as toxic if one of them is; null ids and labels are left out. Of the rows of an id the
+    least text is taken.
     """
     marks = (
         labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
@@ -197,8 +198,12 @@ def sampled(
         .filter(F.col("n") <= texts)
         .select("doc_id", "y")
     )
-    rows = docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).join(
-        F.broadcast(ids), "doc_id"
+    # One text for each id, however often the id is repeated.
+    rows = (
+        docs.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text").alias("text"))
     )
     found = sorted((r.doc_id, r.text or "", r.y) for r in rows.toLocalIterator())
     return [t for _, t, _ in found], np.array([y for *_, y in found]), tuple(rates)
