@@ -143,25 +143,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return met(prints, labels, ["fp"], "labels").select(
         "doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with one row of each near-duplicate class: the one of smallest id.
-
-    Null ids come last, and among rows of equal id any one is kept. Every column is carried.
-    """
-    wide = written(
-        docs.select(
-            "*",
-            F.monotonically_increasing_id().alias("__row"),
-            fingerprint(F.col(text_col)).alias("__fp"),
-        ),
-        "fingerprinted",
-    )
-    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__row")
-    first = wide.groupBy(F.col("__fp").alias("fp")).agg(F.min(rank).alias("first"))
-    best = first.join(near_classes(first), "fp", "left")
-    kept = best.groupBy(F.coalesce("root", "fp").alias("class")).agg(
-        F.min("first").getField("__row").alias("__row")
-    )
-    return wide.join(kept.select("__row"), "__row", "left_semi").select(*docs.columns)

@@ -88,8 +88,4 @@ def test_edges_of_the_rule(spark):
     assert sorted(str(r[0]) for r in got if r[1] == f"{plain('one two'):016x}") == ["5", "5", "None"]
     assert {r[2] for r in got if r[0] in (None, 5)} == {5}
     assert len({r[1] for r in got if r[0] in (7, 8)}) == 2
-    kept = simhash.keep_one(frame)
-    assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 5, 7, 8, 9]
     assert simhash.near_duplicates(frame.limit(0)).collect() == []
-    assert simhash.keep_one(frame.limit(0)).collect() == []
