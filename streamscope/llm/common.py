@@ -48,6 +48,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows with all their columns in one struct `doc`, so that no name of theirs can meet one
+    that an operator adds; `select("doc.*")` gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def met(rows: DataFrame, groups: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Rows joined with a summary that has one row for each key.
 
