@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import met, union_all, written
+from .common import met, packed, union_all, written
 from .order import numbered
 
 #: A run is removed if it has at least this many words.
 MIN_WORDS = 50
 #: Lines of one document that positions leave room for.
-_LINE_BITS = 26
+_LINE_BITS = 31
 _FLUSH = 200_000
 
 _LINES = "__row long, line int, id1 long, id2 long, ahead int, behind int"
@@ -106,7 +106,7 @@ def repeated_runs(wide: DataFrame, text_col: str, id_col: str, min_words: int) -
     twice = written(
         met(lines, known, ["id1", "id2"], "known")
         .join(order.select("__row", "__number"), "__row")
-        .withColumn("at", F.col("__number") * F.lit(1 << _LINE_BITS) + F.col("line")),
+        .withColumn("at", F.shiftleft("__number", _LINE_BITS) + F.col("line")),
         "repeated_lines",
     )
     windows = written(
@@ -139,7 +139,7 @@ def repeated_runs(wide: DataFrame, text_col: str, id_col: str, min_words: int) -
     if not found:
         return twice.select("__row", F.col("line").alias("first"), F.col("line").alias("until"))
     spans = union_all(found).withColumn("__number", F.shiftright("at", _LINE_BITS))
-    spans = spans.withColumn("first", (F.col("at") - F.col("__number") * (1 << _LINE_BITS)).cast("int"))
+    spans = spans.withColumn("first", (F.col("at") - F.shiftleft("__number", _LINE_BITS)).cast("int"))
     spans = spans.withColumn("until", (F.col("first") + F.col("m")).cast("int"))
     # Overlapping ranges of a document become one.
     past = Window.partitionBy("__number").orderBy("first").rowsBetween(
@@ -174,20 +174,18 @@ def _named(both: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """The documents with `__cut`, their sorted repeated ranges (null if there are none)."""
-    wide = written(
-        docs.select("*", F.monotonically_increasing_id().alias("__row")), "numbered"
-    )
-    runs = repeated_runs(wide, text_col, id_col, min_words)
+    """Each document as a struct `doc`, with its sorted repeated ranges in `cut` (null if none)."""
+    wide = written(packed(docs).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    runs = repeated_runs(wide, f"doc.`{text_col}`", f"doc.`{id_col}`", min_words)
     cuts = runs.groupBy("__row").agg(
-        F.array_sort(F.collect_list(F.struct("first", "until"))).alias("__cut")
+        F.array_sort(F.collect_list(F.struct("first", "until"))).alias("cut")
     )
     return wide.join(cuts.hint("shuffle_hash"), "__row", "left").drop("__row")
 
 
 def _rest(text: Column) -> Column:
     """The lines between the ranges, joined again."""
-    lines, cut = F.split(text, "\n"), F.col("__cut")
+    lines, cut = F.split(text, "\n"), F.col("cut")
 
     def between(j: Column) -> Column:
         start = F.coalesce(F.get(cut, j - 1).getField("until"), F.lit(0))
@@ -206,14 +204,13 @@ def without_repeats(
     Rows of equal id are documents of their own. A document all of whose lines repeat keeps an
     empty text; null texts stay null. A column n_chars follows the text.
     """
-    rows = _marked(docs, id_col, text_col, min_words).withColumn("__rest", _rest(F.col(text_col)))
-    changed = {text_col: F.col("__rest")}
+    doc = F.col("doc")
+    rows = _marked(docs, id_col, text_col, min_words).withColumn("rest", _rest(doc[text_col]))
+    after = doc.withField(text_col, F.col("rest"))
     if "n_chars" in docs.columns:
-        length = F.length("__rest").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("__cut").isNull(), F.col("n_chars")).otherwise(length)
-    return rows.select(*[
-        changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns
-    ])
+        length = F.length("rest").cast(docs.schema["n_chars"].dataType)
+        after = after.withField("n_chars", length)
+    return rows.select(F.when(F.col("cut").isNull(), doc).otherwise(after).alias("doc")).select("doc.*")
 
 
 def line_report(
@@ -222,13 +219,13 @@ def line_report(
     """One row per document: doc_id, n_lines, deleted_lines, text (what is left)."""
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     gone = F.aggregate(
-        F.coalesce("__cut", F.array().cast("array<struct<first:int,until:int>>")),
+        F.coalesce("cut", F.array().cast("array<struct<first:int,until:int>>")),
         F.lit(0).cast("long"),
         lambda a, x: a + x.getField("until") - x.getField("first"),
     )
     return _marked(thin, "doc_id", "text", min_words).select(
-        "doc_id",
-        F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"),
+        "doc.doc_id",
+        F.size(F.split(F.coalesce("doc.text", F.lit("")), "\n")).cast("long").alias("n_lines"),
         gone.alias("deleted_lines"),
-        _rest(F.col("text")).alias("text"),
+        _rest(F.col("doc.text")).alias("text"),
     )
