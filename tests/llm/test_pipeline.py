@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import test_linededup
 import test_mixing
+import test_nearcopies
 import test_packing
 import test_rules
-import test_simhash
 from streamscope.llm import rules
 from streamscope.llm.common import written
 
@@ -34,8 +34,7 @@ def test_stages(spark):
     rest = test_linededup.plain([(i, rows[1][i].text) for i in ordered])
     assert {i: r.text for i, r in rows[2].items()} == {i: rest[n] for n, i in enumerate(ordered)}
 
-    root = test_simhash.classes({i: test_simhash.plain(r.text) for i, r in rows[2].items()})
-    assert set(rows[3]) == set(root.values())
+    assert set(rows[3]) == test_nearcopies.kept([(i, r.text) for i, r in rows[2].items()])
 
     mixed = seen[4].collect()
     words = Counter()
@@ -74,8 +73,28 @@ def test_empty_and_null_rows(spark, tmp_path):
     for name, frame in (
         ("few", documents(spark, rows)),
         ("none", documents(spark, rows).limit(0)),
-        ("extra", documents(spark, rows).withColumn("__x", F.lit(1)).withColumn("kept", F.lit("k"))),
     ):
         folder = str(tmp_path / name)
         frame.write.parquet(f"{folder}/documents.parquet")
         assert corpus_pipeline.run(spark, folder).collect() is not None
+
+
+def test_clashing_names_keep_their_values(spark):
+    """Columns named like anything a stage adds come out as they went in."""
+    names = (
+        "doc row sketch cut rest mix tie id size take same first n keys a b kept m __m __w __l __h __g __s __p "
+        "__row __rest __cut __size __src __none __block __spot __base __start __take __text __mix __x"
+    ).split()
+    rows = [(k, f"This is document number {k}, and " + " ".join(f"word{k}x{i}" for i in range(60)) + ".") for k in range(30)]
+    frame = documents(spark, rows)
+    for n, name in enumerate(names):
+        frame = frame.withColumn(name, F.col("doc_id") * 100 + n)
+    want = {r.doc_id: r.asDict() for r in frame.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns, name
+        got = out.collect()
+        assert len(got) >= 20, name
+        for r in got:
+            mine = {k: v for k, v in r.asDict().items() if k not in ("text", "n_chars")}
+            assert mine == {k: want[r.doc_id][k] for k in mine}, name
