@@ -21,8 +21,8 @@ from .order import numbered
 
 #: A run is removed if it has at least this many words.
 MIN_WORDS = 50
-#: Lines of one document that positions leave room for.
-_LINE_BITS = 31
+#: Positions leave room for 2**27 lines of a document and 2**36 documents; beyond, the job fails.
+_LINE_BITS = 27
 _FLUSH = 200_000
 
 _LINES = "__row long, line int, id1 long, id2 long, ahead int, behind int"
@@ -103,10 +103,12 @@ def repeated_runs(wide: DataFrame, text_col: str, id_col: str, min_words: int) -
         wide.select("__row", F.col(id_col).alias("__id")),
         F.col("__id").asc_nulls_last(), F.col("__row"), name="__number", label="documents",
     )
+    fits = (F.col("line") < 1 << _LINE_BITS) & (F.col("__number") < 1 << (63 - _LINE_BITS))
     twice = written(
         met(lines, known, ["id1", "id2"], "known")
         .join(order.select("__row", "__number"), "__row")
-        .withColumn("at", F.shiftleft("__number", _LINE_BITS) + F.col("line")),
+        .withColumn("at", F.when(fits, F.shiftleft("__number", _LINE_BITS) + F.col("line"))
+                    .otherwise(F.raise_error(F.lit("too many lines or documents for a position")))),
         "repeated_lines",
     )
     windows = written(

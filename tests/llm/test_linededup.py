@@ -1,6 +1,7 @@
 import random
 
 from compare import same
+import pytest
 from conftest import SF
 from made import documents
 from pyspark.sql import functions as F
@@ -78,3 +79,11 @@ def test_edges(spark):
     assert twice == ["", "w " * 200]
     assert linededup.without_repeats(frame.limit(0)).collect() == []
     assert linededup.line_report(frame.limit(0)).collect() == []
+
+
+def test_more_lines_than_positions_have_room_for_fail(spark, monkeypatch):
+    """No line is taken for one of the next document."""
+    monkeypatch.setattr(linededup, "_LINE_BITS", 3)
+    text = "\n".join(f"one two three four five six seven {i}" for i in range(20))
+    with pytest.raises(Exception, match="too many lines"):
+        linededup.without_repeats(documents(spark, [(1, text), (2, text)])).collect()
