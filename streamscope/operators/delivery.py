@@ -280,8 +280,7 @@ def byte_budget_retention(
 ) -> DataFrame:
     """What remains when the lowest pieces are dropped until the total fits the budget.
 
-    Exact when pieces arrive in order and none exceeds the budget (``retention_is_ordered``);
-    ``stream_retention`` is exact for any arrival order.
+    Exact when pieces arrive in order and none exceeds the budget (``retention_is_ordered`` tells).
     """
     sizes = df.groupBy(stream, piece).agg(F.sum(nbytes).alias("nbytes"))
     scan = OrderedScan(sizes, stream, piece, descending=True).add(
@@ -293,7 +292,7 @@ def byte_budget_retention(
 def retention_is_ordered(
     df: DataFrame, stream: str, order: list[str], piece: str, nbytes: str, budget: int
 ) -> DataFrame:
-    """Per stream: may ``byte_budget_retention`` be used, or is the stateful form needed?"""
+    """Per stream: is ``byte_budget_retention`` exact?"""
     seen = OrderedScan(df, stream, order).add(__head=running_max(F.col(piece), exclusive=True)).df
     ordered = seen.groupBy(stream).agg(
         F.bool_and(F.coalesce(F.col(piece) >= F.col("__head"), F.lit(True))).alias("__ordered")

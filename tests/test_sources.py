@@ -96,10 +96,10 @@ def test_samples(spark, tmp_path):
 
 
 def test_oplog(spark, tmp_path):
-    (tmp_path / "n1.log").write_text("01:02:03.004 [net] re-requesting 1 piece(s) [x]\nplain\n")
+    (tmp_path / "n1.log").write_text("01:02:03.004 [net] 4 parcels asked for again [north]\nplain\n")
     got = src.read_oplog(spark, str(tmp_path / "n1.log")).collect()
     assert [tuple(r) for r in got] == [
-        ("n1.log", "01:02:03.004", "net", "re-requesting 1 piece(s) [x]"), ("n1.log", None, None, "plain"),
+        ("n1.log", "01:02:03.004", "net", "4 parcels asked for again [north]"), ("n1.log", None, None, "plain"),
     ]
 
 
