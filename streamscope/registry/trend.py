@@ -6,7 +6,7 @@ from ..operators import trend as tr
 from .base import EV, Tables, query
 
 T0 = 1_704_067_200  # 2024-01-01
-SOAK = f"""so AS (SELECT user_id AS run, CAST(epoch_us(ts) // 1000000 - {T0} AS BIGINT) AS t,
+SOAK = f"""so AS (SELECT user_id AS run, event_id, CAST(epoch_us(ts) // 1000000 - {T0} AS BIGINT) AS t,
   CASE WHEN k % 10 <> 0 THEN CAST(cents AS DOUBLE) END AS rss, CASE WHEN k % 4 <> 0 THEN CAST(cents * 3 AS DOUBLE) END AS alloc,
   CASE WHEN k % 6 <> 0 THEN CAST(cents * 3 + k AS DOUBLE) END AS resident, CASE WHEN k % 5 <> 0 THEN CAST(k AS DOUBLE) END AS threads,
   CASE WHEN event_type <> 'error' THEN CAST(k * 2 AS DOUBLE) END AS fds FROM ev)"""
@@ -18,6 +18,7 @@ def soak(t: Tables):
 
     return t.events.select(
         F.col("user_id").alias("run"),
+        "event_id",
         (F.unix_seconds("ts") - T0).alias("t"),
         some("k % 10 <> 0", "cents").alias("rss"),
         some("k % 4 <> 0", "cents * 3").alias("alloc"),
@@ -29,14 +30,14 @@ def soak(t: Tables):
 
 @query(
     "a15_memory_trend",
-    f"""WITH {EV}, {SOAK}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t) AS n, COUNT(*) OVER (PARTITION BY run) AS total FROM so),
-      f AS (SELECT run, COUNT(*) AS samples, arg_min(rss, t) FILTER (rss IS NOT NULL) AS first, arg_max(rss, t) FILTER (rss IS NOT NULL) AS last,
-        MAX(rss) AS peak, regr_slope(rss, t) AS slope, regr_slope(rss, t) FILTER (n > total - greatest(total // 3, 2)) AS tail FROM r GROUP BY run)
+    f"""WITH {EV}, {SOAK}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY t, event_id) AS n, COUNT(*) OVER (PARTITION BY run) AS total FROM so),
+      f AS (SELECT run, COUNT(*) AS samples, arg_min(rss, (t, event_id)) FILTER (rss IS NOT NULL) AS first, arg_max(rss, (t, event_id)) FILTER (rss IS NOT NULL) AS last,
+        MAX(rss) AS peak, nullif(regr_slope(rss, t), 'nan') AS slope, nullif(regr_slope(rss, t) FILTER (n > total - greatest(total // 3, 2)), 'nan') AS tail FROM r GROUP BY run)
     SELECT run, samples, first, last, peak, last - first AS delta, round(slope, 6) AS slope, round(tail, 6) AS tail_slope,
       CASE WHEN tail IS NULL THEN NULL WHEN abs(tail * 3600 / 1024) < 20 THEN 'PLATEAU' ELSE 'STILL GROWING' END AS verdict FROM f""",
 )
 def _(t: Tables):
-    return tr.memory_trend(soak(t), "run", "t", "rss")
+    return tr.memory_trend(soak(t), "run", "t", "rss", ties=["event_id"])
 
 
 @query(
