@@ -43,13 +43,13 @@ def _(t: Tables):
 @query(
     "a16_heap_gap",
     f"""WITH {EV}, {SOAK}, g AS (SELECT *, resident - alloc AS gap FROM so)
-    SELECT run, round(regr_slope(alloc, t), 6) AS allocated_slope,
-      arg_min(gap, t) FILTER (gap IS NOT NULL) AS gap_first, arg_max(gap, t) FILTER (gap IS NOT NULL) AS gap_last,
-      arg_min(threads, t) FILTER (threads IS NOT NULL) AS threads_first, arg_max(threads, t) FILTER (threads IS NOT NULL) AS threads_last, MAX(threads) AS threads_max,
-      arg_min(fds, t) FILTER (fds IS NOT NULL) AS fds_first, arg_max(fds, t) FILTER (fds IS NOT NULL) AS fds_last, MAX(fds) AS fds_max FROM g GROUP BY run""",
+    SELECT run, round(nullif(regr_slope(alloc, t), 'nan'), 6) AS allocated_slope,
+      arg_min(gap, (t, event_id)) FILTER (gap IS NOT NULL) AS gap_first, arg_max(gap, (t, event_id)) FILTER (gap IS NOT NULL) AS gap_last,
+      arg_min(threads, (t, event_id)) FILTER (threads IS NOT NULL) AS threads_first, arg_max(threads, (t, event_id)) FILTER (threads IS NOT NULL) AS threads_last, MAX(threads) AS threads_max,
+      arg_min(fds, (t, event_id)) FILTER (fds IS NOT NULL) AS fds_first, arg_max(fds, (t, event_id)) FILTER (fds IS NOT NULL) AS fds_last, MAX(fds) AS fds_max FROM g GROUP BY run""",
 )
 def _(t: Tables):
-    return tr.heap_gap(soak(t), "run", "t", "alloc", "resident", "threads", "fds")
+    return tr.heap_gap(soak(t), "run", "t", "alloc", "resident", "threads", "fds", ties=["event_id"])
 
 
 @query(

@@ -30,7 +30,7 @@ def in_one_second(n):
     ]
 
 
-@pytest.mark.parametrize("name", ["a15_memory_trend"])
+@pytest.mark.parametrize("name", ["a15_memory_trend", "a16_heap_gap"])
 def test_samples_of_one_second(spark, tmp_path, name):
     events = in_one_second(200)
     got = asked(spark, tmp_path, name, events).set_index("run")
