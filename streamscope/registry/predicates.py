@@ -386,11 +386,11 @@ def _(t: Tables):
     SELECT event_id, spec,
       CASE k % 10 WHEN 1 THEN 'satisfiable' WHEN 2 THEN CASE WHEN cents < 20000 THEN 'satisfiable' ELSE 'unsatisfiable' END
         WHEN 3 THEN 'satisfiable' WHEN 4 THEN 'unsatisfiable' WHEN 5 THEN 'unsatisfiable'
-        WHEN 9 THEN CASE WHEN user_id <= cents THEN 'satisfiable' ELSE 'unsatisfiable' END ELSE 'full' END AS outcome,
+        WHEN 9 THEN CASE WHEN user_id <= cents AND user_id < 20000 THEN 'satisfiable' ELSE 'unsatisfiable' END ELSE 'full' END AS outcome,
       CASE k % 10 WHEN 1 THEN k WHEN 2 THEN CASE WHEN cents < 20000 THEN cents END WHEN 3 THEN 20000 - k
-        WHEN 9 THEN CASE WHEN user_id <= cents THEN user_id END END AS first_byte,
+        WHEN 9 THEN CASE WHEN user_id <= cents AND user_id < 20000 THEN user_id END END AS first_byte,
       CASE k % 10 WHEN 1 THEN k + 100 WHEN 2 THEN CASE WHEN cents < 20000 THEN 19999 END WHEN 3 THEN 19999
-        WHEN 9 THEN CASE WHEN user_id <= cents THEN least(cents, 19999) END END AS last_byte FROM s""",
+        WHEN 9 THEN CASE WHEN user_id <= cents AND user_id < 20000 THEN least(cents, 19999) END END AS last_byte FROM s""",
 )
 def _(t: Tables):
     spec = F.expr(

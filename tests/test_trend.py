@@ -1,4 +1,4 @@
-"""Queries over events on tables that the test folders do not hold: ties, long streams' ids."""
+"""Queries over events on tables that the test folders do not hold: ties, ids beyond the content."""
 
 import duckdb
 import pandas as pd
@@ -51,3 +51,11 @@ def test_ties_without_an_order(spark):
         assert (fit.first, fit.last) == (3.0, 8.0)
         gap = trend.heap_gap(df.withColumn("z", F.lit(0.0)), "run", "t", "z", "v", "v", "v")
         assert (gap.first().gap_first, gap.first().gap_last) == (3.0, 8.0)
+
+
+def test_ranges_beyond_the_content(spark, tmp_path):
+    """A range that begins behind the 20,000 bytes is not satisfiable, whoever asks."""
+    at = pd.Timestamp("2024-01-01").to_pydatetime()
+    users = (19_999, 20_000, 20_805)
+    got = asked(spark, tmp_path, "p11_byte_range", [(n, at, u, "view", 300.0, '{"k": 9}') for n, u in enumerate(users)])
+    assert got.sort_values("event_id").outcome.tolist() == ["satisfiable", "unsatisfiable", "unsatisfiable"]
