@@ -58,17 +58,23 @@ def hls_segments(
     """Cut a packet timeline into segments: seq, start_pkt, end_pkt, duration, discontinuity.
 
     Where a segment ends depends on where it began, so the cuts are a fold.  It only sees packets
-    that can matter (flag, clock or access point).  Slices of packet numbers are folded side by
+    that can matter (flag, clock or access point) and, with a packet limit, each stream's last
+    packet, before which a limit may have been reached.  Slices of packet numbers are folded side by
     side (``sliced_fold``); a slice is no longer than the packet limit.
     """
-    rows = df.select(
+    every = df.select(
         F.col(stream),
         F.col(packet).cast("bigint").alias("pkt"),
         F.col(pid).cast("bigint").alias("pid"),
         F.col(pcr).cast("double").alias("pcr"),
         F.coalesce(F.col(access_point), F.lit(False)).alias("access"),
         F.coalesce(F.col(discontinuity), F.lit(False)).alias("flag"),
-    ).filter(F.col("flag") | F.col("pcr").isNotNull() | F.col("access"))
+    )
+    tells = F.col("flag") | F.col("pcr").isNotNull() | F.col("access")
+    rows = every.filter(tells)
+    if max_packets is not None:
+        last = F.max_by(F.struct(*every.columns), F.struct(F.col("pkt"), tells.alias("tells")))
+        rows = rows.unionByName(every.groupBy(stream).agg(last.alias("p")).select("p.*").filter(~tells))
     width = SLICE_PACKETS if max_packets is None else min(SLICE_PACKETS, max(1, max_packets - table_packets))
     fold = segment_fold(target_seconds, max_packets, table_packets)
     schema = "seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean"

@@ -83,7 +83,9 @@ def stream_segments(
         F.col(pcr).cast("double").alias("pcr"),
         F.coalesce(F.col(access_point), F.lit(False)).alias("access"),
         F.coalesce(F.col(discontinuity), F.lit(False)).alias("flag"),
-    ).filter("flag or pcr is not null or access")
+    )
+    # With a limit the latest packet matters too, whatever it holds: it may lie beyond the limit.
+    rows = rows.filter("flag or pcr is not null or access") if max_packets is None else rows
     schema = (
         "seq bigint, start_pkt bigint, end_pkt bigint, duration double, discontinuity boolean, "
         "media_seq bigint, discontinuity_seq bigint"

@@ -272,3 +272,19 @@ def test_nearest_to_each_target(spark):
         assert rows(got) == sorted(want, key=repr)
     assert rows(swarm.nearest_to_each(nodes.limit(0), "id", asked, "t", 3)) == []
     assert rows(swarm.nearest_to_each(nodes, "id", asked.limit(0), "t", 3)) == []
+
+
+def test_limit_reached_before_a_last_plain_packet(spark, tmp_path):
+    """Nothing that tells follows the packet at which the limit closes the segment."""
+    plain = [{"pkt": n, "pid": 256, "pcr": None, "access": False, "flag": False} for n in range(10)]
+    plain[0] |= {"pcr": 0, "access": True}
+    plain[2] |= {"pcr": 2 * HZ}
+    schema = "s string, pkt bigint, pid int, pcr bigint, access boolean, flag boolean"
+    for n in range(1, 11):
+        frame = pd.DataFrame([{"s": "a", **p} for p in plain[:n]], dtype=object)
+        got = media.hls_segments(spark.createDataFrame(frame, schema), "s", "pkt", "pid", "pcr", "access", "flag", 1.0, 8)
+        want = [("a", *r) for r in model_segments(plain[:n], 1.0, 8, 2)]
+        assert rows(got) == want and len(want) == (n > 6), n
+    sdf = landed(spark, tmp_path, frame, schema)
+    live = drain(st.stream_segments(sdf, "s", "pkt", "pid", "pcr", "access", "flag", 1.0, 8), "plain")
+    assert rows(live.drop("media_seq", "discontinuity_seq")) == want
