@@ -122,6 +122,9 @@ def stream_stability(
     the distance between two seconds with data. A window without a second fails.
     """
     rows = df.join(playback, stream).filter(F.col(second).between(F.col("first"), F.col("until")))
+    if stall_bytes > 0:
+        # Empty seconds neither flow nor add bytes: of those only a window's first is scanned.
+        rows = rows.filter((F.col(nbytes) != 0) | (F.col(second) == F.col("first")))
     flowing = F.when(F.col(nbytes) >= stall_bytes, F.col(second))
     scan = OrderedScan(rows, stream, second).add(__before=last_value(flowing, exclusive=True))
     found = scan.df.groupBy(stream).agg(
