@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 
 from ..plans.fold import Fold, Rows, State
@@ -15,36 +17,13 @@ def _backwards(step) -> bool:
     return step % PCR_MODULUS > _HALF
 
 
-#: Stands for no clock; no PID is negative.
-_NONE = -1
-
-
-class _Clocked:
-    """The rows of a slice that carry a clock, apart from what enters the slice.
-
-    Before the first flag any PID may be the clock, after a flag the first one is.
-    """
-
-    def __init__(self, rows: Rows):
-        self.flag = rows["__flag"]
-        self.epoch = np.cumsum(self.flag)
-        pcr, pid = rows["__pcr"], rows["__pid"]
-        self.at = np.flatnonzero(~self.flag & ~np.isnan(pcr) & ~np.isnan(pid))
-        self.pcr, self.pid = pcr[self.at].astype(np.int64), pid[self.at].astype(np.int64)
-        self.timed_epoch = self.epoch[self.at]
-        first = np.searchsorted(self.timed_epoch, np.arange(self.epoch[-1] + 1))
-        known = np.append(self.timed_epoch, _NONE)[first] == np.arange(len(first))
-        self.clocks = np.where(known, np.append(self.pid, _NONE)[first], _NONE)
+_NAN = float("nan")
 
-    def on(self, clocks: np.ndarray) -> np.ndarray:
-        """Places among the clock values of those that count, with a clock for each epoch."""
-        return np.flatnonzero(self.pid == clocks[self.timed_epoch])
 
-    def backs(self, chosen: np.ndarray) -> np.ndarray:
-        """Which of the chosen values are steps backwards from the one before in their epoch."""
-        pcr, epoch = self.pcr[chosen], self.timed_epoch[chosen]
-        steps = np.diff(pcr, prepend=pcr[:1]) % PCR_MODULUS
-        return (steps > _HALF) & (np.diff(epoch, prepend=epoch[:1]) == 0)
+def _packets(rows: Rows):
+    """Flag, PID and clock of each packet. Most slices hold a few rows, for which a plain walk is
+    many times as fast as arrays, and no slice holds so many that it would matter."""
+    return zip(*(rows[n].tolist() for n in ("__flag", "__pid", "__pcr")))
 
 
 def clock_fold() -> Fold:
@@ -57,57 +36,53 @@ def clock_fold() -> Fold:
 
     def step(rows: Rows, state: State) -> tuple[list, State]:
         state = state or {"pid": None, "last": None, "start": None, "segment": 0}
-        c = _Clocked(rows)
-        clocks = c.clocks.copy()
-        if state["pid"] is not None:
-            clocks[0] = state["pid"]
-        on = c.on(clocks)
-        back = c.backs(on)
-        pcr, epoch = c.pcr[on], c.timed_epoch[on]
-        opens = np.diff(epoch, prepend=-1) != 0
-        goes_on = len(on) > 0 and epoch[0] == 0 and state["pid"] is not None
-        if goes_on:
-            back[0] = _backwards(int(pcr[0]) - state["last"])
-            opens[0] = False
-        opens |= back
-        breaks = c.flag.astype(np.int64)
-        breaks[c.at[on]] += back
-        segment = state["segment"] + np.cumsum(breaks)
-        # The latest opening at or before each value; before any, what entered.
-        latest = np.maximum.accumulate(np.where(opens, np.arange(len(on)), -1)) if len(on) else on
-        start = np.where(latest >= 0, pcr[latest], state["start"] if goes_on else 0)
-        elapsed = np.full(len(c.flag), np.nan)
-        elapsed[c.at[on]] = (pcr - start) % PCR_MODULUS
-        after = {"segment": int(segment[-1])}
-        if len(on) and epoch[-1] == c.epoch[-1]:
-            after |= {"pid": int(clocks[-1]), "last": int(pcr[-1]), "start": int(start[-1])}
-        elif c.epoch[-1] == 0:
-            after |= {k: state[k] for k in ("pid", "last", "start")}
-        else:
-            after |= {"pid": None, "last": None, "start": None}
-        return [segment, elapsed], after
+        pid, last, start, segment = (state[k] for k in ("pid", "last", "start", "segment"))
+        segments, elapsed = [], []
+        for flag, p, v in _packets(rows):
+            ticks = _NAN
+            if flag:
+                pid = last = start = None
+                segment += 1
+            elif v == v and p == p and (pid is None or p == pid):
+                v = int(v)
+                if pid is None:
+                    pid, start = int(p), v
+                elif _backwards(v - last):
+                    start = v
+                    segment += 1
+                last = v
+                ticks = (v - start) % PCR_MODULUS
+            segments.append(segment)
+            elapsed.append(ticks)
+        after = {"segment": segment, "pid": pid, "last": last, "start": start}
+        return [np.array(segments, np.int64), np.array(elapsed, float)], after
 
     def describe(rows: Rows) -> dict:
-        c = _Clocked(rows)
-        heads = {}
-        upto = int(np.searchsorted(c.timed_epoch, 1))
-        for pid in np.unique(c.pid[:upto]).tolist():
-            chosen = np.flatnonzero(c.pid[:upto] == pid)
-            back, pcr = c.backs(chosen), c.pcr[chosen]
-            last = np.flatnonzero(back)
-            heads[pid] = [int(pcr[0]), int(pcr[-1]), int(pcr[last[-1]]) if len(last) else None, len(last)]
-        body, tail = 0, None
-        if c.epoch[-1]:
-            clocks = c.clocks.copy()
-            clocks[0] = _NONE
-            on = c.on(clocks)
-            back = c.backs(on)
-            body = int(back.sum())
-            if len(on) and c.timed_epoch[on[-1]] == c.epoch[-1]:
-                opens = np.flatnonzero(back | (np.diff(c.timed_epoch[on], prepend=-1) != 0))
-                tail = [int(clocks[-1]), int(c.pcr[on[-1]]), int(c.pcr[on[opens[-1]]])]
-        first = int(c.clocks[0])
-        return {"heads": heads, "first": None if first == _NONE else first, "flags": int(c.epoch[-1]), "body": body, "tail": tail}
+        heads: dict[int, list] = {}
+        first = pid = last = start = None
+        flags = body = 0
+        for flag, p, v in _packets(rows):
+            if flag:
+                pid = last = start = None
+                flags += 1
+            elif v == v and p == p:
+                p, v = int(p), int(v)
+                if not flags:
+                    head = heads.setdefault(p, [v, v, None, 0])
+                    first = p if first is None else first
+                    if _backwards(v - head[1]):
+                        head[2] = v
+                        head[3] += 1
+                    head[1] = v
+                elif pid is None:
+                    pid, last, start = p, v, v
+                elif p == pid:
+                    if _backwards(v - last):
+                        start = v
+                        body += 1
+                    last = v
+        tail = None if pid is None else [pid, last, start]
+        return {"heads": heads, "first": first, "flags": flags, "body": body, "tail": tail}
 
     def enter(described: dict, state: State) -> State:
         state = state or {"pid": None, "last": None, "start": None, "segment": 0}
@@ -131,50 +106,39 @@ def clock_fold() -> Fold:
 def release_fold(target_ms: int, max_bytes: int, timeout_ms: int) -> Fold:
     """When a stream's start-up buffer would be released in a slice: one row for each slice.
 
-    Rows have __t (microseconds), __bytes, __elapsed (ticks or NaN), __rate (bits a second or NaN)
-    and __segment. Output: t, reason (null if nothing releases it here; then t and queued are those
+    Rows have __t (microseconds), __bytes, __elapsed (ticks or NaN), __segment
+    and, if known, __rate (bits a second or NaN). Output: t, reason (null if nothing releases it here; then t and queued are those
     of the last row), queued, at (the row's number in the stream). State: rows and bytes so far, the
     segment of the last row, and the time and the bytes at which the buffer was last emptied.
     """
 
-    def opened(rows: Rows, before: State) -> np.ndarray:
-        segment = rows["__segment"]
-        changes = np.concatenate([[True], segment[1:] != segment[:-1]])
-        if before is not None and segment[0] == before["segment"]:
-            changes[0] = False
-        return changes
-
     def step(rows: Rows, state: State) -> tuple[list[tuple], State]:
-        t, size, rows_before = rows["__t"], rows["__bytes"], state["rows"] if state else 0
-        upto = np.cumsum(size) + (state["bytes"] if state else 0)
-        prior, opens = upto - size, opened(rows, state)
-        latest = np.maximum.accumulate(np.where(opens, np.arange(len(t)), -1))
-        since = np.where(latest >= 0, t[latest], state["t"] if state else 0)
-        level = np.where(latest >= 0, prior[latest], state["b"] if state else 0)
-        was_t = np.concatenate([[state["t"] if state else 0], since[:-1]])
-        was_b = np.concatenate([[state["b"] if state else 0], level[:-1]])
-        waited = np.ones(len(t), bool)
-        waited[0] = state is not None
-        queued, deadline = upto - level, was_t + 1000 * timeout_ms
-        expired = waited & (deadline <= t)
-        clock_us = np.nan_to_num(rows["__elapsed"]) * 1_000_000 / PCR_HERTZ
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rate = np.where(rows["__rate"] > 0, rows["__rate"], np.nan)
-            by_rate = np.nan_to_num(queued * 8_000_000 / rate)
-        media_us = np.where(clock_us > 0, clock_us, by_rate)
-        reasons = np.select(
-            [expired, queued > max_bytes, media_us >= 1000 * target_ms], [1, 2, 3], 0
-        )
-        found = np.flatnonzero(reasons)
-        n = int(found[0]) if len(found) else len(t) - 1
-        reason = (None, "Deadline", "ByteLimit", "TargetDuration")[int(reasons[n])]
-        row = (
-            int(deadline[n] if expired[n] else t[n]), reason,
-            int(prior[n] - was_b[n] if expired[n] else queued[n]), rows_before + n,
-        )
-        return [row], {
-            "rows": rows_before + len(t), "bytes": int(upto[-1]), "segment": int(rows["__segment"][-1]), "t": int(since[-1]), "b": int(level[-1]),
-        }
+        state = state or {"rows": 0, "bytes": 0, "segment": None, "t": None, "b": 0}
+        upto, segment, since, level = (state[k] for k in ("bytes", "segment", "t", "b"))
+        found = None
+        rates = rows["__rate"].tolist() if "__rate" in rows else repeat(_NAN)
+        columns = (rows[c].tolist() for c in ("__t", "__bytes", "__elapsed", "__segment"))
+        for n, (rate, t, size, elapsed, here) in enumerate(zip(rates, *columns)):
+            prior, upto = upto, upto + size
+            deadline = None if since is None else since + 1000 * timeout_ms
+            held = prior - level
+            if since is None or here != segment:
+                segment, since, level = here, t, prior
+            if found is not None:
+                continue
+            queued = upto - level
+            media_us = elapsed * 1_000_000 / PCR_HERTZ
+            if not media_us > 0:
+                media_us = queued * 8_000_000 / rate if rate > 0 else 0
+            if deadline is not None and deadline <= t:
+                found = (deadline, "Deadline", held, state["rows"] + n)
+            elif queued > max_bytes:
+                found = (t, "ByteLimit", queued, state["rows"] + n)
+            elif media_us >= 1000 * target_ms:
+                found = (t, "TargetDuration", queued, state["rows"] + n)
+        row = found or (t, None, queued, state["rows"] + n)
+        rows_after = state["rows"] + n + 1
+        return [row], {"rows": rows_after, "bytes": upto, "segment": segment, "t": since, "b": level}
 
     def describe(rows: Rows) -> dict:
         """Rows, bytes; first and last segment; first time; the last change, with the bytes before."""

@@ -176,11 +176,12 @@ def sliced_fold(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, state = _Output(result), None
-        for here, part, new in _along(batches, [*keys, "__slice"], [*uses, "__state"]):
+        # The state, the same on all rows of a slice, is among the names so as to be read once.
+        for here, part, new in _along(batches, [*keys, "__slice", "__state"], uses):
             if new:
-                state = json.loads(part["__state"][0])
+                state = json.loads(here[-1])
             done, state = fold.step(part, state)
-            out.rows.extend((*here[:-1], *row) for row in done)
+            out.rows.extend((*here[:-2], *row) for row in done)
             if out.full():
                 yield out.batch()
         yield out.batch()
@@ -204,9 +205,9 @@ def sliced_scan(
         current = state = None
         for batch in batches:
             parts: list[list] = []
-            for here, part, _ in _along(iter([batch]), [*keys, "__slice"], [*uses, "__state"]):
+            for here, part, _ in _along(iter([batch]), [*keys, "__slice", "__state"], uses):
                 if here != current:
-                    current, state = here, json.loads(part["__state"][0])
+                    current, state = here, json.loads(here[-1])
                 done, state = fold.step(part, state)
                 parts.append(done)
             if parts:
