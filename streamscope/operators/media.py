@@ -172,13 +172,16 @@ def startup_release(
         return df.groupBy(stream).agg(F.min_by(ts, first).alias("released_at")).select(
             stream, "released_at", F.lit("Disabled").alias("reason"), F.lit(0).cast("bigint").alias("queued")
         )
+    # No column of a literal: Spark would drop it from one of the two uses of the rows, and then they
+    # are computed and shuffled twice.
+    rate = [] if bitrate is None else [F.col(bitrate).cast("double").alias("__rate")]
     rows = df.select(
         stream,
         *order,
         F.unix_micros(F.col(ts).cast("timestamp")).alias("__t"),
         F.coalesce(F.col(nbytes).cast("bigint"), F.lit(0)).alias("__bytes"),
         F.col(elapsed).cast("double").alias("__elapsed"),
-        (F.lit(None) if bitrate is None else F.col(bitrate)).cast("double").alias("__rate"),
+        *rate,
         F.coalesce(F.col(segment).cast("bigint"), F.lit(-1)).alias("__segment"),
     )
     fold = release_fold(target_ms, max_bytes, timeout_ms)

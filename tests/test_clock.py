@@ -110,3 +110,12 @@ def test_small_slices_are_cheap():
     for fold in (clock.clock_fold(), clock.release_fold(1, 10**9, 10**9)):
         for part_of in (fold.describe, lambda rows, f=fold: f.step(rows, None)):
             assert min(timeit.repeat(lambda: part_of(part), number=50, repeat=5)) / 50 < 120e-6
+
+
+def test_clock_is_walked_once_for_the_release(spark):
+    """Both uses of the rows that enter the release fold read one exchange."""
+    df = QUERIES["w11_startup_release"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 2 and final.count("FileScan parquet") == 1
