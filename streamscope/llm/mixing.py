@@ -17,6 +17,9 @@ MOST_REPEATS = 2
 #: weight target * (1 + a * (2 t - 1)) at time t in 0..1, whose integral is its target.
 RAMPS = (-0.5, 0.0, 0.5)
 
+#: Copies are trained on by time; digests order those of one time.
+TRAINING_ORDER = ("take.position", "id", "tie")
+
 _KEYS = ("__src", "__none", "__block")
 
 
@@ -147,21 +150,34 @@ def assigned(keyed: DataFrame) -> DataFrame:
 def mixture(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position (of its first copy).
+    """One row per document: doc_id, size, source_size, target, taken, position and place.
 
-    Rows of equal id keep a row each; other columns are not read. No documents: no rows.
+    The copies are put in training order, as in `mixed`, and a document's figures are read from its
+    copies there: the words they hold, and of the first one the time in 0..1 and the number in that
+    order, from 0. Rows of equal id keep a row each; other columns are not read. No documents: no
+    rows.
     """
     roles = [F.col(id_col), F.col(text_col), F.col(source_col)]
     thin = _keyed(docs.select(*[c.alias(f"c{k}") for k, c in enumerate(roles)]), *map(F.col, ("c0", "c1", "c2")))
-    mix = F.col("mix")
-    taken = F.aggregate(
-        mix.getField("takes"), F.lit(0).cast("long"), lambda a, x: a + x.getField("words")
+    rows = written(
+        assigned(thin.drop("c0", "c1", "c2")).select(
+            F.monotonically_increasing_id().alias("row"), "id", "tie", "mix"
+        ),
+        "assigned",
+    )
+    copies = rows.select("row", "id", "tie", F.explode("mix.takes").alias("take"))
+    trained = numbered(copies, *map(F.col, TRAINING_ORDER), name="place", label="training_order")
+    read = trained.groupBy("row").agg(
+        F.sum("take.words").alias("taken"),
+        F.min("take.position").alias("position"),
+        F.min("place").alias("place"),
     )
-    return assigned(thin.drop("c0", "c1", "c2")).select(
+    return rows.join(read, "row", "left").select(
         F.col("id").alias("doc_id"),
-        *[mix.getField(n).alias(n) for n in ("size", "source_size", "target")],
-        taken.alias("taken"),
-        F.get(mix.getField("takes"), F.lit(0)).getField("position").alias("position"),
+        *[F.col(f"mix.{n}").alias(n) for n in ("size", "source_size", "target")],
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        "position",
+        "place",
     )
 
 
@@ -186,10 +202,9 @@ def mixed(
     after = doc.withField(text_col, cut)
     if "n_chars" in docs.columns:
         after = after.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
-    order = ["take.position", "id", "tie"]
     return (
-        copies.repartitionByRange(*map(F.col, order))
-        .sortWithinPartitions(*map(F.col, order))
+        copies.repartitionByRange(*map(F.col, TRAINING_ORDER))
+        .sortWithinPartitions(*map(F.col, TRAINING_ORDER))
         .select(F.when(words < F.col("size"), after).otherwise(doc).alias("doc"))
         .select("doc.*")
     )

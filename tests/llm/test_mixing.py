@@ -119,3 +119,14 @@ def test_ties_are_ordered_by_text(spark):
     first = sorted(map(tuple, mixing.mixed(docs.repartition(7)).collect()), key=repr)
     again = sorted(map(tuple, mixing.mixed(docs.orderBy(F.col("text").desc()).coalesce(1)).collect()), key=repr)
     assert first == again
+
+
+def test_places_are_those_of_the_training_order(spark):
+    """A document's place and words are those of its copies in the mix that `mixed` writes."""
+    data = [(n, " ".join(f"w{n}" for _ in range(1 + n * 7 % 23)), "abc"[n % 3] if n % 4 else "a") for n in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    trained = [(r.doc_id, len(r.text.split())) for r in mixing.mixed(docs).collect()]
+    for r in mixing.mixture(docs).collect():
+        own = [(n, words) for n, (doc, words) in enumerate(trained) if doc == r.doc_id]
+        assert r.place == (own[0][0] if own else None)
+        assert r.taken == sum(words for _, words in own)
