@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
 from .common import written
 
@@ -26,27 +27,29 @@ MOST_PIVOTS = 512
 DATA_ROWS = 2048
 QUERY_ROWS = 1024
 _EXACT = float(1 << 50)
+_EXACT_SINGLE = float(1 << 24)
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(__row, id, vec): floor(scale * x) of every component; unusable vectors left out."""
+def usable_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(__row, id, vec): vectors of floats as they are, others as doubles; unusable ones left out."""
     x = F.col(vec_col)
     usable = x.isNotNull() & F.forall(
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(math.inf))
     )
+    single = vectors.select(x).schema[0].dataType.elementType == FloatType()
     return vectors.filter(usable & F.col(id_col).isNotNull()).select(
         F.monotonically_increasing_id().alias("__row"),
         F.col(id_col).cast("long").alias("id"),
-        F.transform(x, lambda v: v.cast("double")).alias("vec"),
+        x.cast("array<float>" if single else "array<double>").alias("vec"),
     )
 
 
 def _matrix(column: pa.Array, dim: int, scale: int) -> np.ndarray:
-    """Lists as rows of whole numbers, short ones filled up with zeros."""
+    """floor(scale * x) of lists as rows of whole numbers, short ones filled up with zeros."""
     out = np.zeros((len(column), dim))
     sizes = np.diff(column.offsets.to_numpy())
     mask = np.arange(dim) < sizes[:, None]
-    out[mask] = np.floor(column.flatten().to_numpy(zero_copy_only=False) * scale)
+    out[mask] = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(float) * scale)
     return out
 
 
@@ -108,25 +111,65 @@ def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tupl
 
     -inf marks what is not a candidate.
     """
-    order = np.lexsort((rows, ids)) if ids.ndim == 1 else None
-    if order is not None:
-        scores, ids, rows = scores[:, order], ids[order], rows[order]
-        width = scores.shape[1]
-        usual = np.abs(scores[np.isfinite(scores)]).max(initial=0) * width < _EXACT
-        if usual and width > k:
-            key = scores * width - np.arange(width)
-            top = np.argpartition(-key, k - 1, axis=1)[:, :k]
-            top = np.take_along_axis(top, np.argsort(np.take_along_axis(-key, top, 1), 1), 1)
+    order = np.lexsort((rows, ids))
+    scores, ids, rows = scores[:, order].astype(np.float64), ids[order], rows[order]
+    width = scores.shape[1]
+    usual = np.abs(scores[np.isfinite(scores)]).max(initial=0) * width < _EXACT
+    if usual and width > k:
+        key = scores * width - np.arange(width)
+        top = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        top = np.take_along_axis(top, np.argsort(np.take_along_axis(-key, top, 1), 1), 1)
+    else:
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(scores, top, 1), ids[top], rows[top]
+
+
+class Best:
+    """The k best candidates of each of some queries; -inf marks places that have none.
+
+    Once a query has k, only scores that reach its k-th best are looked at. They wait until there
+    are as many as places, and are then ranked together.
+    """
+
+    def __init__(self, queries: int, k: int):
+        self.score = np.full((queries, k), -np.inf)
+        self.id, self.row = (np.zeros((queries, k), dtype=np.int64) for _ in range(2))
+        self.waiting: list[tuple] = []
+
+    @property
+    def floor(self) -> np.ndarray:
+        """What a score has to reach."""
+        return self.score[:, -1]
+
+    def meet(self, asked: np.ndarray, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Take in the scores of the queries at `asked` (lines) with some candidates (columns)."""
+        floor = self.floor[asked]
+        if np.isfinite(floor).all():
+            reach = scores >= floor.astype(scores.dtype)[:, None]
+            # Much faster than nonzero() of two dimensions.
+            line, column = np.divmod(np.flatnonzero(reach), len(ids))
+            self.waiting.append((asked[line], scores[line, column], ids[column], rows[column]))
+            if sum(len(line) for line, *_ in self.waiting) > self.score.size:
+                self.rank()
         else:
-            top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return np.take_along_axis(scores, top, 1), ids[top], rows[top]
-    top = np.lexsort((rows, ids, -scores), axis=1)[:, :k]
-    return tuple(np.take_along_axis(x, top, 1) for x in (scores, ids, rows))
+            best = _best(scores, ids, rows, self.score.shape[1])
+            self.waiting.append((asked.repeat(best[0].shape[1]), *(x.ravel() for x in best)))
+            self.rank()
+
+    def rank(self) -> None:
+        queries, k = self.score.shape
+        own = (np.arange(queries).repeat(k), self.score.ravel(), self.id.ravel(), self.row.ravel())
+        line, score, ids, rows = map(np.concatenate, zip(own, *self.waiting))
+        order = np.lexsort((rows, ids, -score, line))
+        top = order[np.searchsorted(line[order], np.arange(queries))[:, None] + np.arange(k)]
+        self.score, self.id, self.row, self.waiting = score[top], ids[top], rows[top], []
 
 
 def _products(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
     """Inner products; exact below 2 ** 50, and otherwise by whole-number arithmetic."""
     most = np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * queries.shape[1]
+    if most < _EXACT_SINGLE:
+        return queries.astype(np.float32) @ data.astype(np.float32).T
     if most < _EXACT:
         return queries @ data.T
     exact = np.frompyfunc(int, 1, 1)
@@ -155,7 +198,7 @@ def top_k(
     into salted blocks, so equal vectors do not meet in one task.
     """
     spark = vectors.sparkSession
-    rows = written(quantised(vectors, id_col, vec_col, scale), "vectors")
+    rows = written(usable_rows(vectors, id_col, vec_col), "vectors")
     count, dim = rows.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not count or not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -173,9 +216,10 @@ def top_k(
                 [*batch.schema.names, "cell", "far"],
             )
 
+    kind = rows.schema["vec"].dataType.simpleString()
     cells = written(
         rows.withColumn("asks", is_query).mapInArrow(
-            assign, "__row long, id long, vec array<double>, asks boolean, cell int, far double"
+            assign, f"__row long, id long, vec {kind}, asks boolean, cell int, far double"
         ),
         "cells",
     )
@@ -222,9 +266,8 @@ def top_k(
 
         def result() -> Iterator[pa.RecordBatch]:
             for ids, own, _, _, best in held.values():
-                if best is None:
-                    continue
-                score, found, row = best
+                best.rank()
+                score, found, row = best.score, best.id, best.row
                 real = np.isfinite(score)
                 times = real.sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
@@ -244,36 +287,25 @@ def top_k(
                     at, held = key, {}
                 if (name := piece.as_py()) not in held:
                     ids, own, vec = opened(asked)
-                    held[name] = [ids, own, vec, np.sqrt((vec**2).sum(axis=1)), None]
+                    held[name] = [ids, own, vec, np.sqrt((vec**2).sum(axis=1)), Best(len(ids), k)]
                 ids, own, vec, norm, best = held[name]
                 c = cell.as_py()
                 # Queries whose k-th best is above all that the cell can offer skip the block.
                 high = vec @ p.pivots[c] + norm * p.radius[c]
                 high += 1e-6 * (1 + np.abs(high))
-                if best is not None and best[0].shape[1] == k:
-                    open_ = np.flatnonzero(high >= best[0][:, -1])
-                else:
-                    open_ = np.arange(len(ids))
+                open_ = np.flatnonzero(high >= best.floor)
                 if not len(open_):
                     continue
                 there, rows_, points = opened(part)
                 scores = _products(vec[open_], points)
-                scores[own[open_][:, None] == rows_] = -np.inf
-                new = _best(scores, there, rows_, k)
-                if best is None:
-                    held[name][4] = new
-                    continue
-                if len(open_) < len(ids):
-                    full = tuple(np.zeros((len(ids), x.shape[1]), x.dtype) for x in new)
-                    full[0][:] = -np.inf
-                    for whole, x in zip(full, new):
-                        whole[open_] = x
-                    new = full
-                joined = [np.concatenate(x, axis=1) for x in zip(best, new)]
-                held[name][4] = _best(*joined, k)
+                _, query, same = np.intersect1d(own[open_], rows_, True, return_indices=True)
+                scores[query, same] = -np.inf
+                best.meet(open_, scores, there, rows_)
         yield from result()
 
-    met = queries.join(data, ["group", "slot"]).select(
+    # A merge join brings the rows of a group and slot to `solve` one after the other, so that a
+    # query's k-th best is known from its first block on.
+    met = queries.hint("merge").join(data, ["group", "slot"]).select(
         "group", "slot", "piece", "queries", "cell", "data"
     )
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")

@@ -62,6 +62,32 @@ def test_plan_leaves_out_far_cells():
     assert {j for _, j in pairs} == {0}
 
 
+def test_blocks_of_a_group_and_slot_come_one_after_the_other(spark):
+    """Only then a query's k-th best is known when its next block comes."""
+    rows = [(i, [float(i % 7), float(i % 11)], 0) for i in range(100)]
+    found = topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("id") % 20 == 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [group" in plan
+
+
+def test_best_of_many_blocks():
+    rng, k = np.random.default_rng(5), 4
+    for width in (2, 9, 60):
+        best, seen = topk.Best(3, k), [[], [], []]
+        for block in range(12):
+            ids, rows = rng.integers(0, 50, width), np.arange(width) + block * width
+            asked = np.flatnonzero(rng.random(3) < 0.8)
+            scores = rng.integers(-9, 9, (len(asked), width)).astype(np.float32)
+            scores[rng.random(scores.shape) < 0.1] = -np.inf
+            best.meet(asked, scores, ids, rows)
+            for line, found in zip(asked, scores):
+                seen[line] += [x for x in zip(-found, ids, rows) if x[0] < np.inf]
+        best.rank()
+        for line in range(3):
+            got = [x for x in zip(-best.score[line], best.id[line], best.row[line]) if x[0] < np.inf]
+            assert got == sorted(seen[line])[:k]
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, None), (40, [nan, 1.0]), (60, [None, 1.0]), (80, [inf, 0.0]),
